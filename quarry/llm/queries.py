@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import packing, pii, positional, quality, simhash
-from quarry.llm.common import read_table
+from quarry.llm import language, packing, pii, positional, quality, simhash, substring
+from quarry.llm.common import document_fold, read_table
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language.trained(language.training_rows(docs, document_fold()))
+    found = language.identified(docs, model)
+    return found.select("doc_id", F.coalesce(document_fold() == 0, F.lit(True)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def _is(kind: str):
@@ -20,6 +27,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined_spans(F.col("spans")), 256).alias("base_sha256"), pii.joined_spans(added).alias("spans"))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.without_repeats(read_table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read_table(spark, sf_dir, "documents"))
 
@@ -43,7 +55,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_pii": op2_pii,
+    "op3_substring": op3_substring,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
     "op7_simhash": op7_simhash,
