@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language, packing, pii, positional, quality, simhash, substring
+from quarry.llm import extraction, language, packing, pii, positional, quality, simhash, substring, toxicity, warc
 from quarry.llm.common import document_fold, read_table
 
 
@@ -41,11 +41,24 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(warc.with_responses(read_table(spark, sf_dir, "pages")))
+    found = warc.read_records(index, with_payload=False)
+    return found.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    lexicon = toxicity.trained(docs.where(document_fold() != 0), read_table(spark, sf_dir, "labels"))
+    found = toxicity.scored(docs, lexicon)
+    return found.select("doc_id", F.coalesce(document_fold() == 0, F.lit(True)).alias("held_out"), "score", "predicted")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = positional.build_index(read_table(spark, sf_dir, "documents"))
     found = positional.phrases(index, read_table(spark, sf_dir, "benchmark"))
@@ -54,13 +67,20 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_pii": op2_pii,
     "op3_substring": op3_substring,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
+    "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
+    "op10_extraction": op10_extraction,
 }
 ORACLE_SQL: dict[str, str] = {}
