@@ -16,9 +16,11 @@ its ids come; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.textvec import WHITE, word_spans, word_symbols
+
 CAPACITY = 2048
 END = 1
 #: Texts of these characters only are split by FAST; others go to the tokenizer whole.
 _PLAIN = re.compile("[\\t-\\r -~À-ÖØ-öø-įı-ſ]*")
 #: What the vocabulary's pre-tokenizer does to such texts after lower-casing.
 _FAST = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-z0-9ß-öø-ſ]+")
-_KEPT_WORDS = 400_000
+#: Runs without white space of which the ids are kept.
+_KEPT_RUNS = 2_000_000
 
 
 def default_vocabulary() -> str:
@@ -41,34 +46,85 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder(dict):
-    """Token ids of texts as little-endian uint32 bytes.
+class Encoder:
+    """Token ids of texts.
 
-    The vocabulary's pre-tokenizer splits a text into parts that are encoded
-    one by one, so the ids of a part seen before are looked up.
+    The vocabulary's pre-tokenizer cuts at white space and then splits each run
+    into parts that are encoded one by one. So the runs of a group of texts are
+    told apart by fingerprint, those not known are encoded once, all in one
+    text, and the ids are laid out by index. What is kept is bounded.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self._whole(part)
-        if len(self) >= _KEPT_WORDS:
-            self.clear()
-        if len(part) <= 40:
-            self[part] = ids
-        return ids
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if not _PLAIN.fullmatch(text) or "<|" in text:
-            return self._whole(text)
-        return b"".join(map(self.__getitem__, _FAST.findall(text.lower())))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)  # fingerprints of runs, sorted
+        self.base, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def _learn(self, prints: np.ndarray, runs: list[str]) -> None:
+        """Take in new runs; `prints` are sorted."""
+        found, sizes = [self.ids], []
+        for at in range(0, len(runs), 2000):
+            some = runs[at : at + 2000]
+            ids = self._whole(" ".join(some))
+            ends = np.flatnonzero(self.ends[ids]) + 1  # each part ends with a token that says so
+            last = np.cumsum([len(_FAST.findall(run)) for run in some]) - 1
+            if len(ends) == last[-1] + 1:
+                sizes.append(np.diff(ends[last], prepend=0))
+                found.append(ids)
+            else:
+                each = [self._whole(run) for run in some]
+                sizes.append(np.array([len(x) for x in each]))
+                found.extend(each)
+        size = np.concatenate(sizes)
+        base = len(self.ids) + np.cumsum(size) - size
+        at = np.searchsorted(self.known, prints)
+        self.known, self.base, self.size = (np.insert(old, at, new) for old, new in ((self.known, prints), (self.base, base), (self.size, size)))
+        self.ids = np.concatenate(found)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        raw = [t.lower().encode() for t, ok in zip(texts, plain, strict=True) if ok]
+        quick = iter(self._by_runs(raw))
+        return [next(quick) if ok else self._whole(t) for t, ok in zip(texts, plain, strict=True)]
+
+    def _by_runs(self, raw: list[bytes]) -> list[np.ndarray]:
+        data = b"".join(raw)
+        starts, ends, index = word_spans(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, raw)]), WHITE)
+        if not len(starts):
+            return [np.zeros(0, "<u4")] * len(raw)
+        prints, first, inverse = np.unique(word_symbols(np.frombuffer(data, np.uint8), starts, ends), return_index=True, return_inverse=True)
+        if len(self.known) + len(prints) > _KEPT_RUNS:
+            self._forget()
+        new = np.ones(len(prints), bool)
+        if len(self.known):
+            new = self.known[np.minimum(np.searchsorted(self.known, prints), len(self.known) - 1)] != prints
+        if new.any():
+            self._learn(prints[new], [data[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        at = np.searchsorted(self.known, prints)
+        sizes, base = self.size[at], self.base[at]
+        n = sizes[inverse]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        flat = self.ids[np.repeat(base[inverse] - upto[:-1], n) + np.arange(upto[-1])]
+        return np.split(flat, upto[index[1:-1]])
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process: its tasks share what has been looked up."""
+    return Encoder(path)
 
 
 class SumOfSquares:
@@ -154,7 +210,7 @@ def packed(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(vocabulary)
+        coder = encoder(vocabulary)
         task, made = TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
         end_bytes = np.array([end], "<u4").tobytes()
@@ -178,12 +234,17 @@ def packed(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
             rows.clear()
             return pa.RecordBatch.from_arrays(out, names=schema.names)
 
+        def encoded(texts: pa.Array) -> Iterator[bytes]:
+            for at in range(0, len(texts), 256):
+                for ids in coder.encode([t or "" for t in texts.slice(at, 256).to_pylist()]):
+                    yield ids.tobytes()
+
         packer, kinds = SumOfSquares(capacity, close), []
         for batch in batches:
             kinds = [batch.column(i).type for i in range(len(carry))]
             carried = list(zip(*(batch.column(i).to_pylist() for i in range(len(carry))), strict=True)) if carry else [()] * batch.num_rows
-            for who, value in zip(carried, batch.column(len(carry)), strict=True):
-                ids = encoder.encode(value.as_py() or "") + end_bytes
+            for who, ids in zip(carried, encoded(batch.column(len(carry))), strict=True):
+                ids += end_bytes
                 total, start = len(ids) // 4, 0
                 while total - start >= capacity:
                     close([((who, start, total, ids[4 * start : 4 * (start + capacity)]), capacity)])
