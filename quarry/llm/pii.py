@@ -58,8 +58,6 @@ class Disclosure:
     min_contexts: int = 3
     generalise_at: float = 0.5
     remove_at: float = 0.8
-    #: Term lists up to this many may be broadcast while documents are counted.
-    broadcast_terms: int = 100_000
 
 
 def _located(text: Column, pattern: Column | str, kind: str) -> Column:
@@ -142,15 +140,11 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, d: Disclosure = Disclosu
     Counts are sums that every task makes of its own rows first, so an entity
     or a term in a third of all documents does not gather in one task.
     """
-    spark = docs.sparkSession
     contexts = found.select(F.explode("contexts").alias("x")).select("x.entity", F.array_distinct("x.terms").alias("terms")).distinct()
     of_entity = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     pairs = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"))
     pairs = written(pairs.where(F.col("n_ct") >= d.min_contexts).join(of_entity, "entity"), "pairs")
-    names = pairs.select("term").distinct()
     terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(_WORD), F.lit(0)))).alias("term"))
-    if names.count() <= d.broadcast_terms:
-        terms = terms.join(F.broadcast(names), "term", "left_semi")
     of_term = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n = found.count()
     joined = pairs.join(of_term, "term")
