@@ -174,9 +174,12 @@ def all_spans(docs: DataFrame, d: Disclosure = Disclosure(), text: str = "text",
     terms = disclosing_terms(docs, found, d, text)
     body = F.coalesce(F.col(text), F.lit(""))
     # copies of one text have one answer; only texts with disclosing terms are looked at again
-    texts = docs.select(F.md5(body).alias("_key"), body.alias("_text")).join(_terms_of_texts(found, terms), "_key")
-    texts = texts.groupBy("_key").agg(F.first(_term_spans(F.col("_text"), F.col("_pattern"), base_spans(F.col("_text")))).alias("term_spans"))
-    out = found.join(texts, "_key", "left")
+    wanted = written(_terms_of_texts(found, terms), "patterns")
+    texts = docs.select(F.md5(body).alias("_key"), body.alias("_text")).join(wanted, "_key")
+    # the grouping key is not the join's, so that a hot text is split in the join and merged in each task
+    texts = texts.groupBy(F.concat("_key", F.lit("")).alias("_of")).agg(F.first(_term_spans(F.col("_text"), F.col("_pattern"), base_spans(F.col("_text")))).alias("term_spans"))
+    texts = written(texts, "term_spans")
+    out = found.join(texts, found["_key"] == texts["_of"], "left")
     return out.select(*carry, "spans", F.coalesce("term_spans", F.expr(f"cast(array() as {_SPAN})")).alias("term_spans"))
 
 
@@ -194,7 +197,7 @@ def sanitised(docs: DataFrame, d: Disclosure = Disclosure(), text: str = "text")
     terms = disclosing_terms(docs, found, d, text)
     body = F.coalesce(F.col("_row")[text], F.lit(""))
     rows = docs.select(F.struct(*docs.columns).alias("_row")).withColumn("_key", F.md5(body))
-    rows = rows.join(_terms_of_texts(found, terms), "_key", "left")
+    rows = rows.join(written(_terms_of_texts(found, terms), "patterns"), "_key", "left")
 
     def rebuilt(t: Column, pattern: Column, share: Column) -> Column:
         def merged(base: Column) -> Column:
