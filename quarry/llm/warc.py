@@ -107,15 +107,19 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def with_responses(pages: DataFrame, record_id: str = "page_id", payload: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
+def with_responses(pages: DataFrame, record_id: str = "page_id", payload: str = "html", min_bytes: int = MIN_BYTES, broadcast_groups: int = 200_000) -> DataFrame:
     """record_id, url, payload (as bytes), refers_to and revisit: which rows repeat another's payload.
 
-    Only digests are grouped, and only groups of two or more are joined back.
+    Only digests are grouped, and only groups of two or more are joined back:
+    by broadcast if they are few, so that payloads stay where they are, else by
+    a join on the digest.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(record_id).cast("long").alias("record_id"), F.col("url").cast("string").alias("url"), body.alias("payload"), F.sha2(body, 256).alias("_sha"))
     groups = rows.where(F.octet_length("payload") >= min_bytes).groupBy("_sha").agg(F.min("record_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     groups = groups.where("_n > 1").select(F.col("_sha").alias("_same"), "_first")
+    groups = written(groups, "groups")
+    groups = F.broadcast(groups) if groups.count() <= broadcast_groups else groups
     joined = rows.join(groups, rows["_sha"] == groups["_same"], "left")
     revisit = F.col("_same").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("_first"))
     return joined.select("record_id", "url", "payload", F.when(revisit, F.col("_first")).alias("refers_to"), revisit.alias("revisit"))
