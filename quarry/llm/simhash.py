@@ -110,10 +110,11 @@ def near_duplicates(docs: DataFrame, radius: int = 2, text: str = "text", doc_id
     return prints.join(by_print, prints["_fp"] == by_print["_print"], "left").select(prints[doc_id].alias("doc_id"), "_fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 2, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = 2, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, broadcast_keys: int = 200_000) -> DataFrame:
     """`docs` with one row of each component: the least by id (null last), then by the text's hash.
 
-    Rows that agree in id and text are one document; one of them stays.
+    Rows that agree in id and text are one document; one of them stays. Texts
+    are not moved as long as the keys of what goes are few enough to broadcast.
     """
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     tagged = docs.select(doc_id, text).withColumn("_text_key", key)
@@ -121,8 +122,23 @@ def one_of_each(docs: DataFrame, radius: int = 2, text: str = "text", doc_id: st
     roots = components(links(prints, radius))
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_text_key").alias("key"))
     best = prints.groupBy("_fp").agg(F.min(order).alias("_best"))
-    best = best.join(roots, best["_fp"] == roots["node"], "left").groupBy(F.coalesce("root", "_fp")).agg(F.min("_best").alias("_best"))
-    keep = best.select(F.col("_best.id").alias("_keep_id"), F.col("_best.key").alias("_keep_key")).distinct()
+    known = best.join(roots, best["_fp"] == roots["node"], "left").select("_fp", "_best", F.coalesce("root", "_fp").alias("_root"))
+    least = known.groupBy("_root").agg(F.min("_best").alias("_keep"))
+    verdict = known.join(least, "_root").select(F.col("_fp").alias("_print"), "_keep")
+    judged = prints.join(verdict, prints["_fp"] == verdict["_print"])
+    stays = F.col(doc_id).eqNullSafe(F.col("_keep.id")) & (F.col("_text_key") == F.col("_keep.key"))
+    # keys that go, and keys of rows that agree in id and text, of which one stays
+    odd = judged.groupBy(F.col(doc_id).alias("_odd_id"), F.col("_text_key").alias("_odd_key")).agg(F.bool_or(stays).alias("_stays"), F.count(F.lit(1)).alias("_times"))
+    odd = written(odd.where(~F.col("_stays") | (F.col("_times") > 1)), "odd")
+    repeated = odd.where("_stays")
+    n_odd, n_repeated = odd.count(), repeated.count()
+    small = lambda keys, n: F.broadcast(keys) if n <= broadcast_keys else keys
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_id"), key.alias("_text_key"))
-    kept = rows.join(keep, rows["_id"].eqNullSafe(F.col("_keep_id")) & (rows["_text_key"] == F.col("_keep_key")), "left_semi")
-    return kept.dropDuplicates(["_id", "_text_key"]).select("_row.*")
+
+    def joined(keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(keys, rows["_id"].eqNullSafe(keys["_odd_id"]) & (rows["_text_key"] == keys["_odd_key"]), how)
+
+    kept = joined(small(odd, n_odd), "left_anti").select("_row.*")
+    if n_repeated:
+        kept = kept.unionByName(joined(small(repeated, n_repeated), "left_semi").dropDuplicates(["_id", "_text_key"]).select("_row.*"))
+    return kept
