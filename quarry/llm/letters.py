@@ -18,7 +18,8 @@ HOMOGLYPHS = {
 }
 #: Digits and signs that stand for letters inside words.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
-SIGNS = {"@": "a", "$": "s"}
+BEFORE_LETTERS = {"$": "s"}
+BETWEEN_LETTERS = {"@": "a"}
 
 
 @cache
@@ -78,7 +79,7 @@ def look_folded(text: str) -> str:
     folded = look_table()[cps]
     letter = np.concatenate([[False], folded != SPACE, [False]])
     before, after = letter[:-2], letter[2:]
-    for signs, inside in ((DIGITS, before | after), (SIGNS, before & after)):
+    for signs, inside in ((DIGITS, before | after), (BEFORE_LETTERS, after), (BETWEEN_LETTERS, before & after)):
         for sign, like in signs.items():
             at = (cps == ord(sign)) & inside
             if at.any():

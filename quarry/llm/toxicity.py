@@ -73,12 +73,12 @@ class Lexicon:
         return out
 
     def features(self, automaton, text: str | None) -> np.ndarray:
-        """1, the summed weights' logarithm, their density, the largest weight, and the words' logarithm."""
+        """1, the summed weights against the words (as logarithms and as a share), the largest weight, and how many entries differ."""
         return self.measured(automaton, look_folded(text or ""))
 
     def measured(self, automaton, folded: str) -> np.ndarray:
         words = folded.count(" ") - 1 if len(folded) > 1 else 0
-        total, top = 0.0, 0.0
+        total, top, kinds = 0.0, 0.0, set()
         if len(automaton):
             best: dict[int, tuple[int, float]] = {}
             covered: list[tuple[int, int]] = []
@@ -92,7 +92,8 @@ class Lexicon:
                 if not any(s <= start and start + size - 1 <= e for s, e in covered):
                     total += weight
                     top = max(top, weight)
-        return np.array([1.0, np.log1p(total), total / (words + 20.0), top, np.log1p(words)])
+                    kinds.add(folded[start : start + size])
+        return np.array([1.0, np.log1p(total) - np.log1p(words), total / (words + 20.0), top, np.log1p(len(kinds))])
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.coefficients, -30, 30)))
