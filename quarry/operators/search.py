@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.columns import let
 from quarry.functions.text import phrase_count, query_phrases, tokens
 from quarry.functions.vector import cosine
 
@@ -119,13 +120,15 @@ def with_tokens(table: DataFrame, text: str = "text") -> DataFrame:
     return table.withColumn("tokens", tokens(F.coalesce(F.col(text), F.lit(""))))
 
 
-def _counts(phrases: list[list[str]]) -> list[Column]:
-    return [phrase_count(F.col("tokens"), p).alias(f"f{i}") for i, p in enumerate(phrases)]
+def _measured(phrases: list[list[str]]) -> Column:
+    """struct<d, f0, f1, ...>: a row's length and how often each phrase occurs; its tokens are made once."""
+    return let(F.col("tokens"), lambda w: F.struct(F.size(w).alias("d"), *[phrase_count(w, p).alias(f"f{i}") for i, p in enumerate(phrases)]))
 
 
 def corpus_stats(tokenised: DataFrame, phrases: list[list[str]]) -> CorpusStats:
     """One row of sums, taken in one pass."""
-    row = tokenised.select(F.size("tokens").alias("d"), *_counts(phrases)).agg(F.count(F.lit(1)), F.avg("d"), *[F.sum((F.col(f"f{i}") > 0).cast("long")) for i in range(len(phrases))]).first()
+    rows = tokenised.select(F.inline(F.array(_measured(phrases))))
+    row = rows.agg(F.count(F.lit(1)), F.avg("d"), *[F.sum((F.col(f"f{i}") > 0).cast("long")) for i in range(len(phrases))]).first()
     return CorpusStats(row[0], float(row[1] or 0.0), tuple(int(v or 0) for v in row[2:]))
 
 
@@ -135,13 +138,18 @@ def bm25(tokenised: DataFrame, query: str) -> DataFrame:
     if not phrases or not all(phrases):
         return tokenised.withColumn("rank", F.lit(None).cast("double")).where(F.lit(False))
     stats = corpus_stats(tokenised, phrases)
-    out = tokenised.select("*", *_counts(phrases))
-    total = F.lit(0.0)
-    for i in range(len(phrases)):
-        out = out.where(F.col(f"f{i}") > 0)
-        f = F.col(f"f{i}").cast("double")
-        total = total + F.lit(stats.idf(i)) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.size("tokens") / F.lit(stats.mean_length)))
-    return out.withColumn("rank", -total).drop(*[f"f{i}" for i in range(len(phrases))])
+
+    def ranked(m: Column) -> Column:
+        lacks, total = F.lit(False), F.lit(0.0)
+        for i in range(len(phrases)):
+            f = m[f"f{i}"].cast("double")
+            lacks = lacks | (f == 0)
+            total = total + F.lit(stats.idf(i)) * f * (K1 + 1) / (f + K1 * (1 - B + B * m["d"] / F.lit(stats.mean_length)))
+        return F.when(~lacks, -total)
+
+    # a generator of no or one row: the rank is worked out once and not again for a filter
+    rank = F.array_compact(F.array(let(_measured(phrases), ranked)))
+    return tokenised.select("*", F.explode(rank).alias("rank"))
 
 
 def rank_to_score(rank: Column, mode: str = "faithful") -> Column:

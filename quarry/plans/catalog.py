@@ -21,6 +21,7 @@ from quarry.functions.chunking import chunked
 from quarry.functions.columns import rounded
 from quarry.functions.vector import cosine, nonzero, parsed_embedding
 from quarry.operators import embed, index, search, sync
+from quarry.session import spread
 from quarry.streaming import changes as ch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,8 +39,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+#: Tables whose rows are much work for their bytes.
+TEXTS = frozenset({"documents", "pages", "conversations"})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 # --- vectors -----------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution with skewed joins split, UTC, Arrow.
 SETTINGS = {
@@ -34,3 +34,12 @@ def with_package(spark: SparkSession) -> SparkSession:
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
     return spark
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table that has fewer splits than there are cores dealt out to all of them; others as they are.
+
+    A small file with one row group is one task otherwise, however much work its rows are.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
