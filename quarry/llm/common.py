@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import spread
+
 #: Words of most operators: runs without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -75,4 +77,4 @@ def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
