@@ -10,7 +10,9 @@ heading, a short last paragraph) is content too.
 
 The weight is 0 inside elements whose tag, role, class or id says that they are
 menus, page headers, footers, sidebars, notices, adverts, forms or comments, and
-higher inside article or main elements.
+higher inside article or main elements. What a class, id or form element says is
+taken back, from the largest element on, if no sentence of the page is left
+otherwise: such an element wraps the whole page.
 
 Defined cases: null and empty pages have an empty text; text outside any block
 is a block; unclosed and crossed elements are closed as browsers do for
@@ -35,7 +37,7 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
-SKIPPED = frozenset("head script style noscript template textarea title iframe xmp noembed noframes svg math canvas object audio video select option button form nav aside footer dialog menu".split())
+SKIPPED = frozenset("head script style noscript template textarea title iframe xmp noembed noframes svg math canvas object audio video select option button nav aside footer dialog menu".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ITEM_LISTS = frozenset("ul ol menu dl table tbody thead tfoot select body html div article section".split())
@@ -63,6 +65,7 @@ class Node:
     path: str
     container: str
     weight: float
+    marks: tuple[int, ...] = ()
     parts: list[str] = field(default_factory=list)
     text: str = ""
     linked: int = 0
@@ -137,8 +140,9 @@ def _says_boilerplate(attributes: str) -> bool:
 def text_nodes(page: str) -> list[Node]:
     """The page's blocks of text, in order."""
     out: list[Node] = []
-    # of each open element: name, path, weight
-    stack: list[tuple[str, str, float]] = [("", "", 1.0)]
+    # of each open element: name, path, weight, and the elements around it that a class, an id or a form marks
+    stack: list[tuple[str, str, float, tuple[int, ...]]] = [("", "", 1.0, ())]
+    marked = 0
     now: Node | None = None
     links = 0
 
@@ -151,8 +155,8 @@ def text_nodes(page: str) -> list[Node]:
     for kind, value, attributes in _raw_tokens(page):
         if kind == "text":
             if now is None:
-                name, path, weight = stack[-1]
-                now = Node(path, stack[-2][1] if len(stack) > 1 else "", weight)
+                _, path, weight, marks = stack[-1]
+                now = Node(path, stack[-2][1] if len(stack) > 1 else "", weight, marks)
                 out.append(now)
             now.parts.append(entities.unescape(value))
             if links:
@@ -190,15 +194,18 @@ def text_nodes(page: str) -> list[Node]:
         now = None
         if value in VOID:
             continue
-        _, path, weight = stack[-1]
-        if value in SKIPPED or (value == "header" and weight <= 1.0) or (value not in ("html", "body", *CONTENT) and _says_boilerplate(attributes)):
+        _, path, weight, marks = stack[-1]
+        if value == "form" or (value not in ("html", "body", *CONTENT) and _says_boilerplate(attributes)):
+            marked += 1
+            marks = (*marks, marked)
+        if value in SKIPPED or (value == "header" and weight <= 1.0):
             weight = 0.0
         elif value in CONTENT and weight:
             weight = 8.0
         if value in ("html", "body"):
-            if any(name == value for name, _, _ in stack):
+            if any(name == value for name, *_ in stack):
                 continue
-        stack.append((value, f"{path}/{value}", weight))
+        stack.append((value, f"{path}/{value}", weight, marks))
     for node in out:
         node.text = _SPACE.sub(" ", "".join(node.parts)).strip()
     return [n for n in out if n.text]
@@ -213,9 +220,25 @@ def smoothed(values: np.ndarray, radius: int = 1) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), "valid")
 
 
+def _open(nodes: list[Node]) -> list[Node]:
+    """The nodes that no element says to be something else, see above."""
+    rest = [n for n in nodes if n.weight > 0]
+    size: dict[int, int] = {}
+    for n in rest:
+        for mark in n.marks:
+            size[mark] = size.get(mark, 0) + len(n.text)
+    kept = set(size)
+    for mark in [None, *sorted(size, key=lambda m: (-size[m], m))]:
+        kept.discard(mark)
+        found = [n for n in rest if not kept.intersection(n.marks)]
+        if any(len(n.text) - n.linked >= 25 and _PUNCTUATION.search(n.text) for n in found):
+            return found
+    return [n for n in rest if not n.marks]
+
+
 def content_nodes(nodes: list[Node], strictness: float = 0.5) -> list[Node]:
     """The nodes of content paths; `strictness` times the scores' standard deviation is the threshold."""
-    open_nodes = [n for n in nodes if n.weight > 0]
+    open_nodes = _open(nodes)
     if not open_nodes:
         return []
     length: dict[str, float] = {}

@@ -36,6 +36,8 @@ FEATURES = 4096
 LONGEST = 3
 #: Codewords nearer to each other than this share of the loss make a text ambiguous.
 AMBIGUITY = 0.05
+#: The ends of a text: this share of its characters each, but not fewer than END_CHARS; shorter texts have none.
+END_SHARE, END_CHARS = 0.08, 100
 #: More languages than this are taken for a mistake in the column.
 MAX_LANGUAGES = 5000
 
@@ -57,6 +59,12 @@ def counts(text: str) -> np.ndarray | None:
     return total if seen else None
 
 
+def ends(text: str) -> tuple[str, str] | None:
+    """The beginning and the end of a text that is at least four times as long as the least end."""
+    size = max(END_CHARS, int(len(text) * END_SHARE))
+    return (text[:size], text[-size:]) if len(text) >= 4 * END_CHARS else None
+
+
 def scaled(rows: np.ndarray) -> np.ndarray:
     x = np.log1p(rows.astype(np.float32))
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
@@ -170,7 +178,8 @@ def identified(docs: DataFrame, model: Model | None, text: str = "text", carry:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                each = [counts(t or "") if model else None for t in batch.column(n).to_pylist()]
+                texts = [t or "" for t in batch.column(n).to_pylist()]
+                each = [counts(t) if model else None for t in texts]
                 known = [i for i, c in enumerate(each) if c is not None]
                 names, score, unsure = [UNDETERMINED] * len(each), np.zeros(len(each)), np.zeros(len(each), bool)
                 if known:
@@ -178,6 +187,14 @@ def identified(docs: DataFrame, model: Model | None, text: str = "text", carry:
                     score[known], unsure[known] = p, close
                     for i, b in zip(known, best, strict=True):
                         names[i] = model.languages[b]
+                    framed = [(i, [counts(e) for e in frame]) for i in known if (frame := ends(texts[i]))]
+                    framed = [(i, c) for i, c in framed if all(x is not None for x in c)]
+                    if framed:
+                        first, p_first, _ = model.predict(scaled(np.stack([c[0] for _, c in framed])))
+                        last, p_last, _ = model.predict(scaled(np.stack([c[1] for _, c in framed])))
+                        for k, (i, _) in enumerate(framed):
+                            if first[k] == last[k] and model.languages[first[k]] != names[i]:
+                                names[i], score[i], unsure[i] = model.languages[first[k]], min(p_first[k], p_last[k]), True
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(names), pa.array(score), pa.array(unsure)], names=schema.names)
 
     return slim.mapInArrow(run, schema)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.common import written
 from quarry.llm.letters import look_folded
 
 MAX_TRAIN = 6000
@@ -157,7 +158,7 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     odds = F.when(F.col("y") == 1, min(1.0, max_train / found[1])).otherwise(min(1.0, max_train / found[0]))
     picked = known.where((order.bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) < odds)
     # bounded by max_train, about: it may be sent to every task
-    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t")).join(F.broadcast(picked), "_id").select("y", "t")
+    sample = written(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t")).join(F.broadcast(picked), "_id").select("y", "t"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = (Counter(), Counter())

@@ -262,3 +262,8 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
             assert all(got[i].text == before[i].text for i in got if not brute.pii(before[i].text))
         else:
             assert {r.doc_id for r in now.collect()} == set(before)
+
+
+def test_a_wrapper_named_like_boilerplate_is_no_boilerplate():
+    page = '<body><form id="main-form"><div class="with-sidebar"><div><p>The text of the page, as it is. And more of it.</p><p>End.</p></div><div class="sidebar">Other things, here and there.</div></div></form><div class="comments"><p>Nice, I say.</p></div></body>'
+    assert extraction.main_text(page) == "The text of the page, as it is. And more of it.\nEnd."
