@@ -20,8 +20,8 @@ from quarry.functions import text as tx
 from quarry.functions.chunking import chunked
 from quarry.functions.columns import rounded
 from quarry.functions.vector import cosine, nonzero, parsed_embedding
-from quarry.operators import embed, index, search, sync
-from quarry.session import spread
+from quarry.operators import embed, index, inverted, search, sync
+from quarry.session import shared_path, spread
 from quarry.streaming import changes as ch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,6 +174,18 @@ def keyword_topk(spark, sf):
     return search.keyword_topk(_tokenised(spark, sf), KEYWORD_QUERY, 20).select("id", rounded(F.col("rank")).alias("rank"), rounded(F.col("text_score")).alias("score"))
 
 
+@query("inverted_topk", f"WITH {_bm25_sql(KEYWORD_QUERY)} SELECT id, round(rank, 6) AS rank FROM r ORDER BY r.rank, id LIMIT 20")
+def inverted_topk(spark, sf):
+    index_ = inverted.build(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), shared_path(spark, "postings"))
+    return index_.bm25(KEYWORD_QUERY).orderBy("rank", "id").limit(20).select("id", rounded(F.col("rank")).alias("rank"))
+
+
+@query("inverted_phrase", f"WITH {_bm25_sql(PHRASE_QUERY)} SELECT id, round(rank, 6) AS rank FROM r")
+def inverted_phrase(spark, sf):
+    index_ = inverted.build(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), shared_path(spark, "postings"))
+    return index_.bm25(PHRASE_QUERY).select("id", rounded(F.col("rank")).alias("rank"))
+
+
 @query("sources_filter", "SELECT doc_id, source, lang FROM documents WHERE lang = 'en' AND source IN ('src1', 'src3')")
 def sources_filter(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "source", "lang", F.col("lang").alias("model"))

@@ -5,7 +5,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import embed, index, search, sync
+from quarry.operators import embed, index, inverted, search, sync
 from quarry.streaming import changes
 
 
@@ -33,6 +33,14 @@ def test_bm25_equals_an_inverted_index(spark, query):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+@pytest.mark.parametrize("query", ["foo", "foo bar", "foo_bar", "the the", "absent", "FOO_bar_baz", "   ", "_"])
+def test_written_index_equals_scan(spark, tmp_path, query):
+    rows = spark.createDataFrame([*enumerate(TEXTS, 1), (99, None)], "id long, text string")
+    written = inverted.build(rows, str(tmp_path / "index"), buckets=4)
+    want = {r.id: r["rank"] for r in search.bm25(search.with_tokens(rows), query).collect()}
+    assert {r.id: r["rank"] for r in written.bm25(query).collect()} == pytest.approx(want)
+
+
 def hits(spark, score, rows):
     return spark.createDataFrame([(i, f"p{i}", 1, 2, "memory", s, v) for i, s, v in rows], f"id string, path string, start_line int, end_line int, source string, snippet string, {score} double")
 
