@@ -1,42 +1,21 @@
-"""What the operators of this subpackage share: the shared folder, written tables, row batches."""
+"""What the operators of this subpackage share: written tables, row batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import spread
+from quarry.session import shared_dir, shared_path, spread
+
+__all__ = ["WORD", "discard", "document_fold", "let", "per_batch", "read_table", "shared_dir", "shared_path", "written"]
 
 #: Words of most operators: runs without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local master, as in tests, gets a folder of its own if none is set.
-    """
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        sc.setCheckpointDir(folder)
-        folder = sc.getCheckpointDir() or folder
-    return folder.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder; its lineage ends there."""
     spark = df.sparkSession
