@@ -6,6 +6,7 @@ import argparse
 import datetime as dt
 import json
 import os
+import signal
 import sys
 from pathlib import Path
 from typing import Any
@@ -13,6 +14,7 @@ from typing import Any
 from pyspark.sql import functions as F
 
 from quarry import config as settings
+from quarry import folders as folders_
 from quarry.facade import Memory, offline
 from quarry.functions.paths import quarantine_time
 from quarry.operators import sync
@@ -49,6 +51,14 @@ def _parser() -> argparse.ArgumentParser:
     command("sync:validate", (["registry"], {}), (["--days"], {"type": int, "default": 30}), json_out=True)
     command("sync:log", (["-n", "--limit"], {"type": int, "default": 20}), json_out=True)
     command("sync:conflicts", json_out=True)
+    command("sync:init-central", (["central"], {}))
+    command("sync:init", (["central"], {}), (["--path"], {"required": True}), (["--machine"], {"default": os.uname().nodename}))
+    command("sync:list", (["central"], {}), (["--machine"], {}))
+    command("sync:remove", (["central"], {}), (["--path"], {"required": True}), (["--machine"], {"default": os.uname().nodename}))
+    command("watch", (["--poll"], {"type": float, "default": 30.0}), (["--rounds"], {"type": int}))
+    command("watch:status")
+    command("watch:stop")
+    command("watch:logs", (["-n", "--lines"], {"type": int, "default": 50}))
     command("sync:cleanup", (["--days"], {"type": int, "default": 30}), (["--dry-run"], {"action": "store_true"}))
     return parser
 
@@ -58,6 +68,38 @@ def _show(rows: list[dict[str, Any]], as_json: bool = True) -> None:
         print(json.dumps(row, default=str) if as_json else "  ".join(str(v) for v in row.values()))
 
 
+def _plain(args: argparse.Namespace, folder: str) -> int:
+    """Commands that need no session: the watch process and the registry file."""
+    watch = folders_.Watch(str(Path(folder, HIDDEN)), list, str, lambda: None)
+    if args.command == "watch:status":
+        print(json.dumps({"pid": watch.running()}))
+    elif args.command == "watch:stop":
+        if pid := watch.running():
+            os.kill(pid, signal.SIGTERM)
+    elif args.command == "watch:logs":
+        print("\n".join(watch.last_lines(args.lines)))
+    elif args.command == "sync:init-central":
+        made = folders_.make_central(args.central)
+        print(json.dumps(made))
+        return 0 if made["success"] else 1
+    else:
+        registry = folders_.read_registry(args.central)
+        if args.command == "sync:list":
+            _show([m for m in registry["mappings"] if args.machine in (None, m.get("machineId"))])
+            return 0
+        path = args.path.rstrip("/") + "/"
+        others = [m for m in registry["mappings"] if (m.get("path"), m.get("machineId")) != (path, args.machine)]
+        if args.command == "sync:init":
+            if taken := next((m for m in others if m.get("path") == path), None):
+                print(f"{path} is mapped by {taken.get('machineId')} already", file=sys.stderr)
+            home = str(Path.home())
+            local = str(Path(folder).resolve())
+            local = "~" + local[len(home) :] if local.startswith(home) else local
+            others.append({"path": path, "localPath": local, "machineId": args.machine, "lastSync": dt.datetime.now(dt.UTC).isoformat()})
+        folders_.write_registry(args.central, registry | {"mappings": others})
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     folders = settings.resolved_directories(args.dir, args.use_global, str(Path.home()), os.environ.get("MEMORY_DIR"))
@@ -68,6 +110,8 @@ def main(argv: list[str] | None = None) -> int:
         Path(folder, "memory").mkdir(exist_ok=True)
         (hidden / "config.json").write_text("{}")
         return 0
+    if args.command.startswith(("watch:", "sync:init", "sync:list", "sync:remove")):
+        return _plain(args, folder)
     spark = local_session()
     own = read_json(spark, str(hidden / "config.json"), {})
     if args.command == "config":
@@ -100,6 +144,13 @@ def main(argv: list[str] | None = None) -> int:
         print(m.append_today(text) if not args.file else m.append_file(args.file, text) or args.file)
     elif args.command == "upsert":
         memory(folder).write_file(args.file, sys.stdin.read() if args.stdin else args.content or "")
+    elif args.command == "watch":
+
+        def followed(d: str) -> str | None:
+            m = memory(d)
+            return f"{d}: {m.sync()}" if m.is_stale() else None
+
+        folders_.Watch(str(hidden), lambda: folders, followed, lambda: None, args.poll).run(args.rounds)
     elif args.command == "serve":
         Server(ToolExecutor({d: memory(d).search for d in folders})).run()
     elif args.command in ("push", "pull", "sync:status"):
@@ -128,7 +179,7 @@ def main(argv: list[str] | None = None) -> int:
             log.write_text("\n".join(lines[-sync.LOG_ENTRIES :]) + "\n")
         _show(rows)
     elif args.command == "sync:validate":
-        mappings = parsed_registry(spark.read.text(args.registry, wholetext=True).withColumnRenamed("value", "content")).withColumn("last_sync", F.try_to_timestamp("last_sync"))
+        mappings = parsed_registry(spark.createDataFrame([(Path(args.registry).read_text(),)], "content string")).withColumn("last_sync", F.try_to_timestamp("last_sync"))
         _show([r.asDict() for r in sync.validation_issues(mappings, F.current_timestamp(), days=args.days).collect()])
     elif args.command == "sync:log":
         log = hidden / "sync.log"

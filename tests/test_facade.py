@@ -147,3 +147,13 @@ def test_command_line(spark, folder, tmp_path, capsys):
     run("pull", "-d", d, str(central))
     assert (folder / "memory" / "theirs.md").read_text() == "theirs"
     assert [json.loads(line)["operation"] for line in run("sync:log", "-d", d).splitlines()] == ["push", "pull"]
+    assert json.loads(run("sync:init-central", str(central)))["success"]
+    run("sync:init", "-d", d, str(central), "--path", "notes", "--machine", "m1")
+    run("sync:init", "-d", d, str(central), "--path", "notes/", "--machine", "m2")
+    assert [json.loads(x)["machineId"] for x in run("sync:list", str(central)).splitlines()] == ["m1", "m2"]
+    assert "collision" in run("sync:validate", "-d", d, str(central / ".registry.json"))
+    run("sync:remove", str(central), "--path", "notes", "--machine", "m1")
+    assert len(run("sync:list", str(central)).splitlines()) == 1
+    (folder / "memory" / "late.md").write_text("late")
+    run("watch", "-d", d, "--rounds", "1")
+    assert "'new': 2" in run("watch:logs", "-d", d) and json.loads(run("watch:status", "-d", d)) == {"pid": None}
