@@ -140,46 +140,51 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, check, start, mask of the repeated windows; the input has the rows of a group one after another."""
     names = ["key", "check", "start", "mask"]
 
-    def marks(rows: pa.Table) -> pa.RecordBatch:
-        kind = rows["kind"].to_numpy()
-        known = rows.filter(pa.array(kind == _KNOWN)).select(names)
-        rows = rows.filter(pa.array(kind != _KNOWN))
-        mask = np.zeros(rows.num_rows, np.int64)
-        if rows.num_rows:
-            labels, offsets = string_buffer(rows["labels"])
-            label = np.frombuffer(labels.tobytes(), np.uint64)
-            first = offsets[:-1] // 8
-            owner = np.repeat(np.arange(rows.num_rows), np.diff(offsets // 8))
-            bit = np.arange(len(label)) - first[owner]
-            with np.errstate(over="ignore"):
-                node = mix(rows["route"].to_numpy().view(np.uint64)[owner] * np.uint64(0x9E3779B97F4A7C15) + label)
-            _, inverse = np.unique(node, return_inverse=True)
-            leaves = np.bincount(inverse, rows["n"].to_numpy()[owner])
-            mask = np.bitwise_or.reduceat(np.where(leaves[inverse] >= 2, np.int64(1) << bit, 0), first)
+    def parts(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """All labels of the rows, and where each row's begin (and the last ones end)."""
+        labels, offsets = string_buffer(rows["labels"])
+        return np.frombuffer(labels.tobytes(), np.uint64), offsets // 8
+
+    def marks(rows: pa.Table) -> pa.RecordBatch | None:
+        label, at = parts(rows)
+        owner = np.repeat(np.arange(rows.num_rows), np.diff(at))
+        bit = np.arange(len(label)) - at[:-1][owner]
+        with np.errstate(over="ignore"):
+            node = mix(rows["route"].to_numpy().view(np.uint64)[owner] * np.uint64(0x9E3779B97F4A7C15) + label)
+        _, inverse = np.unique(node, return_inverse=True)
+        leaves = np.bincount(inverse, rows["n"].to_numpy()[owner])
+        mask = np.bitwise_or.reduceat(np.where(leaves[inverse] >= 2, np.int64(1) << bit, 0), at[:-1])
         good = (mask != 0) & (rows["kind"].to_numpy() == _ASK)
-        found = rows.select(names[:3]).append_column("mask", pa.array(mask)).filter(pa.array(good))
-        out = pa.concat_tables([found, known.cast(found.schema)]).combine_chunks()
+        return found(rows.set_column(rows.schema.get_field_index("mask"), "mask", pa.array(mask)).filter(pa.array(good)))
+
+    def found(rows: pa.Table) -> pa.RecordBatch | None:
+        out = rows.select(names).combine_chunks()
         return out.to_batches()[0] if out.num_rows else None
 
     held: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
+        known = table["kind"].to_numpy() == _KNOWN
+        if known.any():
+            yield found(table.filter(pa.array(known)))
+            table = table.filter(pa.array(~known))
+        if not table.num_rows:
+            continue
         held = table if held is None else pa.concat_tables([held, table])
         route = held["route"].to_numpy()
-        cut = int(np.flatnonzero(route != route[-1])[-1]) + 1 if (route != route[-1]).any() else 0
-        if cut:
-            if (out := marks(held.slice(0, cut))) is not None:
-                yield out
-            held = held.slice(cut).combine_chunks()
-        one = held["kind"].to_numpy()
-        if held.num_rows > 4096 and (np.diff(string_buffer(held["labels"])[1])[one != _KNOWN] == 8).all() and held["n"].to_numpy().sum() >= 2:
-            # a group of one window: it is repeated, and one row that says so may stand for it
-            if (out := marks(held)) is not None:
+        other = np.flatnonzero(route != route[-1])
+        if len(other):
+            if (out := marks(held.slice(0, int(other[-1]) + 1))) is not None:
                 yield out
-            stays = {"kind": _COUNT, "n": 2}
-            last = held.slice(int(np.flatnonzero(one != _KNOWN)[-1]) if (one != _KNOWN).any() else 0, 1).to_pylist()[0]
-            held = pa.Table.from_pylist([last | stays], schema=held.schema)
-    if held is not None and held.num_rows and (out := marks(held)) is not None:
+            held = held.slice(int(other[-1]) + 1).combine_chunks()
+        if held.num_rows > 4096:
+            label, _ = parts(held)
+            if (label == label[0]).all():
+                # a group of one window: it is repeated, and one row that says so stands for those seen
+                if (out := marks(held)) is not None:
+                    yield out
+                held = pa.Table.from_pylist([held.slice(0, 1).to_pylist()[0] | {"kind": _COUNT, "n": 2}], schema=held.schema)
+    if held is not None and (out := marks(held)) is not None:
         yield out
 
 

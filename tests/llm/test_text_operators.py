@@ -114,6 +114,16 @@ def test_repeats_of_a_hot_passage(spark):
     assert substring.without_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group_rows", [20_000, 0])
+def test_repeats_in_a_group_of_many_single_windows(spark, group_rows):
+    """Thousands of windows that share a gram, in pairs, and thousands that are all the same."""
+    common = " ".join(f"c{i}" for i in range(11))
+    texts = [f"{common} u{i % 7000}" for i in range(12_000)] + ["e " * 11 + "f"] * 9000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.without_repeats(docs, 12, 11, group_rows=group_rows, with_text=False).collect()}
+    assert [out[i] for i in range(len(texts))] == brute.repeats(texts, 12)
+
+
 def test_simhash(docs, rows):
     out = simhash.near_duplicates(docs).collect()
     prints = [brute.simhash(r.text) for r in rows]
