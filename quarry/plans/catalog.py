@@ -542,7 +542,7 @@ _LINES = """SELECT doc_id, CASE WHEN quality = 0 THEN '{"custom_id":"' || doc_id
     ELSE '{"custom_id":"' || doc_id || '","response":{"status_code":200,"body":{"data":[{"embedding":[1.5,' || doc_id || ']}]}}}' END AS line FROM labels"""
 
 
-@query("batch_output_validate", "SELECT doc_id::VARCHAR AS id, CASE WHEN quality = 0 THEN 'bad' WHEN toxic = 1 THEN 'empty embedding' END AS problem, CASE WHEN quality = 1 AND toxic = 0 THEN 1.5 + doc_id END AS total FROM labels")
+@query("batch_output_validate", "SELECT doc_id::VARCHAR AS id, CASE WHEN quality = 0 THEN 'bad' WHEN toxic = 1 THEN 'empty embedding' END AS problem, CASE WHEN quality = 1 AND toxic = 0 THEN 1.5::DOUBLE + doc_id END AS total FROM labels")
 def batch_output_validate(spark, sf):
     ident = F.col("doc_id").cast("string")
     good = F.concat(F.lit('{"custom_id":"'), ident, F.lit('","response":{"status_code":200,"body":{"data":[{"embedding":[1.5,'), ident, F.lit("]}]}}}"))
@@ -814,6 +814,42 @@ def stream_last_event(spark, sf):
     return ch.last_events(_file_events(spark, sf), _GAP)
 
 
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream: the file source lists what the pattern matches."""
+    return spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
+
+
+@query(
+    "stream_incremental_index",
+    """WITH f AS (SELECT 'f' || json_extract_string(props, '$.k') AS path, arg_max((event_type, user_id), (ts, event_id)) AS l FROM events GROUP BY 1)
+    SELECT path, l[2]::VARCHAR AS text FROM f WHERE l[1] <> 'click'""",
+)
+def stream_incremental_index(spark, sf):
+    """A streaming run over the change events; a click takes the file out of the index, other events put it in."""
+    e = _event_stream(spark, sf)
+    file = F.concat(F.lit("f"), F.get_json_object("props", "$.k"))
+    event = F.when(F.col("event_type") == "click", "unlink").otherwise(F.col("event_type"))
+    changes_ = e.select(file.alias("file"), event.alias("event"), F.col("user_id").cast("string").alias("text"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    follow = ch.FollowingIndex(shared_path(spark, "following"))
+    ch.follow(changes_, follow, shared_path(spark, "stream")).awaitTermination()
+    return follow.table(spark)
+
+
+@query("stream_windowed_counts", "SELECT epoch_us(date_trunc('day', ts)) AS started, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_windowed_counts(spark, sf):
+    """Counts by day and type, kept by a streaming aggregation and written whole after each micro-batch."""
+    e = _event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    days = e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    rows = days.select(F.unix_micros("w.start").alias("started"), "event_type", "n", "total")
+    path = shared_path(spark, "windowed")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    rows.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 @query("config_merge", "SELECT n_nationkey, coalesce(CASE WHEN length(n_name) > 6 THEN n_name END, r_name, 'default') AS value, map_from_entries([('a', n_name), ('b', r_name)]) IS NOT NULL AS merged FROM nation JOIN region ON n_regionkey = r_regionkey")
 def config_merge(spark, sf):
     n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
