@@ -81,6 +81,7 @@ def _census(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatch:
 
 
 _GROUP_FIELDS = [("route", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("check", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("mask", pa.int64()), ("labels", pa.binary())]
+_GROUP_NAMES = [name for name, _ in _GROUP_FIELDS]
 _GROUP_SCHEMA = "route long, kind int, key long, check long, start int, n int, mask long, labels binary"
 #: Rows that want an answer, rows that only count, and marks known already.
 _ASK, _COUNT, _KNOWN = 0, 1, 2
@@ -118,22 +119,34 @@ def _suffixes(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatch |
         cuts = np.concatenate([b + np.arange(0, n, RUN) for b, n in zip(begin, sizes, strict=True)])
         for a, z in zip(cuts, np.append(cuts[1:], len(at)), strict=True):
             rows.append((int(least[at[a]].view(np.int64)), _ASK, who[0], who[1], int(at[a]), times[who], 0, labels[at[a] : at[z - 1] + 1].tobytes()))
+    made = []
+    if rows:
+        made.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _GROUP_FIELDS, strict=True)], names=_GROUP_NAMES))
     if deep:
-        label, start, doc = (np.concatenate(x) for x in zip(*deep, strict=True))
-        n = np.array([times[w] for w in people])[doc]
-        found, first, inverse = np.unique(label, return_index=True, return_inverse=True)
-        total = np.bincount(inverse, n)
-        route = mix(label).view(np.int64)
-        for i in np.flatnonzero(total[inverse] >= 2):
-            rows.append((people[doc[i]][0], _KNOWN, *people[doc[i]], int(start[i]), 0, 1, None))
-        for u in np.flatnonzero(total >= 2):
-            i = first[u]
-            rows.append((int(route[i]), _COUNT, 0, 0, 0, 2, 0, label[i].tobytes()))
-        for i in np.flatnonzero(total[inverse] < 2):
-            rows.append((int(route[i]), _ASK, *people[doc[i]], int(start[i]), 1, 0, label[i].tobytes()))
-    if not rows:
-        return None
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _GROUP_FIELDS, strict=True)], names=[n for n, _ in _GROUP_FIELDS])
+        made.append(_deep_rows(*(np.concatenate(x) for x in zip(*deep, strict=True)), np.array([(*who, times[who]) for who in people], np.int64)))
+    return pa.Table.from_batches(made).combine_chunks().to_batches()[0] if made else None
+
+
+def _deep_rows(label: np.ndarray, start: np.ndarray, doc: np.ndarray, people: np.ndarray) -> pa.RecordBatch:
+    """The rows of windows in heavy groups. `people`: key, check and times of each document.
+
+    Copies within the batch answer each other; the group gets one row of them,
+    which only counts.
+    """
+    _, first, inverse = np.unique(label, return_index=True, return_inverse=True)
+    total = np.bincount(inverse, people[doc, 2])
+    known = total[inverse] >= 2
+    told, asks, counts = np.flatnonzero(known), np.flatnonzero(~known), first[total >= 2]
+    at = np.concatenate([told, asks, counts])
+    kind = np.repeat([_KNOWN, _ASK, _COUNT], [len(told), len(asks), len(counts)])
+    who = people[doc[at]]
+    route = np.where(kind == _KNOWN, who[:, 0], mix(label[at]).view(np.int64))
+    size = np.where(kind == _KNOWN, 0, 8)
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    labels = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(label[at[len(told) :]].tobytes())])
+    n = np.where(kind == _COUNT, 2, np.where(kind == _ASK, 1, 0))
+    columns = [route, kind, who[:, 0], who[:, 1], start[at], n, (kind == _KNOWN).astype(np.int64)]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, (_, t) in zip(columns, _GROUP_FIELDS, strict=False)), labels], names=_GROUP_NAMES)
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +201,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def repeats(docs: DataFrame, window: int = 35, gram: int = GRAM, text: str = "text", carry: tuple[str, ...] = ("doc_id",), group_rows: int = 20_000) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 35, gram: int = GRAM, text: str = "text", carry: tuple[str, ...] = ("doc_id",), group_rows: int = 5_000) -> DataFrame:
     """The carried columns, _text and the marks of repeated windows of every document."""
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.xxhash64(body).alias("_key"), body.alias("_text"))
@@ -221,7 +234,7 @@ def _covered(n_words: int, marks: list[dict] | None, check: int, window: int) ->
     return np.cumsum(edges[:-1]) > 0
 
 
-def without_repeats(docs: DataFrame, window: int = 35, gram: int = GRAM, text: str = "text", carry: tuple[str, ...] = ("doc_id",), group_rows: int = 20_000, with_text: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 35, gram: int = GRAM, text: str = "text", carry: tuple[str, ...] = ("doc_id",), group_rows: int = 5_000, with_text: bool = True) -> DataFrame:
     """The carried columns, n_words, n_removed, kept_sha256, removed (word spans [start, end)) and, if wanted, kept_text."""
     found = repeats(docs, window, gram, text, carry, group_rows)
     n = len(carry)
