@@ -1,0 +1,3 @@
+"""Document memory, retrieval and corpus operators on Apache Spark."""
+
+__version__ = "0.1.0"
