@@ -10,9 +10,9 @@ heading, a short last paragraph) is content too.
 
 The weight is 0 inside elements whose tag, role, class or id says that they are
 menus, page headers, footers, sidebars, notices, adverts, forms or comments, and
-higher inside article or main elements. What a class, id or form element says is
-taken back, from the largest element on, if no sentence of the page is left
-otherwise: such an element wraps the whole page.
+higher inside article or main elements. If no sentence of the page is left, that
+is taken back, from the largest element on, for elements that hold an article or
+paragraphs: such an element wraps the page or was never closed.
 
 Defined cases: null and empty pages have an empty text; text outside any block
 is a block; unclosed and crossed elements are closed as browsers do for
@@ -37,7 +37,9 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
-SKIPPED = frozenset("head script style noscript template textarea title iframe xmp noembed noframes svg math canvas object audio video select option button nav aside footer dialog menu".split())
+SKIPPED = frozenset("head script style noscript template textarea title iframe xmp noembed noframes svg math canvas object audio video select option button".split())
+#: Elements that say that they are something beside the text.
+BESIDE = frozenset("nav aside footer dialog menu form".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ITEM_LISTS = frozenset("ul ol menu dl table tbody thead tfoot select body html div article section".split())
@@ -195,10 +197,10 @@ def text_nodes(page: str) -> list[Node]:
         if value in VOID:
             continue
         _, path, weight, marks = stack[-1]
-        if value == "form" or (value not in ("html", "body", *CONTENT) and _says_boilerplate(attributes)):
+        if value in BESIDE or (value == "header" and weight <= 1.0) or (value not in ("html", "body", *CONTENT) and _says_boilerplate(attributes)):
             marked += 1
             marks = (*marks, marked)
-        if value in SKIPPED or (value == "header" and weight <= 1.0):
+        if value in SKIPPED:
             weight = 0.0
         elif value in CONTENT and weight:
             weight = 8.0
@@ -224,11 +226,13 @@ def _open(nodes: list[Node]) -> list[Node]:
     """The nodes that no element says to be something else, see above."""
     rest = [n for n in nodes if n.weight > 0]
     size: dict[int, int] = {}
+    prose: dict[int, int] = {}
     for n in rest:
         for mark in n.marks:
             size[mark] = size.get(mark, 0) + len(n.text)
+            prose[mark] = prose.get(mark, 0) + (2 if n.weight > 1 else n.path.endswith("/p"))
     kept = set(size)
-    for mark in [None, *sorted(size, key=lambda m: (-size[m], m))]:
+    for mark in [None, *sorted((m for m in size if prose[m] >= 2), key=lambda m: (-size[m], m))]:
         kept.discard(mark)
         found = [n for n in rest if not kept.intersection(n.marks)]
         if any(len(n.text) - n.linked >= 25 and _PUNCTUATION.search(n.text) for n in found):

@@ -267,3 +267,10 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
 def test_a_wrapper_named_like_boilerplate_is_no_boilerplate():
     page = '<body><form id="main-form"><div class="with-sidebar"><div><p>The text of the page, as it is. And more of it.</p><p>End.</p></div><div class="sidebar">Other things, here and there.</div></div></form><div class="comments"><p>Nice, I say.</p></div></body>'
     assert extraction.main_text(page) == "The text of the page, as it is. And more of it.\nEnd."
+
+
+def test_elements_that_are_never_closed():
+    text = "The text of the page, as it is. And more of it."
+    assert extraction.main_text(f"<body><nav><ul><li><a href=x>Home</a><li><a>About us, and more of that.</a><article><p>{text}<p>End.</article>") == text + "\nEnd."
+    assert extraction.main_text(f'<body><div class="ad">Buy this, and that, and more.<article><p>{text}</article><footer>All rights, as ever, reserved.') == text
+    assert extraction.main_text("<body><nav><a>Home</a></nav><footer>All rights reserved, as ever, by all of us.</footer></body>") == ""
