@@ -119,7 +119,12 @@ def one_of_each(docs: DataFrame, radius: int = 2, text: str = "text", doc_id: st
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     tagged = docs.select(doc_id, text).withColumn("_text_key", key)
     prints = written(fingerprints(tagged, text, (doc_id, "_text_key"), shingle), "prints")
-    roots = components(links(prints, radius))
+    return kept_rows(docs, prints, components(links(prints, radius)), text, doc_id, broadcast_keys)
+
+
+def kept_rows(docs: DataFrame, prints: DataFrame, roots: DataFrame, text: str, doc_id: str, broadcast_keys: int) -> DataFrame:
+    """The rows that `one_of_each` keeps, by the components of the names in _fp."""
+    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_text_key").alias("key"))
     best = prints.groupBy("_fp").agg(F.min(order).alias("_best"))
     known = best.join(roots, best["_fp"] == roots["node"], "left").select("_fp", "_best", F.coalesce("root", "_fp").alias("_root"))
