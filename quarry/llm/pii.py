@@ -2,17 +2,21 @@
 
 Base spans are emails, IP addresses, card and phone numbers. Each distinct
 value found is a protected entity. How strongly a term reveals an entity is
-estimated from the corpus: with N documents, n(c) contexts of entity c, n(t)
-documents with term t and n(c,t) contexts of c with t,
+estimated from whole documents, copies of a text counted once in n(c), n(c,t)
+and m(t): with N documents, n(c) texts with entity c, n(t) with term t and n(c,t) with both,
 
     PMI(c;t) = log(N * n(c,t) / (n(c) * n(t))),    IC(c) = log(N / n(c)),
 
 and PMI / IC is the share of what there is to know about c that t discloses: 1
-if t occurs only beside c. Terms at or above `generalise_at` are replaced by a
-coarse label, those at or above `remove_at` are taken out, in documents that
-hold the entity. Contexts are counted once however often they are copied, and a
-term needs `min_contexts` different ones, so that a text and its copies do not
-make all their rare words disclosing.
+if t occurs only beside c. Rare support shrinks it: with m(t) texts that hold
+t and any protected value, e = m(t)^2 / n(t) is the evidence that t goes with
+protected values, and the share is multiplied by e^2 / (e^2 + shrinkage). The
+evidence is the term's over all entities, so that an entity used once can have
+disclosing terms. A term in one text only has a weight of a third: such a text
+and its copies cannot tell a name from any other rare word.
+
+Terms at or above `generalise_at` are replaced by a coarse label, those at or
+above `remove_at` are taken out, anywhere in texts that hold the entity.
 
 Only DataFrame functions are used. The patterns are written with possessive
 groups and look-behinds that find the same matches as the plain patterns
@@ -53,9 +57,7 @@ _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 class Disclosure:
     """Thresholds of the corpus statistics."""
 
-    context_words: int = 5
-    context_chars: int = 120
-    min_contexts: int = 3
+    shrinkage: float = 2.0
     generalise_at: float = 0.5
     remove_at: float = 0.8
 
@@ -112,51 +114,49 @@ def _entity(kind: Column, value: Column) -> Column:
     return F.concat_ws(":", kind, F.when(kind.isin("card", "phone"), F.regexp_replace(value, "[^0-9]", "")).otherwise(F.lower(value)))
 
 
-def _context(text: Column, span: Column, d: Disclosure) -> Column:
-    """The words beside a span, at most `context_words` on each side."""
-    left_from = F.greatest(span["start"] - d.context_chars, F.lit(0))
-    left = F.substring(text, left_from + 1, span["start"] - left_from)
-    right = F.substring(text, span["end"] + 1, F.lit(d.context_chars))
-    words = lambda s: F.regexp_extract_all(F.lower(F.regexp_replace(s, PATTERNS["email"], " ")), F.lit(_WORD), F.lit(0))
-    # a word that the cut goes through stays out
-    left = F.when(left_from > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.when(F.length(right) == d.context_chars, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    last = let(words(left), lambda w: F.slice(w, F.greatest(F.size(w) - d.context_words + 1, F.lit(1)), d.context_words))
-    return F.concat(last, F.slice(words(right), 1, d.context_words))
+def _terms(text: Column) -> Column:
+    """The distinct words of a text, those of its emails left out."""
+    plain = F.when(text.contains("@"), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(_WORD), F.lit(0)))
 
 
-def found_spans(docs: DataFrame, d: Disclosure = Disclosure(), text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """A written table of the columns `carry`, _key (the text's MD5), spans and contexts of every document, without texts."""
+def found_spans(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """A written table of the columns `carry`, _key (the text's MD5), spans and entities of every document, terms of those with entities, without texts."""
     body = F.coalesce(F.col(text), F.lit(""))
     # the generator of one row keeps the spans from being computed for each use
     out = docs.select(*carry, body.alias("_text"), F.md5(body).alias("_key"))
-    out = out.select(*carry, "_key", let(out["_text"], lambda t: let(base_spans(t), lambda s: F.struct(s.alias("s"), F.transform(s, lambda x: F.struct(_entity(x["kind"], x["value"]).alias("entity"), _context(t, x, d).alias("terms"))).alias("c")))).alias("_f"))
-    return written(out.select(*carry, "_key", F.col("_f.s").alias("spans"), F.col("_f.c").alias("contexts")), "spans")
+    terms = lambda t, s: F.when(F.size(s) > 0, _terms(t)).otherwise(F.expr("cast(array() as array<string>)"))
+    out = out.select(*carry, "_key", let(out["_text"], lambda t: let(base_spans(t), lambda s: F.struct(s.alias("s"), F.array_distinct(F.transform(s, lambda x: _entity(x["kind"], x["value"]))).alias("e"), terms(t, s).alias("t")))).alias("_f"))
+    return written(out.select(*carry, "_key", F.col("_f.s").alias("spans"), F.col("_f.e").alias("entities"), F.col("_f.t").alias("terms")), "spans")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, d: Disclosure = Disclosure(), text: str = "text") -> DataFrame:
-    """entity, term, n_contexts, share: the terms at or above `generalise_at`.
+    """entity, term, n_texts, share: the terms at or above `generalise_at`.
 
     Counts are sums that every task makes of its own rows first, so an entity
-    or a term in a third of all documents does not gather in one task.
+    or a term in a third of all documents does not gather in one task. Terms
+    whose weight alone is too small are left out before entities are paired.
     """
-    contexts = found.select(F.explode("contexts").alias("x")).select("x.entity", F.array_distinct("x.terms").alias("terms")).distinct()
-    of_entity = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    pairs = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"))
-    pairs = written(pairs.where(F.col("n_ct") >= d.min_contexts).join(of_entity, "entity"), "pairs")
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(_WORD), F.lit(0)))).alias("term"))
+    held = written(found.where(F.size("entities") > 0).groupBy("_key").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms")), "held")
+    of_entity = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
+    of_held = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("m_t"))
+    terms = docs.select(F.explode(_terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
     of_term = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n = found.count()
-    joined = pairs.join(of_term, "term")
-    pmi = F.log(F.lit(float(n)) * F.col("n_ct") / (F.col("n_c") * F.greatest(F.col("n_t"), F.col("n_ct"))))
+    evidence = F.col("m_t") * F.col("m_t") / F.col("n_t")
+    weighed = of_held.join(of_term, "term").select("term", "n_t", (evidence * evidence / (evidence * evidence + F.lit(d.shrinkage))).alias("weight"))
+    weighed = written(weighed.where(F.col("weight") >= d.generalise_at), "weights")
+    pairs = held.select("_key", F.explode("terms").alias("term")).join(weighed, "term").join(held.select("_key", F.explode("entities").alias("entity")), "_key")
+    pairs = pairs.groupBy("entity", "term", "n_t", "weight").agg(F.count(F.lit(1)).alias("n_ct")).join(of_entity, "entity")
+    pmi = F.log(F.lit(float(n)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     content = F.log(F.lit(float(n)) / F.col("n_c"))
-    out = joined.withColumn("share", F.when(content > 0, pmi / content)).where(F.col("share") >= d.generalise_at)
-    return written(out.select("entity", "term", F.col("n_ct").alias("n_contexts"), "share"), "terms")
+    out = pairs.withColumn("share", F.when(content > 0, F.col("weight") * pmi / content)).where(F.col("share") >= d.generalise_at)
+    return written(out.select("entity", "term", F.col("n_ct").alias("n_texts"), "share"), "terms")
 
 
 def _terms_of_texts(found: DataFrame, terms: DataFrame) -> DataFrame:
     """_key, pattern, removed: for each text that holds an entity with disclosing terms."""
-    held = found.select("_key", F.explode("contexts").alias("x")).select("_key", "x.entity").distinct()
+    held = found.select("_key", F.explode("entities").alias("entity")).distinct()
     hit = held.join(terms, "entity").groupBy("_key", "term").agg(F.max("share").alias("share"))
     each = hit.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("t"))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("t", lambda x: x["term"]), "|"), F.lit(r")(?!\p{L})"))
@@ -170,7 +170,7 @@ def _term_spans(text: Column, pattern: Column, base: Column) -> Column:
 
 def all_spans(docs: DataFrame, d: Disclosure = Disclosure(), text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`carry`, spans (base ones) and term_spans of every document."""
-    found = found_spans(docs, d, text, carry)
+    found = found_spans(docs, text, carry)
     terms = disclosing_terms(docs, found, d, text)
     body = F.coalesce(F.col(text), F.lit(""))
     # copies of one text have one answer; only texts with disclosing terms are looked at again
@@ -193,7 +193,7 @@ def sanitised(docs: DataFrame, d: Disclosure = Disclosure(), text: str = "text")
 
     Where spans overlap, the one that starts first wins, then the longer one.
     """
-    found = found_spans(docs, d, text)
+    found = found_spans(docs, text)
     terms = disclosing_terms(docs, found, d, text)
     body = F.coalesce(F.col("_row")[text], F.lit(""))
     rows = docs.select(F.struct(*docs.columns).alias("_row")).withColumn("_key", F.md5(body))
