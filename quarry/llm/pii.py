@@ -2,8 +2,8 @@
 
 Base spans are emails, IP addresses, card and phone numbers. Each distinct
 value found is a protected entity. How strongly a term reveals an entity is
-estimated from whole documents, copies of a text counted once in n(c), n(c,t)
-and m(t): with N documents, n(c) texts with entity c, n(t) with term t and n(c,t) with both,
+estimated from whole documents, copies of a text counted once: with N texts,
+n(c) texts with entity c, n(t) with term t and n(c,t) with both,
 
     PMI(c;t) = log(N * n(c,t) / (n(c) * n(t))),    IC(c) = log(N / n(c)),
 
@@ -130,7 +130,7 @@ def found_spans(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()
     return written(out.select(*carry, "_key", F.col("_f.s").alias("spans"), F.col("_f.e").alias("entities"), F.col("_f.t").alias("terms")), "spans")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, d: Disclosure = Disclosure(), text: str = "text") -> DataFrame:
+def disclosing_terms(docs: DataFrame, found: DataFrame, d: Disclosure = Disclosure(), text: str = "text", broadcast_keys: int = 200_000) -> DataFrame:
     """entity, term, n_texts, share: the terms at or above `generalise_at`.
 
     Counts are sums that every task makes of its own rows first, so an entity
@@ -140,14 +140,25 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, d: Disclosure = Disclosu
     held = written(found.where(F.size("entities") > 0).groupBy("_key").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms")), "held")
     of_entity = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     of_held = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("m_t"))
-    terms = docs.select(F.explode(_terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
-    of_term = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = found.count()
+    # a row of k copies counts 1/k, so that no text is moved; sums are whole numbers but for rounding
+    copies = written(found.groupBy("_key").agg(F.count(F.lit(1)).alias("k")), "copies")
+    n = copies.count()
+    copied = copies.where("k > 1").withColumnRenamed("_key", "_copied")
+    copied = F.broadcast(copied) if copied.count() <= broadcast_keys else copied
+    body = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(body.alias("_text"), F.md5(body).alias("_key")).join(copied, F.col("_key") == F.col("_copied"), "left")
+    terms = texts.select(F.explode(_terms(F.col("_text"))).alias("term"), (F.lit(1.0) / F.coalesce("k", F.lit(1))).alias("part"))
+    of_term = terms.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_t"))
     evidence = F.col("m_t") * F.col("m_t") / F.col("n_t")
     weighed = of_held.join(of_term, "term").select("term", "n_t", (evidence * evidence / (evidence * evidence + F.lit(d.shrinkage))).alias("weight"))
-    weighed = written(weighed.where(F.col("weight") >= d.generalise_at), "weights")
-    pairs = held.select("_key", F.explode("terms").alias("term")).join(weighed, "term").join(held.select("_key", F.explode("entities").alias("entity")), "_key")
-    pairs = pairs.groupBy("entity", "term", "n_t", "weight").agg(F.count(F.lit(1)).alias("n_ct")).join(of_entity, "entity")
+    most = of_entity.agg(F.max("n_c")).first()[0] or 1
+    # as n(c,t) <= n(c), no pair has a share over this; only what cannot reach the threshold is left out
+    bound = lambda n_c: F.col("weight") * F.log(F.lit(float(n)) / F.col("n_t")) >= (d.generalise_at - 1e-9) * F.log(F.lit(float(n)) / n_c)
+    weighed = written(weighed.where((F.col("weight") >= d.generalise_at) & bound(F.lit(most))), "weights")
+    weighed = F.broadcast(weighed) if weighed.count() <= broadcast_keys else weighed
+    values = held.select("_key", F.explode("entities").alias("entity")).join(of_entity, "entity")
+    pairs = held.select("_key", F.explode("terms").alias("term")).join(weighed, "term").join(values, "_key").where(bound(F.col("n_c")))
+    pairs = pairs.groupBy("entity", "term", "n_t", "n_c", "weight").agg(F.count(F.lit(1)).alias("n_ct"))
     pmi = F.log(F.lit(float(n)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     content = F.log(F.lit(float(n)) / F.col("n_c"))
     out = pairs.withColumn("share", F.when(content > 0, F.col("weight") * pmi / content)).where(F.col("share") >= d.generalise_at)

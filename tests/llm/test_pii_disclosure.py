@@ -17,3 +17,9 @@ def test_a_term_of_two_documents_far_from_the_value(spark):
     far = " tea and help today" * 20
     found = terms(spark, [f"Wonder was here{far} ada@lace.org", f"ada@lace.org{far} says Wonder", f"Byron once{far} +1 234 567 8900", f"george@sea.org{far} for Byron"])
     assert found == {0: ["Wonder"], 1: ["Wonder"], 2: ["Byron"], 3: ["Byron"]}
+
+
+def test_a_large_group_of_copies_counts_once(spark):
+    near = ["Ada Wonder wrote from ada@lace.org about tea", "Mail by Wonder sent via ada@lace.org today", "Ask Wonder or ada@lace.org for help"]
+    assert terms(spark, near) == {i: ["Wonder"] for i in range(3)}
+    assert terms(spark, near + [near[0]] * 600) == {i: ["Wonder"] for i in range(603)}
