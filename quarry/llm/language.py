@@ -6,14 +6,17 @@ text's margins are compared with all codewords by a loss whose bits are weighted
 by how well their classifier does on each language; the nearest codeword wins.
 A text whose two nearest codewords are almost as near is flagged.
 
-Training sees at most `max_train` documents, about as many of each language,
-chosen by a hash of their ids; counts of languages are over all training rows.
-The model is a few arrays, sent to the tasks.
+Training sees about `max_train` documents, as many of each language, chosen by
+a hash of their ids, but of every language LEAST_EACH if it has them and never
+none; counts of languages are over all training rows. The model is a few arrays,
+sent to the tasks. A text is judged as a whole, whatever its length.
 
 Defined cases: null texts and texts without a letter are `und` with score 0 and
-not ambiguous; rows with a null language or id are no training rows; without
-any training row all is `und`; one language only is predicted with score 1;
-repeated rows keep their rows; an empty table gives an empty result.
+not ambiguous; rows with a null language or id or without a letter are no
+training rows; without any training row all is `und`; one language only is
+predicted with score 1; of equally near codewords the first language by name is
+taken and the text is ambiguous; repeated rows keep their rows; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,14 +33,13 @@ from pyspark.sql import types as T
 from quarry.llm.letters import SPACE, blocks, code_points, letter_table, spaced
 
 UNDETERMINED = "und"
-#: Documents that training sees at most, about; n-gram features after hashing; longest n-gram.
+#: Documents that training sees, about; those of each language at least; n-gram features after hashing; longest n-gram.
 MAX_TRAIN = 4000
+LEAST_EACH = 20
 FEATURES = 4096
 LONGEST = 3
 #: Codewords nearer to each other than this share of the loss make a text ambiguous.
 AMBIGUITY = 0.05
-#: The ends of a text: this share of its characters each, but not fewer than END_CHARS; shorter texts have none.
-END_SHARE, END_CHARS = 0.08, 100
 #: More languages than this are taken for a mistake in the column.
 MAX_LANGUAGES = 5000
 
@@ -59,12 +61,6 @@ def counts(text: str) -> np.ndarray | None:
     return total if seen else None
 
 
-def ends(text: str) -> tuple[str, str] | None:
-    """The beginning and the end of a text that is at least four times as long as the least end."""
-    size = max(END_CHARS, int(len(text) * END_SHARE))
-    return (text[:size], text[-size:]) if len(text) >= 4 * END_CHARS else None
-
-
 def scaled(rows: np.ndarray) -> np.ndarray:
     x = np.log1p(rows.astype(np.float32))
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
@@ -133,32 +129,34 @@ def fitted(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 120)
 
 
 def trained(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_train: int = MAX_TRAIN) -> Model | None:
-    """A model of the rows with a language and an id; None if there are none."""
-    rows = rows.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
-    found = {r[0]: r[1] for r in rows.groupBy(lang).agg(F.count(F.lit(1))).limit(MAX_LANGUAGES + 1).collect()}
+    """A model of the rows with a language, an id and a letter in the text; None if there are none."""
+    order = F.xxhash64(F.lit("train"), F.col(doc_id))
+    rows = rows.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), F.col(text).alias("t"), order.alias("o"))
+    found = {r[0]: r[1:] for r in rows.groupBy("l").agg(F.count(F.lit(1)), F.min("o")).limit(MAX_LANGUAGES + 1).collect()}
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang}")
     if not found:
         return None
     languages = sorted(found)
-    each = max(1, max_train // len(languages))
-    odds = F.create_map(*[F.lit(v) for name in languages for v in (name, min(1.0, each / found[name]))])
-    order = F.xxhash64(F.lit("train"), F.col(doc_id))
-    chance = (order.bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) < F.element_at(odds, F.col(lang))
-    picked = rows.where(chance).select(F.col(lang).alias("l"), F.col(text).alias("t"), order.alias("o"))
+    each = max(LEAST_EACH, max_train // len(languages))
+    of_lang = lambda values, kind: F.element_at(F.map_from_arrays(F.lit(languages), F.lit(values).cast(f"array<{kind}>")), F.col("l"))
+    chance = (F.col("o").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) < of_lang([min(1.0, each / found[name][0]) for name in languages], "double")
+    sure = F.col("o") == of_lang([found[name][1] for name in languages], "bigint")  # so that no language is left out
+    picked = rows.where(chance | sure).withColumn("s", sure)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for name, value, o in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, value, o, sure_one in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 c = counts(value or "")
                 if c is not None:
                     at = np.flatnonzero(c)
-                    out.append((name, o, at.astype("<u2").tobytes(), np.minimum(c[at], 65535).astype("<u2").tobytes()))
+                    out.append((name, o, sure_one, at.astype("<u2").tobytes(), np.minimum(c[at], 65535).astype("<u2").tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["l", "o", "i", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["l", "o", "s", "i", "c"])
 
-    sample = picked.mapInArrow(run, "l string, o long, i binary, c binary").orderBy("o", "l").limit(2 * max_train + len(languages)).collect()
+    # twice what is expected: only rows that repeat an id can be more
+    sample = picked.mapInArrow(run, "l string, o long, s boolean, i binary, c binary").orderBy(F.desc("s"), "o", "l").limit(2 * each * len(languages) + len(languages)).collect()
     if not sample:
         return None
     x = np.zeros((len(sample), FEATURES), np.float32)
@@ -187,14 +185,6 @@ def identified(docs: DataFrame, model: Model | None, text: str = "text", carry:
                     score[known], unsure[known] = p, close
                     for i, b in zip(known, best, strict=True):
                         names[i] = model.languages[b]
-                    framed = [(i, [counts(e) for e in frame]) for i in known if (frame := ends(texts[i]))]
-                    framed = [(i, c) for i, c in framed if all(x is not None for x in c)]
-                    if framed:
-                        first, p_first, _ = model.predict(scaled(np.stack([c[0] for _, c in framed])))
-                        last, p_last, _ = model.predict(scaled(np.stack([c[1] for _, c in framed])))
-                        for k, (i, _) in enumerate(framed):
-                            if first[k] == last[k] and model.languages[first[k]] != names[i]:
-                                names[i], score[i], unsure[i] = model.languages[first[k]], min(p_first[k], p_last[k]), True
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(names), pa.array(score), pa.array(unsure)], names=schema.names)
 
     return slim.mapInArrow(run, schema)

@@ -72,6 +72,44 @@ def test_errors_of_single_bits_are_corrected():
     assert unsure.tolist() == [True, False]
 
 
+def test_texts_are_judged_as_a_whole(model):
+    """Sentences of another language at both ends do not outvote the text between them."""
+    docs, trained = model
+    texts = {r.lang: r.t for r in docs.where(F.length("text") > 1500).groupBy("lang").agg(F.min("text").alias("t")).collect()}
+    for a in ("en", "fr"):
+        for b in set(texts) - {a}:
+            frame, body = texts[b][:250], " ".join(r.text for r in docs.where((F.col("lang") == a) & (F.length("text") > 900)).orderBy("doc_id").limit(3).collect())[:2800]
+            best, _, _ = trained.predict(language.scaled(np.stack([language.counts(f"{frame} {body} {frame}")])))
+            assert trained.languages[best[0]] == a
+
+
+def test_decoding_against_plain_loops():
+    rng = np.random.default_rng(3)
+    for k in (2, 4, 7):
+        code = language.codewords(k)
+        bits = code.shape[1]
+        weights, trust = rng.normal(size=(9, bits)), rng.random((k, bits))
+        trust /= trust.sum(axis=1, keepdims=True)
+        x = rng.normal(size=(20, 8))
+        best, score, unsure = language.Model([str(i) for i in range(k)], code, weights, trust).predict(x)
+        for r in range(len(x)):
+            margins = [sum(x[r, f] * weights[f, b] for f in range(8)) + weights[8, b] for b in range(bits)]
+            loss = [sum(trust[c, b] * np.log(1 + np.exp(-margins[b] * code[c, b])) for b in range(bits)) for c in range(k)]
+            near = sorted(loss)
+            assert best[r] == loss.index(near[0]) and unsure[r] == (near[1] - near[0] < language.AMBIGUITY * sum(loss) / k)
+            assert score[r] == pytest.approx(1 / sum(np.exp(-4 * (v - near[0])) for v in loss))
+
+
+def test_every_language_is_learned(spark):
+    """Also one row among thousands, repeated rows and ids, and training on few rows."""
+    rows = [(i, f"the and of that is {i}", "en") for i in range(3000)] + [(5000, "der und das ist nicht", "de")] + [(6000, "los que para una", "es")] * 50 + [(7000, "12 34", "xx"), (None, "le la les", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trained = language.trained(docs, max_train=30)
+    assert trained.languages == ["de", "en", "es"]
+    found = language.identified(docs.where("doc_id >= 5000"), trained).distinct().collect()
+    assert {(r.doc_id, r.lang_pred) for r in found} == {(5000, "de"), (6000, "es"), (7000, "und")}
+
+
 # --- toxicity ---
 
 
