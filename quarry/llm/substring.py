@@ -324,13 +324,15 @@ def repeats(docs: DataFrame, window: int = 35, gram: int = GRAM, text: str = "te
     total = census.groupBy("gram").agg(F.sum("n").alias("total")).where("total >= 2")
     repeated = census.select("gram", "key").join(total, "gram")
     heavy = F.col("total") > group_rows
-    of_text = repeated.groupBy("key").agg(F.collect_set(F.when(~heavy, F.col("gram"))).alias("light"), F.collect_set(F.when(heavy, F.col("gram"))).alias("heavy"))
+    # grouped by another key than the join's, so that the documents' side of a hot text can be split in the join
+    other, back = F.col("key").cast("string").alias("_of"), F.col("_of").cast("long").alias("key")
+    of_text = repeated.groupBy(other).agg(F.collect_set(F.when(~heavy, F.col("gram"))).alias("light"), F.collect_set(F.when(heavy, F.col("gram"))).alias("heavy")).select(back, "light", "heavy")
     # every column is named on both sides, so that both joins read one exchange of the documents
     asked = keyed.join(of_text, keyed["_key"] == of_text["key"])
     n = len(carry)
     suffixes = asked.select("_key", "_text", "light", "heavy", *[f"_c{i}" for i in range(n)]).mapInArrow(per_batch(lambda b: _suffixes(b, window, gram)), _GROUP_SCHEMA)
     marked = suffixes.repartition("route").sortWithinPartitions("route").mapInArrow(lambda batches: _trees(batches, window), "key long, check long, start int, mask long")
-    marks = marked.groupBy("key").agg(F.collect_set(F.struct("check", "start", "mask")).alias("_marks"))
+    marks = marked.groupBy(other).agg(F.collect_set(F.struct("check", "start", "mask")).alias("_marks")).select(back, "_marks")
     out = keyed.join(marks, keyed["_key"] == marks["key"], "left")
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "_text", "_marks")
 
