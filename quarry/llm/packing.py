@@ -3,11 +3,18 @@
 Windows have a capacity; N[h] is the number of partially filled windows at fill
 level h, kept in an array over the levels. A document goes where the sum of
 N[h] ** 2 is least afterwards, a new window included. Documents as long as a
-window or longer first give off full windows. When a task has read all its
-documents, the windows left open are drained: the emptiest are cut up to fill
-the fullest, and what the last one holds is cut at powers of two, which need no
-padding. Every task packs by itself and its sequence ids start with its number,
-so nothing is shuffled or gathered.
+window or longer first give off full windows.
+
+Token ids are made in all tasks and written. Lengths alone are then packed, by
+tasks of about `task_docs` documents each, so that a task has enough of them for
+the rule to fill windows: the more it sees, the more windows end exactly full.
+After its documents a task drains the windows left open: the emptiest are cut up
+to fill the fullest, and what the last one holds is cut at powers of two, which
+need no padding. A task of more than twice `task_docs` documents drains in
+between, which bounds the open windows. Only pieces that were cut go back to
+their ids. Every task packs by itself and its sequence ids start with its
+number. `closed_by` says what filled a sequence: `whole` (one long document),
+`rule`, or `drain`.
 
 Defined cases: null and empty texts are one end token; null ids and repeated
 rows are packed like any other; a document of any length is cut into windows as
@@ -28,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.common import written
 from quarry.llm.textvec import WHITE, word_spans, word_symbols
 
 CAPACITY = 2048
@@ -38,6 +46,8 @@ _PLAIN = re.compile("[\\t-\\r -~À-ÖØ-öø-įı-ſ]*")
 _FAST = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-z0-9ß-öø-ſ]+")
 #: Runs without white space of which the ids are kept.
 _KEPT_RUNS = 2_000_000
+#: Documents that one task packs, about.
+TASK_DOCS = 25_000
 
 
 def default_vocabulary() -> str:
@@ -128,9 +138,9 @@ def encoder(path: str) -> Encoder:
 
 
 class SumOfSquares:
-    """Open windows by level. Pieces are (payload, length); full windows are handed to `close`."""
+    """Open windows by level. Pieces are (payload, length); full windows are handed to `close` with what filled them."""
 
-    def __init__(self, capacity: int, close: Callable[[list], None]):
+    def __init__(self, capacity: int, close: Callable[[list, str], None]):
         self.capacity, self.close = capacity, close
         self.count = np.zeros(capacity + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(capacity + 1)]
@@ -155,7 +165,7 @@ class SumOfSquares:
             window = []
         window.append((piece, size))
         if level + size == self.capacity:
-            self.close(window)
+            self.close(window, "rule")
         else:
             self.open[level + size].append(window)
             self.count[level + size] += 1
@@ -178,7 +188,7 @@ class SumOfSquares:
                 window.append((piece, n))
                 room -= n
             if not room:
-                self.close(window)
+                self.close(window, "drain")
                 continue
             size = 1 << (self.capacity.bit_length() - 1)
             while window:  # the only one that is left: by powers of two
@@ -194,67 +204,101 @@ class SumOfSquares:
                         n = size - have
                     part.append((piece, n))
                     have += n
-                self.close(part)
+                self.close(part, "drain")
         self.open = [[] for _ in range(self.capacity + 1)]
         self.count[:] = 0
 
 
-def packed(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
-    """One row per piece: the carried columns, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if wanted."""
+def encoded(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+    """The written table of the carried columns (c0, ...), row (a number of its own), tokens, the CRC-32 of each window's ids, and ids of every document."""
     vocabulary = vocabulary or default_vocabulary()
-    slim = docs.select(*carry, F.col(text).alias("_text"))
-    numbers = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-    fields = [*slim.schema.fields[:-1], *(T.StructField(n, T.LongType()) for n in numbers)] + [T.StructField("ids", T.BinaryType())] * with_ids
+    n = len(carry)
+    slim = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text).alias("_text"))
+    fields = [*slim.schema.fields[:n], T.StructField("row", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType())), T.StructField("ids", T.BinaryType())]
     schema = T.StructType(fields)
+    last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         coder = encoder(vocabulary)
-        task, made = TaskContext.get().partitionId(), 0
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = [x.tobytes() + last for x in coder.encode([t or "" for t in part.column(n).to_pylist()])]
+                crcs = [[zlib.crc32(x[i : i + 4 * capacity]) for i in range(0, len(x), 4 * capacity)] for x in ids]
+                made = [pa.array(np.arange(number, number + len(ids))), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(ids, pa.binary())]
+                number += len(ids)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *made], names=schema.names)
+
+    return written(slim.mapInArrow(run, schema), "tokens")
+
+
+def placed(tokens: DataFrame, capacity: int = CAPACITY, task_docs: int = TASK_DOCS) -> DataFrame:
+    """One row per piece of the documents of `encoded`: c0, ..., row, start, length, ids_crc32 (null where a document was cut), doc_tokens, sequence_id, offset, closed_by."""
+    carried = [f for f in tokens.schema.fields if f.name not in ("row", "tokens", "crcs", "ids")]
+    numbers = ("row", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    schema = T.StructType([*carried, *(T.StructField(c, T.LongType()) for c in numbers), T.StructField("closed_by", T.StringType())])
+    n = len(carried)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, made, seen = TaskContext.get().partitionId(), 0, 0
         rows: list[tuple] = []
-        end_bytes = np.array([end], "<u4").tobytes()
+        kinds: list[pa.DataType] = []
 
-        def close(window: list) -> None:
+        def close(window: list, by: str) -> None:
             nonlocal made
             offset = 0
-            for (who, start, total, ids), n in window:
-                rows.append((who, start, n, zlib.crc32(ids), total, (task << 32) + made, offset, ids if with_ids else None))
-                offset += n
+            for (who, row, start, total, crc), size in window:
+                rows.append((*who, row, start, size, crc, total, (task << 32) + made, offset, by))
+                offset += size
             made += 1
 
-        def cut(piece: tuple, n: int) -> tuple[tuple, tuple]:
-            who, start, total, ids = piece
-            return (who, start, total, ids[: 4 * n]), (who, start + n, total, ids[4 * n :])
+        def cut(piece: tuple, size: int) -> tuple[tuple, tuple]:
+            who, row, start, total, _ = piece
+            return (who, row, start, total, None), (who, row, start + size, total, None)
 
         def flushed() -> pa.RecordBatch:
-            who, *columns = zip(*rows, strict=True)
-            ids = [pa.array([w[i] for w in who], kinds[i]) for i in range(len(carry))]
-            out = [*ids, *(pa.array(c, pa.int64()) for c in columns[:6])] + [pa.array(columns[6], pa.binary())] * with_ids
+            out = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
             rows.clear()
             return pa.RecordBatch.from_arrays(out, names=schema.names)
 
-        def encoded(texts: pa.Array) -> Iterator[bytes]:
-            for at in range(0, len(texts), 256):
-                for ids in coder.encode([t or "" for t in texts.slice(at, 256).to_pylist()]):
-                    yield ids.tobytes()
-
-        packer, kinds = SumOfSquares(capacity, close), []
+        packer = SumOfSquares(capacity, close)
         for batch in batches:
-            kinds = [batch.column(i).type for i in range(len(carry))]
-            carried = list(zip(*(batch.column(i).to_pylist() for i in range(len(carry))), strict=True)) if carry else [()] * batch.num_rows
-            for who, ids in zip(carried, encoded(batch.column(len(carry))), strict=True):
-                ids += end_bytes
-                total, start = len(ids) // 4, 0
-                while total - start >= capacity:
-                    close([((who, start, total, ids[4 * start : 4 * (start + capacity)]), capacity)])
-                    start += capacity
-                if total > start:
-                    packer.place((who, start, total, ids[4 * start :]), total - start)
+            kinds = [*(batch.column(i).type for i in range(n)), *[pa.int64()] * len(numbers), pa.string()]
+            for *who, row, total, crcs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                full = total // capacity
+                for i in range(full):
+                    close([((who, row, i * capacity, total, crcs[i]), capacity)], "whole")
+                if total > full * capacity:
+                    packer.place((who, row, full * capacity, total, crcs[full]), total - full * capacity)
+                seen += 1
+                if seen >= 2 * task_docs:
+                    packer.drain(cut)
+                    seen = 0
                 if len(rows) >= 5000:
                     yield flushed()
         packer.drain(cut)
         if rows:
             yield flushed()
 
-    return slim.mapInArrow(run, schema)
+    narrow = tokens.select(*[f.name for f in carried], "row", "tokens", "crcs")
+    return narrow.coalesce(max(1, round(tokens.count() / task_docs))).mapInArrow(run, schema)
+
+
+def packed(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, task_docs: int = TASK_DOCS, broadcast_rows: int = 100_000) -> DataFrame:
+    """One row per piece: the carried columns, start, length, ids_crc32, doc_tokens, sequence_id, offset, closed_by, and ids if wanted."""
+    tokens = encoded(docs, text, carry, vocabulary, capacity, end)
+    pieces = written(placed(tokens, capacity, task_docs), "pieces")
+    out = [*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "closed_by"]
+    part = F.substring("ids", (4 * F.col("start") + 1).cast("int"), (4 * F.col("length")).cast("int"))
+    texts = tokens.select(F.col("row").alias("_of"), "ids")
+    if with_ids:
+        return pieces.join(texts, pieces["row"] == texts["_of"]).withColumn("ids", part).select(*out[:-5], F.crc32("ids").alias("ids_crc32"), *out[-4:], "ids")
+    whole, cuts = pieces.where("ids_crc32 is not null"), pieces.where("ids_crc32 is null")
+    cuts = F.broadcast(cuts) if cuts.count() <= broadcast_rows else cuts
+    cut = texts.join(cuts, texts["_of"] == cuts["row"]).withColumn("ids_crc32", F.crc32(part))
+    return whole.select(*out).unionByName(cut.select(*out))

@@ -212,11 +212,28 @@ def test_packing_round_trip(docs, rows):
         if wanted[doc_id, ids] == 1 and sum(d == doc_id for d, _ in wanted) == 1:
             assert sum((p[2] for p in sorted(parts)), ()) == ids
     assert packing.packed(empty(docs)).count() == 0
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "closed_by"]
+    for limit in (100_000, -1):
+        assert sorted(map(str, packing.packed(docs, broadcast_rows=limit).select(columns).collect())) == sorted(map(str, packing.packed(docs, with_ids=True).select(columns).collect()))
+
+
+def test_the_rule_fills_most_sequences(spark):
+    """On sf0.1 in eight or more splits; drains in between leave whole results too."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8)
+    tokens = packing.encoded(docs)
+    pieces = packing.placed(tokens).cache()
+    share = {r.closed_by: r.n for r in pieces.groupBy("closed_by").agg(F.countDistinct("sequence_id").alias("n")).collect()}
+    assert share["rule"] + share["whole"] > 0.8 * sum(share.values()) and share["rule"] > 0.8 * (share["rule"] + share["drain"])
+    often = packing.placed(tokens, task_docs=700)
+    for out in (pieces, often):
+        assert out.agg(F.sum("length")).first()[0] == tokens.agg(F.sum("tokens")).first()[0]
+        fills = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where(f"n != {packing.CAPACITY}")
+        assert fills.where("n & (n - 1) != 0").count() == 0
 
 
 def test_sum_of_squares_places_where_the_sum_is_least():
     closed = []
-    packer = packing.SumOfSquares(10, closed.append)
+    packer = packing.SumOfSquares(10, lambda window, by: closed.append((window, by)))
     rng = np.random.default_rng(1)
     for size in rng.integers(1, 10, 300).tolist():
         before = packer.count.copy()
