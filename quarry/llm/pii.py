@@ -15,20 +15,25 @@ evidence is the term's over all entities, so that an entity used once can have
 disclosing terms. A term in one text only has a weight of a third: such a text
 and its copies cannot tell a name from any other rare word.
 
-Terms at or above `generalise_at` are replaced by a coarse label, those at or
+Terms at or above `generalise_at` are replaced by the class of what they disclose
+most (an email, an address, a card or a phone number of someone), those at or
 above `remove_at` are taken out, anywhere in texts that hold the entity.
 
 Only DataFrame functions are used. The patterns are written with possessive
 groups and look-behinds that find the same matches as the plain patterns
 without going over long runs of word characters or digits again and again.
+Places are running sums in logarithmic steps, and texts are put together from
+pieces, so that time follows a text's length and matches, but for a logarithm.
 
 Defined cases: null text is empty and has no spans; null ids and repeated rows
-keep their rows and are treated by their text alone; an empty table gives an
-empty result; extra columns are kept by `sanitised`.
+keep their rows and are treated by their text alone; an entity that every text
+holds has nothing to disclose; an empty table gives an empty result; extra
+columns are kept by `sanitised`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -50,6 +55,10 @@ PATTERNS = {
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _WORD = r"(?<!\p{L})\p{L}{3,}"
+#: A letter of no script's words, which stands for the letters of an email.
+_BLOT = "\u01c0"
+#: Replacements that are put into one piece of text.
+_PIECE = 256
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -62,24 +71,31 @@ class Disclosure:
     remove_at: float = 0.8
 
 
+def _running(values: Column, join: Callable[[Column, Column], Column], nothing: Column) -> Column:
+    """For each element of an array `join` of it and all before it, in as many steps over the array as its length has bits."""
+
+    def sums(whole: Column) -> Column:
+        n = F.size(whole)
+        steps = F.slice(F.lit(list(range(31))), F.lit(1), F.ceil(F.log2(n)).cast("int"))
+
+        def step(a: Column, k: Column) -> Column:
+            by = F.call_function("shiftleft", F.lit(1), k)
+            return F.zip_with(F.concat(F.array_repeat(nothing, by), F.slice(a, F.lit(1), n - by)), a, join)
+
+        return F.when(n < 2, whole).otherwise(F.aggregate(steps, whole, step))
+
+    return let(values, sums)
+
+
 def _located(text: Column, pattern: Column | str, kind: str) -> Column:
     """All matches with their code point offsets: the texts between matches and the matches take turns."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
 
     def place(found: Column) -> Column:
-        def walk(between: Column) -> Column:
-            lengths = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("b"), m.alias("m")))
-            start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
-
-            def step(a: Column, x: Column) -> Column:
-                begin = a["at"] + x["b"]
-                end = begin + F.length(x["m"])
-                span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["m"].alias("value"))
-                return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
-
-            return F.aggregate(lengths, start, step, lambda a: a["out"])
-
-        return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), walk)).otherwise(F.expr(f"cast(array() as {_SPAN})"))
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        ends = _running(F.zip_with(between, found, lambda b, m: F.length(b) + F.length(m)), lambda a, b: a + b, F.lit(0))
+        spans = F.zip_with(found, ends, lambda m, e: F.struct(F.lit(kind).alias("kind"), (e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
+        return F.when(F.size(found) > 0, spans).otherwise(F.expr(f"cast(array() as {_SPAN})"))
 
     return let(F.regexp_extract_all(text, pattern, F.lit(0)), place)
 
@@ -140,6 +156,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, d: Disclosure = Disclosu
     held = written(found.where(F.size("entities") > 0).groupBy("_key").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms")), "held")
     of_entity = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     of_held = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("m_t"))
+    # as n(t) >= m(t), the evidence is at most m(t): the others cannot have the weight
+    of_held = written(of_held.where(F.col("m_t") * F.col("m_t") / (F.col("m_t") * F.col("m_t") + F.lit(d.shrinkage)) >= d.generalise_at), "held_terms")
+    few = of_held.count() <= broadcast_keys
     # a row of k copies counts 1/k, so that no text is moved; sums are whole numbers but for rounding
     copies = written(found.groupBy("_key").agg(F.count(F.lit(1)).alias("k")), "copies")
     n = copies.count()
@@ -148,6 +167,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, d: Disclosure = Disclosu
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(body.alias("_text"), F.md5(body).alias("_key")).join(copied, F.col("_key") == F.col("_copied"), "left")
     terms = texts.select(F.explode(_terms(F.col("_text"))).alias("term"), (F.lit(1.0) / F.coalesce("k", F.lit(1))).alias("part"))
+    terms = terms.join(F.broadcast(of_held.select("term")), "term", "left_semi") if few else terms
     of_term = terms.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_t"))
     evidence = F.col("m_t") * F.col("m_t") / F.col("n_t")
     weighed = of_held.join(of_term, "term").select("term", "n_t", (evidence * evidence / (evidence * evidence + F.lit(d.shrinkage))).alias("weight"))
@@ -166,17 +186,24 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, d: Disclosure = Disclosu
 
 
 def _terms_of_texts(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """_key, pattern, removed: for each text that holds an entity with disclosing terms."""
+    """_key, _pattern, _share (term to share and the kind of entity it is of): for each text that holds an entity with disclosing terms."""
     held = found.select("_key", F.explode("entities").alias("entity")).distinct()
-    hit = held.join(terms, "entity").groupBy("_key", "term").agg(F.max("share").alias("share"))
+    hit = held.join(terms, "entity").groupBy("_key", "term").agg(F.max(F.struct("share", F.substring_index("entity", ":", 1).alias("of"))).alias("share"))
     each = hit.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("t"))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("t", lambda x: x["term"]), "|"), F.lit(r")(?!\p{L})"))
     return each.select("_key", pattern.alias("_pattern"), F.map_from_entries("t").alias("_share"))
 
 
-def _term_spans(text: Column, pattern: Column, base: Column) -> Column:
-    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.filter(_located(text, pattern, TERM), free)
+def _term_spans(text: Column, pattern: Column) -> Column:
+    """The places of terms outside of emails, the only base spans with letters: those count as a letter that no term has."""
+    email = F.lit(PATTERNS["email"])
+
+    def blotted(found: Column) -> Column:
+        blots = F.concat(F.transform(found, lambda m: F.regexp_replace(m, r"\p{L}", _BLOT)), F.array(F.lit("")))
+        return F.array_join(F.zip_with(F.split(text, email, -1), blots, lambda b, m: F.concat(b, m)), "")
+
+    plain = F.when(text.contains("@"), let(F.regexp_extract_all(text, email, F.lit(0)), blotted)).otherwise(text)
+    return let(plain, lambda t: _located(t, pattern, TERM))
 
 
 def all_spans(docs: DataFrame, d: Disclosure = Disclosure(), text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -188,7 +215,7 @@ def all_spans(docs: DataFrame, d: Disclosure = Disclosure(), text: str = "text",
     wanted = written(_terms_of_texts(found, terms), "patterns")
     texts = docs.select(F.md5(body).alias("_key"), body.alias("_text")).join(wanted, "_key")
     # the grouping key is not the join's, so that a hot text is split in the join and merged in each task
-    texts = texts.groupBy(F.concat("_key", F.lit("")).alias("_of")).agg(F.first(_term_spans(F.col("_text"), F.col("_pattern"), base_spans(F.col("_text")))).alias("term_spans"))
+    texts = texts.groupBy(F.concat("_key", F.lit("")).alias("_of")).agg(F.first(_term_spans(F.col("_text"), F.col("_pattern"))).alias("term_spans"))
     texts = written(texts, "term_spans")
     out = found.join(texts, found["_key"] == texts["_of"], "left")
     return out.select(*carry, "spans", F.coalesce("term_spans", F.expr(f"cast(array() as {_SPAN})")).alias("term_spans"))
@@ -199,10 +226,46 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with spans (start, minus the end, label), sorted and at least one, replaced by their labels."""
+
+    def regions(upto: Column) -> Column:
+        """start, end, label of what overlapping spans cover; `upto` is the furthest end of a span and all before it."""
+        before = F.concat(F.array(F.lit(0)), F.slice(upto, F.lit(1), F.size(upto) - 1))
+        told = F.filter(F.zip_with(spans, before, lambda s, b: F.struct(s["start"].alias("start"), s["label"].alias("label"), b.alias("before"))), lambda x: x["start"] >= x["before"])
+        heads = lambda h: F.zip_with(h, F.concat(F.slice(F.transform(h, lambda x: x["before"]), F.lit(2), F.size(h)), F.array(F.array_max(upto))), lambda x, e: F.struct(x["start"].alias("start"), e.alias("end"), x["label"].alias("label")))
+        return let(told, heads)
+
+    def pieces(r: Column) -> Column:
+        """Each piece has the replacements of _PIECE regions and the text up to the next ones."""
+
+        def piece(k: Column) -> Column:
+            some = F.slice(r, k * _PIECE + 1, F.lit(_PIECE))
+            end = F.coalesce(F.get(r, (k + 1) * _PIECE)["start"], F.length(text))
+
+            def joined(x: Column) -> Column:
+                own = F.struct(F.get(x, F.lit(0))["start"].alias("at"), F.substring(text, F.get(x, F.lit(0))["start"] + 1, end - F.get(x, F.lit(0))["start"]).alias("text"))
+
+                def one(whole: Column) -> Column:
+                    each = lambda s, i: F.concat(s["label"], F.substring(whole["text"], s["end"] - whole["at"] + 1, F.coalesce(F.get(x, i + 1)["start"], end) - s["end"]))
+                    return F.array_join(F.transform(x, each), "")
+
+                return let(own, one)
+
+            return let(some, joined)
+
+        made = F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / _PIECE).cast("int")), piece)
+        return F.concat(F.substring(text, F.lit(1), F.get(r, F.lit(0))["start"]), F.array_join(made, ""))
+
+    furthest = _running(F.transform(spans, lambda s: -s["minus"]), lambda a, b: F.greatest(a, b), F.lit(0))
+    return let(let(furthest, regions), pieces)
+
+
 def sanitised(docs: DataFrame, d: Disclosure = Disclosure(), text: str = "text") -> DataFrame:
-    """`docs` with the text's spans replaced by [KIND], terms by [TERM] or nothing; n_chars, if there, follows the text.
+    """`docs` with the text's spans replaced by [KIND], terms by [KIND-TERM] of what they disclose or by nothing; n_chars, if there, follows the text.
 
-    Where spans overlap, the one that starts first wins, then the longer one.
+    Spans that overlap are replaced together by what stands for the first of
+    them, of equal starts for the longest.
     """
     found = found_spans(docs, text)
     terms = disclosing_terms(docs, found, d, text)
@@ -211,23 +274,14 @@ def sanitised(docs: DataFrame, d: Disclosure = Disclosure(), text: str = "text")
     rows = rows.join(written(_terms_of_texts(found, terms), "patterns"), "_key", "left")
 
     def rebuilt(t: Column, pattern: Column, share: Column) -> Column:
-        def merged(base: Column) -> Column:
-            added = F.when(pattern.isNull(), F.expr(f"cast(array() as {_SPAN})")).otherwise(_term_spans(t, pattern, base))
-            keyed = F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"), s["kind"].alias("kind"), s["value"].alias("value")))
-            start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-            def label(s: Column) -> Column:
-                removed = (s["kind"] == TERM) & (F.element_at(share, F.lower(s["value"])) >= d.remove_at)
-                return F.when(F.coalesce(removed, F.lit(False)), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-
-            def step(a: Column, s: Column) -> Column:
-                piece = F.concat(a["out"], F.substring(t, a["at"] + 1, s["start"] - a["at"]), label(s))
-                return F.when(s["start"] >= a["at"], F.struct((-s["minus"]).alias("at"), piece.alias("out"))).otherwise(a)
-
-            rest = lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t)))
-            return F.when(F.size(keyed) == 0, t).otherwise(F.aggregate(F.sort_array(keyed), start, step, rest))
-
-        return let(base_spans(t), merged)
+        def label(s: Column) -> Column:
+            known = F.element_at(share, F.lower(s["value"]))
+            of_term = F.when(known["share"] >= d.remove_at, F.lit("")).otherwise(F.concat(F.lit("["), F.upper(F.coalesce(known["of"], F.lit("some"))), F.lit("-TERM]")))
+            return F.when(s["kind"] == TERM, of_term).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+
+        added = F.when(pattern.isNull(), F.expr(f"cast(array() as {_SPAN})")).otherwise(_term_spans(t, pattern))
+        keyed = F.transform(F.concat(base_spans(t), added), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"), label(s).alias("label")))
+        return let(F.sort_array(keyed), lambda spans: F.when(F.size(spans) == 0, t).otherwise(_replaced(t, spans)))
 
     clean = let(body, lambda t: rebuilt(t, F.col("_pattern"), F.col("_share")))
     rows = rows.withColumn("_clean", F.when(F.col("_row")[text].isNull(), F.lit(None).cast("string")).otherwise(clean))

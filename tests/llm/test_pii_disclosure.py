@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import random
+import re
+import time
+
+import pytest
+
 from quarry.llm import pii
+from tests.llm import brute
 
 FILLER = [(5000 + i, f"unrelated text about tea and help today number {i}") for i in range(120)]
 
@@ -23,3 +31,58 @@ def test_a_large_group_of_copies_counts_once(spark):
     near = ["Ada Wonder wrote from ada@lace.org about tea", "Mail by Wonder sent via ada@lace.org today", "Ask Wonder or ada@lace.org for help"]
     assert terms(spark, near) == {i: ["Wonder"] for i in range(3)}
     assert terms(spark, near + [near[0]] * 600) == {i: ["Wonder"] for i in range(603)}
+
+
+def plain_shares(texts, shrinkage=2.0):
+    """entity and term to share, by counting in plain loops."""
+    distinct = sorted({t or "" for t in texts})
+    entities = [{_entity(k, t[s:e]) for k, s, e in brute.pii(t)} for t in distinct]
+    words = [set(re.findall(r"[^\W\d_]{3,}", re.sub(brute.PII["email"], " ", t).lower())) for t in distinct]
+    n, out = len(distinct), {}
+    for c in set().union(*entities):
+        n_c = sum(c in e for e in entities)
+        for t in set().union(*words):
+            n_t, n_ct = sum(t in w for w in words), sum(t in w and c in e for w, e in zip(words, entities, strict=True))
+            m_t = sum(t in w and bool(e) for w, e in zip(words, entities, strict=True))
+            if n_ct and n_c < n:
+                evidence = m_t * m_t / n_t
+                out[c, t] = evidence**2 / (evidence**2 + shrinkage) * math.log(n * n_ct / (n_c * n_t)) / math.log(n / n_c)
+    return out
+
+
+def _entity(kind, value):
+    return f"{kind}:{re.sub('[^0-9]', '', value) if kind in ('card', 'phone') else value.lower()}"
+
+
+@pytest.mark.parametrize("limit", [200_000, -1])
+def test_shares_against_plain_counts(spark, limit):
+    rng = random.Random(5)
+    names, values = ["ada", "byron", "wonder", "lace", "tea", "élan"], ["ada@lace.org", "x@y.org", "+1 234 567 8900", "10.0.0.1", "4111 1111 1111 1111"]
+    pairs = dict(zip(names, values, strict=False))
+    with_name = lambda n: f"{n} {pairs[n]} {rng.choice(names)}" if n in pairs and rng.random() < 0.8 else n
+    texts = [f"{with_name(rng.choice(names))} {rng.choice(['the', 'and', 'of'])} {i}" for i in range(60)]
+    texts += [texts[0]] * 30 + [t for _, t in FILLER] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.entity, r.term): r.share for r in pii.disclosing_terms(docs, pii.found_spans(docs), broadcast_keys=limit).collect()}
+    expected = {k: v for k, v in plain_shares(texts).items() if v >= 0.5}
+    assert expected and found.keys() == expected.keys() and all(found[k] == pytest.approx(expected[k]) for k in found)
+
+
+def test_terms_become_the_class_of_what_they_disclose(spark):
+    texts = [f"{n} has {v} here" for n, v in (("Byron", "+1 234 567 8900"), ("Wonder", "ada@lace.org")) for _ in range(2)]
+    texts = [f"{t} {i}" for i, t in enumerate(texts)] + ["Byron at sea", "Wonder at sea"]
+    docs = spark.createDataFrame([*enumerate(texts), *FILLER], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs, pii.Disclosure(generalise_at=0.3, remove_at=0.9)).collect()}
+    assert clean[0].startswith("[PHONE-TERM]") and clean[2].startswith("[EMAIL-TERM]") and "[PHONE]" in clean[1] and "[EMAIL]" in clean[3] and clean[4] == "Byron at sea"
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    n = 100_000
+    texts = [" ".join(f"u{i}@ab.c" for i in range(n)), " ".join(["+1 234 567 8900, 4111 1111 1111 1111, 10.0.0.1,"] * (n // 10))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.monotonic()
+    spans = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.all_spans(docs).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert time.monotonic() - began < 90
+    assert spans == {i: brute.pii(t) for i, t in enumerate(texts)}
+    assert clean[0] == " ".join(["[EMAIL]"] * n) and clean[1].count("[PHONE]") == n // 10 and "1111" not in clean[1]
