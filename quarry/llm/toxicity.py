@@ -5,26 +5,31 @@ ones, digits and signs inside words as the letters they stand for. The lexicon
 has whole words and beginnings of words with the log-odds that labelled toxic
 documents hold them rather than others; of the entries that match a word the
 longest counts. Exception phrases are entries of weight zero, one word or more,
-that cover what stands in them. The weights found are summed and set against the
-length of the text; a logistic function of both, fitted on the same labelled
-documents, gives the score.
+that cover what stands in them: words that only begin like toxic ones, and pairs
+of neighbouring words in which a toxic one is not meant so. Both are learned from
+where the labelled documents have them. The weights found are summed and set
+against the length of the text; a logistic function of both, fitted on the same
+labelled documents, gives the score.
 
-Training sees at most `max_train` labelled documents of either label, chosen by
-a hash of their ids; the lexicon keeps at most `max_entries` entries. Both are
-stated bounds of the model, not of the documents scored.
+Training sees about `max_train` labelled documents of either label, chosen by a
+hash of their ids; that bounds the lexicon too. All that they say is used.
 
 Defined cases: null and empty texts score as texts without a match; rows with a
 null label are no training rows; labels repeated for a document count as often;
 without labels of both kinds the lexicon is empty and all scores are the share
-of toxic labels, 0 without labels; repeated rows keep their rows; an empty table
-gives an empty result.
+of toxic labels, 0 without labels; of entries that start together the longest
+counts, of equal scores none is preferred; a long text with many matches and
+exceptions takes time in proportion; repeated rows keep their rows; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +41,12 @@ from quarry.llm.common import written
 from quarry.llm.letters import look_folded
 
 MAX_TRAIN = 6000
-MAX_ENTRIES = 3000
 #: Lengths of word beginnings that may become entries.
 STEMS = range(3, 9)
-#: Documents an entry must be seen in, and its least log-odds.
+#: Documents an entry must be seen in, its least log-odds, and clean documents an exception must be seen in.
 MIN_SUPPORT = 5
 MIN_WEIGHT = 2.0
-_BLOCK = 1 << 20
+MIN_EXCEPTION = 3
 
 
 def entries_of(folded: str) -> set[str]:
@@ -77,30 +81,53 @@ class Lexicon:
         """1, the summed weights against the words (as logarithms and as a share), the largest weight, and how many entries differ."""
         return self.measured(automaton, look_folded(text or ""))
 
-    def measured(self, automaton, folded: str) -> np.ndarray:
-        words = folded.count(" ") - 1 if len(folded) > 1 else 0
-        total, top, kinds = 0.0, 0.0, set()
+    def matches(self, automaton, folded: str) -> list[tuple[int, int, float]]:
+        """start, end and weight of the entries that count: the longest at each place, outside of exceptions."""
+        best: dict[int, tuple[int, float]] = {}
+        covered: list[tuple[int, int]] = []
         if len(automaton):
-            best: dict[int, tuple[int, float]] = {}
-            covered: list[tuple[int, int]] = []
             for end, (size, weight, exception) in automaton.iter(folded):
                 start = end - size + 1
                 if exception:
                     covered.append((start, end))
                 elif best.get(start, (0, 0.0))[0] < size:
                     best[start] = (size, weight)
-            for start, (size, weight) in best.items():
-                if not any(s <= start and start + size - 1 <= e for s, e in covered):
-                    total += weight
-                    top = max(top, weight)
-                    kinds.add(folded[start : start + size])
+        covered.sort()
+        begins = [s for s, _ in covered]
+        furthest = list(accumulate((e for _, e in covered), max))  # of the exceptions up to each one
+        out = []
+        for start, (size, weight) in best.items():
+            at = bisect_right(begins, start)
+            if not at or furthest[at - 1] < start + size - 1:
+                out.append((start, start + size, weight))
+        return out
+
+    def measured(self, automaton, folded: str) -> np.ndarray:
+        words = folded.count(" ") - 1 if len(folded) > 1 else 0
+        found = self.matches(automaton, folded)
+        total, top = sum(w for *_, w in found), max((w for *_, w in found), default=0.0)
+        kinds = {folded[s:e] for s, e, _ in found}
         return np.array([1.0, np.log1p(total) - np.log1p(words), total / (words + 20.0), top, np.log1p(len(kinds))])
 
+    def contexts(self, automaton, folded: str) -> set[tuple[str, str]]:
+        """The words that entries match in a text, and each with its neighbour before and after."""
+        out = set()
+        for start, end, _ in self.matches(automaton, folded):
+            last = folded.index(" ", end - 1)  # the end of the word that the entry stands for or begins
+            word = folded[start : last + 1]
+            out.add((word, word))
+            before, after = folded.rfind(" ", 0, start), folded.find(" ", last + 1)
+            if before >= 0:
+                out.add((word, folded[before : last + 1]))
+            if after >= 0:
+                out.add((word, folded[start : after + 1]))
+        return out
+
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.coefficients, -30, 30)))
 
 
-def chosen(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, max_entries: int = MAX_ENTRIES) -> dict[str, float]:
+def chosen(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
     """The entries that tell toxic documents from others, without those that a shorter one makes needless.
 
     Entries and counts are of documents. A beginning stands for all words it
@@ -118,18 +145,18 @@ def chosen(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, max_entri
         above = [kept[entry[:k]] for k in range(4, len(entry)) if entry[:k] in kept]
         if not above or weight[entry] > max(above) + 0.7:
             kept[entry] = weight[entry]
-    strongest = sorted(kept, key=lambda e: (-kept[e] * toxic[e] ** 0.5, e))[:max_entries]
-    return {e: kept[e] for e in strongest}
+    return kept
 
 
-def benign_words(weights: dict[str, float], toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> list[str]:
-    """Whole words that a kept beginning matches though they are no likelier in toxic documents."""
-    out = []
-    for entry, b in clean.items():
-        if entry[-1] == " " and b >= 3 and any(entry[:k] in weights for k in range(4, len(entry))):
-            if (toxic.get(entry, 0) + 0.5) / (n_toxic + 1) <= (b + 0.5) / (n_clean + 1):
-                out.append(entry.strip())
-    return sorted(out)
+def exception_phrases(weights: dict[str, float], seen: list[tuple[str, str, int, int]], n_toxic: int, n_clean: int) -> list[str]:
+    """The phrases (word matched, phrase, toxic and clean documents) that are no likelier in toxic documents.
+
+    A word that is an entry itself is no exception, but a phrase with it may be;
+    phrases of a word that is an exception are needless.
+    """
+    good = [(word, phrase) for word, phrase, a, b in seen if b >= MIN_EXCEPTION and (a + 0.5) / (n_toxic + 1) <= (b + 0.5) / (n_clean + 1)]
+    words = {word for word, phrase in good if word == phrase and word not in weights}
+    return sorted({phrase.strip() for word, phrase in good if phrase in words or (word != phrase and word not in words)})
 
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 40) -> np.ndarray:
@@ -173,18 +200,25 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     entries = sample.mapInArrow(count, "entry string, a long, b long").groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    # what can become an entry, and words that such entries might match wrongly
     odds_ratio = (F.col("a") + 0.5) / (n_toxic + 1) / ((F.col("b") + 0.5) / (n_clean + 1))
-    strong = entries.where((F.col("a") >= MIN_SUPPORT) & (F.col("a") > 2 * F.col("b")) & (odds_ratio >= float(np.exp(MIN_WEIGHT))))
-    rows = strong.orderBy(F.desc(F.log(odds_ratio) * F.sqrt("a")), "entry").limit(20 * MAX_ENTRIES).collect()
-    toxic, clean = Counter({r["entry"]: r["a"] for r in rows}), Counter({r["entry"]: r["b"] for r in rows})
-    weights = chosen(toxic, clean, n_toxic, n_clean)
+    # what can become an entry: as many as words of the labelled sample at most
+    rows = entries.where((F.col("a") >= MIN_SUPPORT) & (F.col("a") > 2 * F.col("b")) & (odds_ratio >= float(np.exp(MIN_WEIGHT)))).collect()
+    weights = chosen(Counter({r["entry"]: r["a"] for r in rows}), Counter({r["entry"]: r["b"] for r in rows}), n_toxic, n_clean)
     lexicon = Lexicon(weights, list(exceptions))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.matcher()
+        sums: dict[tuple[str, str], list[int]] = {}
+        for batch in batches:
+            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for pair in lexicon.contexts(automaton, look_folded(t or "")):
+                    sums.setdefault(pair, [0, 0])[1 - y] += 1
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in sums]), pa.array([p[1] for p in sums]), *(pa.array([n[i] for n in sums.values()], pa.int64()) for i in (0, 1))], names=["word", "phrase", "a", "b"])
+
     if weights:
-        stems = [e for e in weights if e[-1] != " "]
-        begins = F.exists(F.transform(F.sequence(F.lit(4), F.greatest(F.length("entry") - 1, F.lit(4))), lambda k: F.col("entry").substr(F.lit(1), k)), lambda p: p.isin(stems))
-        suspects = entries.where(F.col("entry").endswith(" ") & (F.col("b") >= 3) & (odds_ratio <= 1) & begins).orderBy(F.desc("b"), "entry").limit(MAX_ENTRIES).collect()
-        lexicon.exceptions += benign_words(weights, Counter({r["entry"]: r["a"] for r in suspects}), Counter({r["entry"]: r["b"] for r in suspects}), n_toxic, n_clean)
+        seen = sample.mapInArrow(around, "word string, phrase string, a long, b long").groupBy("word", "phrase").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        lexicon.exceptions += exception_phrases(weights, [tuple(r) for r in seen.where((F.col("b") >= MIN_EXCEPTION) & (odds_ratio <= 1)).collect()], n_toxic, n_clean)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.matcher()
