@@ -8,10 +8,11 @@ n(c) texts with entity c, n(t) with term t and n(c,t) with both,
     PMI(c;t) = log(N * n(c,t) / (n(c) * n(t))),    IC(c) = log(N / n(c)),
 
 and PMI / IC is the share of what there is to know about c that t discloses: 1
-if t occurs only beside c. Rare support shrinks it: with m(t) texts that hold
-t and any protected value, e = m(t)^2 / n(t) is the evidence that t goes with
-protected values, and the share is multiplied by e^2 / (e^2 + shrinkage). The
-evidence is the term's over all entities, so that an entity used once can have
+if t occurs only beside c. Two things shrink it. Of the n(t) texts with t, m(t)
+also hold some protected value: m / n says how far t goes with protected values
+at all, and a word that stands beside them by chance has the same small m / n in
+a corpus of any size. And m^2 / (m^2 + shrinkage) says how much there is to go
+by; it is the term's over all entities, so that an entity used once can have
 disclosing terms. A term in one text only has a weight of a third: such a text
 and its copies cannot tell a name from any other rare word.
 
@@ -54,7 +55,6 @@ PATTERNS = {
 #: A string that every match of the kind holds.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-_WORD = r"(?<!\p{L})\p{L}{3,}"
 #: A letter of no script's words, which stands for the letters of an email.
 _BLOT = "\u01c0"
 #: Replacements that are put into one piece of text.
@@ -131,9 +131,9 @@ def _entity(kind: Column, value: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    """The distinct words of a text, those of its emails left out."""
+    """The distinct words of three letters or more of a text, those of its emails left out."""
     plain = F.when(text.contains("@"), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
-    return F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(_WORD), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(r"\p{L}{3,}+"), F.lit(0)))
 
 
 def found_spans(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -156,7 +156,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, d: Disclosure = Disclosu
     held = written(found.where(F.size("entities") > 0).groupBy("_key").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms")), "held")
     of_entity = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     of_held = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("m_t"))
-    # as n(t) >= m(t), the evidence is at most m(t): the others cannot have the weight
+    # as n(t) >= m(t), the others cannot have the weight
     of_held = written(of_held.where(F.col("m_t") * F.col("m_t") / (F.col("m_t") * F.col("m_t") + F.lit(d.shrinkage)) >= d.generalise_at), "held_terms")
     few = of_held.count() <= broadcast_keys
     # a row of k copies counts 1/k, so that no text is moved; sums are whole numbers but for rounding
@@ -169,15 +169,19 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, d: Disclosure = Disclosu
     terms = texts.select(F.explode(_terms(F.col("_text"))).alias("term"), (F.lit(1.0) / F.coalesce("k", F.lit(1))).alias("part"))
     terms = terms.join(F.broadcast(of_held.select("term")), "term", "left_semi") if few else terms
     of_term = terms.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_t"))
-    evidence = F.col("m_t") * F.col("m_t") / F.col("n_t")
-    weighed = of_held.join(of_term, "term").select("term", "n_t", (evidence * evidence / (evidence * evidence + F.lit(d.shrinkage))).alias("weight"))
+    weight = F.col("m_t") / F.col("n_t") * (F.col("m_t") * F.col("m_t") / (F.col("m_t") * F.col("m_t") + F.lit(d.shrinkage)))
+    weighed = of_held.join(of_term, "term").select("term", "n_t", "m_t", weight.alias("weight"))
     most = of_entity.agg(F.max("n_c")).first()[0] or 1
-    # as n(c,t) <= n(c), no pair has a share over this; only what cannot reach the threshold is left out
-    bound = lambda n_c: F.col("weight") * F.log(F.lit(float(n)) / F.col("n_t")) >= (d.generalise_at - 1e-9) * F.log(F.lit(float(n)) / n_c)
-    weighed = written(weighed.where((F.col("weight") >= d.generalise_at) & bound(F.lit(most))), "weights")
+
+    def reachable(n_c: Column) -> Column:
+        """As n(c,t) <= n(c) and n(c,t) <= m(t), other pairs have a smaller share; easiest to reach is n(c) = m(t)."""
+        return F.col("weight") * F.log(F.lit(float(n)) * F.least(n_c, F.col("m_t")) / (n_c * F.col("n_t"))) >= (d.generalise_at - 1e-9) * F.log(F.lit(float(n)) / n_c)
+
+    weighed = written(weighed.where((F.col("weight") >= d.generalise_at) & reachable(F.least(F.lit(most), F.col("m_t")))), "weights")
     weighed = F.broadcast(weighed) if weighed.count() <= broadcast_keys else weighed
-    values = held.select("_key", F.explode("entities").alias("entity")).join(of_entity, "entity")
-    pairs = held.select("_key", F.explode("terms").alias("term")).join(weighed, "term").join(values, "_key").where(bound(F.col("n_c")))
+    values = held.select(F.col("_key").alias("_of"), F.explode("entities").alias("entity")).join(of_entity, "entity")
+    pairs = held.select("_key", F.explode("terms").alias("term")).join(weighed, "term")
+    pairs = pairs.join(values, (F.col("_key") == F.col("_of")) & reachable(F.col("n_c")))
     pairs = pairs.groupBy("entity", "term", "n_t", "n_c", "weight").agg(F.count(F.lit(1)).alias("n_ct"))
     pmi = F.log(F.lit(float(n)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     content = F.log(F.lit(float(n)) / F.col("n_c"))

@@ -110,7 +110,7 @@ _OP2_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, md5(coalesc
     w AS (SELECT DISTINCT key, unnest(regexp_extract_all(lower(regexp_replace(text, '{_PII_SQL["email"]}', ' ', 'g')), '\\pL{{3,}}')) AS term FROM t),
     n AS (SELECT count(*)::DOUBLE AS n FROM t), h AS (SELECT DISTINCT key, entity FROM b), c AS (SELECT entity, count(*) AS n_c FROM h GROUP BY entity),
     m AS (SELECT term, count(*) AS n_t, count(*) FILTER (key IN (SELECT key FROM h)) AS m_t FROM w GROUP BY term),
-    g AS (SELECT term, n_t, power(m_t * m_t / n_t, 2) / (power(m_t * m_t / n_t, 2) + 2.0) AS weight FROM m), p AS (SELECT entity, term, count(*) AS n_ct FROM h JOIN w USING (key) GROUP BY ALL),
+    g AS (SELECT term, n_t, m_t / n_t * (m_t * m_t / (m_t * m_t + 2.0)) AS weight FROM m), p AS (SELECT entity, term, count(*) AS n_ct FROM h JOIN w USING (key) GROUP BY ALL),
     r AS (SELECT entity, term FROM p JOIN c USING (entity) JOIN g USING (term), n WHERE n > n_c AND weight * ln(n * n_ct / (n_c * n_t)) / ln(n / n_c) >= 0.5),
     k AS (SELECT DISTINCT key, term FROM h JOIN r USING (entity)), u AS (SELECT key, text FROM t WHERE key IN (SELECT key FROM k)),
     l AS ({_found_sql("u", "term", "\\pL{3,}")}),

@@ -33,6 +33,14 @@ def test_a_large_group_of_copies_counts_once(spark):
     assert terms(spark, near + [near[0]] * 600) == {i: ["Wonder"] for i in range(603)}
 
 
+def test_words_beside_values_by_chance_disclose_nothing(spark):
+    """A word in every twentieth text, one in twenty of them with a value: at any size."""
+    for size in (400, 4000):
+        docs = spark.createDataFrame([(i, f"chance {i}" if i % 20 == 0 else f"text {i}") for i in range(size)], "doc_id long, text string")
+        docs = docs.selectExpr("doc_id", "if((doc_id * 7) % 20 = 0 and (doc_id div 20) % 20 = 0 or doc_id % 20 = 3, text || ' u' || doc_id || '@ab.c', text) AS text")
+        assert not any(r.term_spans for r in pii.all_spans(docs).collect())
+
+
 def plain_shares(texts, shrinkage=2.0):
     """entity and term to share, by counting in plain loops."""
     distinct = sorted({t or "" for t in texts})
@@ -45,8 +53,7 @@ def plain_shares(texts, shrinkage=2.0):
             n_t, n_ct = sum(t in w for w in words), sum(t in w and c in e for w, e in zip(words, entities, strict=True))
             m_t = sum(t in w and bool(e) for w, e in zip(words, entities, strict=True))
             if n_ct and n_c < n:
-                evidence = m_t * m_t / n_t
-                out[c, t] = evidence**2 / (evidence**2 + shrinkage) * math.log(n * n_ct / (n_c * n_t)) / math.log(n / n_c)
+                out[c, t] = m_t / n_t * m_t**2 / (m_t**2 + shrinkage) * math.log(n * n_ct / (n_c * n_t)) / math.log(n / n_c)
     return out
 
 
