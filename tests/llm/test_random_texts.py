@@ -73,6 +73,24 @@ def test_decontamination(spark, word_texts, window):
     assert [out[i] for i in range(len(texts))] == expected
 
 
+@pytest.mark.parametrize(("window", "slop"), [(10, 20), (3, 2), (2, 40)])
+def test_proximity(spark, word_texts, window, slop):
+    items = [(str(i), t) for i, t in enumerate(word_texts[::60])] + [("50", "the"), ("51", "a bb a")]
+    texts = word_texts[:200]
+    index = positional.build_index(frame(spark, texts), segment_words=700)
+    out = {r.doc_id: (r.n_near, r.near_items) for r in positional.matches(index, spark.createDataFrame(items, "item_id string, text string"), window, slop=slop).collect()}
+    for i, text in enumerate(texts):
+        words, places, near = brute.bench_words(text), set(), set()
+        for item, t in items:
+            w = brute.bench_words(t)
+            n = min(window, len(w))
+            for k in range(len(w) - n + 1 if w else 0):
+                at = {j for j, x in enumerate(words) if x == w[k] and set(w[k : k + n]) <= set(words[max(0, j - slop) : j + slop + 1])}
+                places |= at
+                near |= {item} if at else set()
+        assert out[i] == (len(places), sorted(near))
+
+
 def test_encoding(strings, word_texts):
     """The quick path gives the tokenizer's own ids, and keeps doing so when what it has kept is dropped."""
     encoder = packing.Encoder(packing.default_vocabulary())

@@ -163,8 +163,11 @@ def test_decontamination(spark, sf_dir, docs, rows, monkeypatch):
     wanted = [(r.doc_id, n, h, tuple(i)) for r, (n, h, i) in zip(rows, expected, strict=True)]
     index = positional.build_index(docs, segment_words=5000)
     same([(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in positional.phrases(index, items).collect()], wanted)
-    blocks = positional.query_blocks
-    monkeypatch.setattr(positional, "query_blocks", lambda i, w, k, t: blocks(i, w, k, t, 50))
+    whole, parts = (positional.matches(index, items, block_words=n) for n in (2_000_000, 50))
+    same([(r.doc_id, r.n_words, r.n_hit, tuple(r["hit_items"])) for r in parts.collect()], wanted)
+    same([tuple(map(str, r)) for r in whole.collect()], [tuple(map(str, r)) for r in parts.collect()])
+    monkeypatch.setattr(positional, "_WINDOWS", 7)
+    monkeypatch.setattr(positional, "_CANDIDATES", 3)
     same([(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in positional.phrases(index, items).collect()], wanted)
     assert positional.phrases(positional.build_index(empty(docs)), items).count() == 0
     assert all(r.n_hit == 0 for r in positional.phrases(index, items.limit(0)).collect())
@@ -174,7 +177,8 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "zeta x x alpha x beta x"), (2, "zeta " + "x " * 50 + "alpha beta"), (3, "alpha beta zeta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta zeta")], "item_id long, text string")
     index = positional.build_index(docs)
-    assert {r.doc_id for r in positional.proximity(index, items, slop=6).where("n_hit > 0").collect()} == {1, 3}
+    found = {r.doc_id: r for r in positional.matches(index, items, slop=6).collect()}
+    assert [(found[i].n_near, found[i].near_items, found[i].n_hit) for i in (1, 2, 3)] == [(1, ["1"], 0), (0, [], 0), (1, ["1"], 3)]
     assert {r.doc_id for r in positional.phrases(index, items).where("n_hit > 0").collect()} == {3}
 
 
