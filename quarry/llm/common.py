@@ -10,16 +10,27 @@ from pyspark.sql import functions as F
 
 from quarry.session import shared_dir, shared_path, spread
 
-__all__ = ["WORD", "discard", "document_fold", "let", "per_batch", "read_table", "shared_dir", "shared_path", "written"]
+__all__ = ["WORD", "discard", "document_fold", "let", "passing_path", "per_batch", "read_table", "shared_dir", "shared_path", "written"]
 
 #: Words of most operators: runs without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def passing_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder that goes when the driver ends; one that is killed leaves it."""
+    path = shared_path(spark, name)
+    on_disk = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # the store notes only paths that are there
+    store = on_disk.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(on_disk)
+    store.deleteOnExit(on_disk)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder; its lineage ends there."""
+    """`df` as a Parquet table in the shared folder; its lineage ends there. The table goes when the driver ends."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = passing_path(spark, name) + "/table"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

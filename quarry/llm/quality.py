@@ -8,8 +8,8 @@ its documents.
 
 Defined cases: a null text has no words and so fails; a null host is a host of
 its own; repeated rows count as often as they occur; an empty table gives an
-empty result; further columns are left alone by `with_quality` (its own columns
-start with an underscore or are named in its docstring).
+empty result; further columns are left alone, but for carried ones that are named
+like a measure (MEASURES, host_rate, kept), which give way to it.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ from quarry.llm.common import WORD, let, written
 SYMBOLS = r"[#*$%&|<>]"
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 @dataclass(frozen=True)
 class Rules:
     """Limits of the base rules and of the host verdict."""
@@ -126,24 +129,27 @@ def with_quality(docs: DataFrame, host: str = "source", rules: Rules = Rules(),
     The measures are written once, since the hosts' counts and the join back both need them.
     """
     carry = [c for c in docs.columns if c != text] if carry is None else carry
-    slim = docs.select(*dict.fromkeys([*carry, host, text]))
-    table = written(measured(slim, rules, text).drop(*([] if text in carry else [text])), "quality")
-    verdicts = host_verdicts(table, host, rules).select(F.col("host").alias("_host"), "host_rate", "host_kept")
-    joined = table.join(verdicts, table[host].eqNullSafe(F.col("_host")), "left").drop("_host")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("host_kept")).drop("host_kept")
+    carry = [c for c in carry if c not in (*MEASURES, "host_rate", "kept")]
+    slim = docs.select(F.struct(*[docs[c] for c in carry]).alias("_row") if carry else F.lit(0).alias("_row"), F.col(host).alias("_host"), F.col(text).alias("_text"))
+    table = written(measured(slim, rules, "_text").drop("_text"), "quality")
+    verdicts = host_verdicts(table, "_host", rules).select(F.col("host").alias("_of"), "host_rate", "host_kept")
+    joined = table.join(verdicts, F.col("_host").eqNullSafe(F.col("_of")), "left")
+    return joined.select(*[F.col("_row")[c].alias(c) for c in carry], *MEASURES, "host_rate", (~F.col("base_failed") & F.col("host_kept")).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, host: str = "source", rules: Rules = Rules(), text: str = "text") -> DataFrame:
     """The documents that pass base rules and host verdict, with their own columns.
 
-    Texts are not moved: only the names of rejected hosts are, by broadcast if
-    they are few, else by a join on the host.
+    Texts are measured once: those that pass the base rules are written with
+    their host, the others without their columns, for the hosts' counts. No text
+    is shuffled: only the names of rejected hosts are, by broadcast if they are
+    few, else by a join on the host.
     """
-    names = docs.columns
-    failing = measured(docs.select(host, text), rules, text).select(host, "base_failed")
-    rejected = written(host_verdicts(failing, host, rules).where(~F.col("host_kept")).select(F.col("host").alias("_host")), "hosts")
+    row = F.struct(*docs.columns)
+    found = measured(docs.select(row.alias("_row"), F.col(host).alias("_host"), F.col(text).alias("_text")), rules, "_text")
+    found = written(found.select(F.when(~F.col("base_failed"), F.col("_row")).alias("_row"), "_host", "base_failed"), "measured")
+    rejected = written(host_verdicts(found, "_host", rules).where(~F.col("host_kept")).select(F.col("host").alias("_rejected")), "hosts")
     if rejected.count() <= rules.broadcast_hosts:
         rejected = F.broadcast(rejected)
-    kept = measured(docs.select(F.struct(*names).alias("_row"), F.col(text).alias("_text")), rules, "_text").where(~F.col("base_failed"))
-    kept = kept.join(rejected, kept[f"_row.{host}"].eqNullSafe(F.col("_host")), "left_anti")
+    kept = found.where(~F.col("base_failed")).join(rejected, F.col("_host").eqNullSafe(F.col("_rejected")), "left_anti")
     return kept.select("_row.*")

@@ -26,6 +26,8 @@ from quarry.llm.common import per_batch, written
 from quarry.llm.graph import components
 
 SEED = 42
+#: Variants that a task makes, about.
+VARIANTS_A_TASK = 2_000_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -83,8 +85,11 @@ def links(prints: DataFrame, radius: int = 2, fp: str = "_fp") -> DataFrame:
     is paired out. For an odd radius the balls have the larger half and the
     distance of every two of a variant is looked at.
     """
-    distinct = prints.select(F.col(fp).alias("f")).where(F.col("f").isNotNull()).distinct()
     half = (radius + 1) // 2
+    distinct = prints.select(F.col(fp).alias("f")).where(F.col("f").isNotNull()).distinct()
+    # each row becomes many: as many tasks as the variants need, however few bytes the fingerprints are
+    spread = max(prints.sparkSession.sparkContext.defaultParallelism, prints.count() * len(_masks(half)) // VARIANTS_A_TASK)
+    distinct = distinct.repartition(spread)
     balls = distinct.select("f", F.explode(variants(F.col("f"), half)).alias("v"))
     if radius % 2 == 0:
         before = F.lag("f").over(Window.partitionBy("v").orderBy("f"))

@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shared_path, written
+from quarry.llm.common import passing_path, written
 
 #: Payloads shorter than this are not deduplicated.
 MIN_BYTES = 0
 #: An archive file is closed beyond this size; ranges nearer than GAP are read as one, up to BLOCK.
 FILE_BYTES, GAP, BLOCK = 1 << 30, 1 << 16, 8 << 20
-#: Records of this many neighbouring bytes are read by one task.
-SPLIT = 64 << 20
+#: Records of at most and at least this many neighbouring bytes are read by one task.
+SPLIT, LEAST_SPLIT = 64 << 20, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 INDEX_SCHEMA = "record_id long, file string, offset long, length long, url string, digest string, record_type string, refers_to long"
 RECORD_SCHEMA = "record_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -102,8 +102,10 @@ def parse_record(raw: bytes) -> dict:
 
 
 def _filesystem(uri: str):
+    """The file system and path of a URI that Spark takes too: local ones, and the stores that Arrow knows (hdfs, viewfs, s3, gs, abfs)."""
     from pyarrow import fs
 
+    uri = re.sub("^s3[an]://", "s3://", uri)
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
@@ -127,7 +129,7 @@ def with_responses(pages: DataFrame, record_id: str = "page_id", payload: str =
 
 def write_archives(rows: DataFrame, folder: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """The index of the archives that are written for rows of `with_responses`."""
-    folder = folder or shared_path(rows.sparkSession, "warc")
+    folder = folder or passing_path(rows.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -176,8 +178,11 @@ def coalesced(ranges: list[tuple[int, int]], gap: int = GAP, block: int = BLOCK)
 
 def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of the index rows given, in columns of RECORD_SCHEMA."""
-    places = index.select("file", "offset", "length").withColumn("_split", F.floor(F.col("offset") / SPLIT))
-    places = places.repartition("file", "_split").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    # the number of tasks follows the archives' bytes, not those of the index rows
+    whole = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    split = min(SPLIT, max(LEAST_SPLIT, whole // (2 * index.sparkSession.sparkContext.defaultParallelism)))
+    places = index.select("file", "offset", "length").withColumn("_split", F.floor(F.col("offset") / split))
+    places = places.repartition(1 + whole // split, "file", "_split").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     names = [part.split()[0] for part in RECORD_SCHEMA.split(", ")]
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
 

@@ -55,11 +55,16 @@ def empty(docs):
 
 
 def test_quality(docs, rows):
-    out = quality.with_quality(docs.drop("n_words"), carry=["doc_id"]).collect()
+    out = quality.with_quality(docs, carry=["doc_id", "n_words"]).collect()  # a carried column of a measure's name gives way
     same([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in out], [(r.doc_id, *brute.quality(r.text)) for r in rows])
     assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) for r in out)
     assert all(not (r.kept and r.base_failed) for r in out)
-    assert quality.with_quality(empty(docs).drop("n_words"), carry=["doc_id"]).count() == 0
+    assert "n_words" in docs.columns and quality.with_quality(empty(docs)).count() == 0
+    whole = quality.with_quality(docs)
+    assert whole.columns.count("n_words") == 1 and dict(whole.dtypes)["n_words"] == "bigint" and set(docs.columns) - {"text"} <= set(whole.columns)
+    clash = docs.withColumn("kept", F.lit("x")).withColumn("_host", F.lit("y")).withColumn("_row", F.lit("z")).withColumn("base_failed", F.lit(0))
+    same([r.doc_id for r in quality.kept_documents(clash).collect()], [r.doc_id for r in whole.where("kept").collect()])
+    assert quality.kept_documents(clash).columns == clash.columns
 
 
 def test_hosts_lose_all_their_documents(spark):
