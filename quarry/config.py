@@ -6,6 +6,10 @@ import copy
 import json
 from typing import Any
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: The defaults of every setting.
 DEFAULTS: dict[str, Any] = {
     "embedding": {"provider": "auto"},
@@ -30,6 +34,15 @@ def merged(*layers: dict[str, Any]) -> dict[str, Any]:
     return out
 
 
+def merged_json(*layers: Column) -> Column:
+    """Columns of JSON settings merged over the defaults, later ones over earlier ones, as JSON. A null layer says nothing."""
+    @F.pandas_udf("string")
+    def merge(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda row: json.dumps(merged(DEFAULTS, *(json.loads(t) for t in row if t is not None))))
+
+    return merge(F.array(*layers))
+
+
 def parsed_value(text: str) -> Any:
     """JSON if it is, else the text."""
     try:

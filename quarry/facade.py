@@ -75,8 +75,11 @@ class Memory:
         stream = files.create(draft, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        files.delete(target, False)
-        files.rename(draft, target)
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        over = self.spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+        over[0] = getattr(fs, "Options$Rename").OVERWRITE
+        # one step: a crash leaves the old file or the new one
+        fs.FileContext.getFileContext(files.getUri(), self.spark._jsc.hadoopConfiguration()).rename(files.makeQualified(draft), files.makeQualified(target), over)
 
     def check_path(self, name: str) -> None:
         if not self.spark.range(1).select(may_be_written(F.lit(name))).first()[0]:
@@ -157,8 +160,9 @@ class Memory:
         current.write.parquet(f"{self.home}/{state}/files")
         cache.write.parquet(f"{self.home}/{state}/cache")
         counts = {r["status"]: r["count"] for r in index.diff(current, stored).groupBy("status").count().collect()}
-        self._write(f"{HIDDEN}/current.json", json.dumps({"state": state, "meta": wanted.to_json(), "schema": index.SCHEMA_VERSION}))
-        for old in filter(None, [pointer.get("state")]):
+        self._write(f"{HIDDEN}/current.json", json.dumps({"state": state, "before": pointer.get("state"), "meta": wanted.to_json(), "schema": index.SCHEMA_VERSION}))
+        # searches under way may still read the state before this one
+        for old in filter(None, [pointer.get("before")]):
             path, files_ = self._path(f"{self.home}/{old}")
             files_.delete(path, True)
         return counts

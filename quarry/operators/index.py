@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.chunking import OVERLAP, TOKENS, chunked
 from quarry.functions.text import text_hash
+from quarry.session import shared_path
 
 SCHEMA_VERSION = 2
 META_KEY = "memory_index_meta_v1"
@@ -165,11 +166,17 @@ def migrated(table: DataFrame, columns: dict[str, str], defaults: dict[str, obje
 def segment_groups(requests: DataFrame, order: list[str], size: int = 50_000) -> DataFrame:
     """Requests numbered in order, in groups of at most `size`, as batch interfaces take them.
 
-    Numbers come from per-range counts, so no task gets all rows: rows are dealt
-    to ranges of the order, and each range starts after the rows before it.
+    Rows are dealt to ranges of the order and written with their range, once: a
+    second run would sample other ranges. Each range is then numbered from the
+    rows in the ranges before it, so no task gets all rows. Rows that are equal
+    in `order` are numbered in any order.
     """
-    n = requests.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = requests.repartitionByRange(int(n), *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    spark = requests.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_path(spark, "ranges")
+    ranges = requests.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    ranges.write.parquet(path)
+    dealt = spark.read.schema(ranges.schema).parquet(path)
     counts = {r["_p"]: r["n"] for r in dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
     start, at = {}, 0
     for p in sorted(counts):

@@ -213,9 +213,14 @@ def run_batches(service: OpenAiService, rows: list[tuple[str, str]], size: int =
     return out
 
 
-def embed_by_batch(service: OpenAiService, rows: list[tuple[str, str]], **options: Any) -> dict[str, list[float]]:
-    """The batch interface, or direct requests if it fails."""
+def embed_by_batch(service: OpenAiService, rows: list[tuple[str, str]], direct: int = 100, **options: Any) -> dict[str, list[float]]:
+    """The batch interface, or requests of at most `direct` rows each if it fails."""
     try:
         return run_batches(service, rows, **options)
-    except Exception:
-        return dict(zip((i for i, _ in rows), with_retries(lambda: service.embed_batch([t for _, t in rows])), strict=True))
+    except (ServiceError, RuntimeError, TimeoutError, OSError, ValueError):
+        out: dict[str, list[float]] = {}
+        for at in range(0, len(rows), direct):
+            some = rows[at : at + direct]
+            found = with_retries(lambda some=some: service.embed_batch([t for _, t in some]))
+            out |= dict(zip((i for i, _ in some), found, strict=True))
+        return out

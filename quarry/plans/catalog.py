@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.config import merged_json
 from quarry.functions import frontmatter as fm
 from quarry.functions import paths
 from quarry.functions import text as tx
@@ -194,14 +195,14 @@ def sources_filter(spark, sf):
 
 # --- hybrid ------------------------------------------------------------------
 
-_CHUNKS = "SELECT d.doc_id AS id, d.source AS source, d.text AS text, e.embedding AS embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id"
+_CHUNKS = "SELECT d.doc_id AS id, d.source AS source, d.text AS text, e.embedding AS embedding FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id"
 
 
 def _chunk_table(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "text")
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     path = F.concat(F.lit("memory/"), F.col("id").cast("string"), F.lit(".md"))
-    return docs.join(vectors, "id").select("id", path.alias("path"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), "source", "text", "embedding")
+    return docs.join(vectors, "id", "left").select("id", path.alias("path"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), "source", "text", "embedding")
 
 
 def _sides(spark: SparkSession, sf: str, text_query: str, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -214,7 +215,7 @@ def _sides(spark: SparkSession, sf: str, text_query: str, limit: int) -> tuple[D
 
 def _hybrid_sql(text_query: str, limit: int, vw: str, tw: str, tail: str) -> str:
     return f"""WITH c AS ({_CHUNKS}), {_bm25_sql(text_query, "SELECT id, text FROM c")},
-        v AS (SELECT id, {_COS} AS vs FROM c ORDER BY vs DESC, id LIMIT {limit}), k AS (SELECT id, 1 / (1 + abs(rank)) AS ts FROM r ORDER BY rank, id LIMIT {limit}),
+        v AS (SELECT id, {_COS} AS vs FROM c WHERE embedding IS NOT NULL ORDER BY vs DESC, id LIMIT {limit}), k AS (SELECT id, 1 / (1 + abs(rank)) AS ts FROM r ORDER BY rank, id LIMIT {limit}),
         m AS (SELECT coalesce(v.id, k.id) AS id, {vw} * coalesce(vs, 0) + {tw} * coalesce(ts, 0) AS score, vs, ts FROM v FULL JOIN k ON v.id = k.id) {tail}"""
 
 
@@ -526,11 +527,12 @@ def embed_chunks(spark, sf):
     "embed_deterministic",
     "WITH v AS (SELECT doc_id, list_concat([" + ", ".join(f"(length(lower(text)) - length(replace(lower(text), '{k}', ''))) / {len(k)} * 0.5" for k in embed.KEYWORDS) + "], "
     "list_transform(range(32, 128), lambda i: CASE WHEN length(text) > 0 THEN unicode(substring(lower(text), (i % length(lower(text)) + 1)::INT, 1)) / 1000.0 ELSE 0 END)) AS v FROM documents) "
-    "SELECT doc_id, round(v[1] / n, 5) AS first, round(v[33] / n, 5) AS middle, round(v[128] / n, 5) AS last, 128 AS dims FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v)",
+    "SELECT doc_id, round(v[1] / n, 5) AS first, round(v[33] / n, 5) AS middle, round(v[128] / n, 5) AS last, round(list_sum(list_transform(v, lambda x, i: x * i)) / n, 3) AS places, 128 AS dims FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v)",
 )
 def embed_deterministic(spark, sf):
     v = table(spark, sf, "documents").select("doc_id", embed.keyword_vector(F.col("text")).alias("v"))
-    return v.select("doc_id", *[F.round(F.get("v", F.lit(i)), 5).alias(n) for i, n in ((0, "first"), (32, "middle"), (127, "last"))], F.size("v").alias("dims"))
+    places = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)  # all of the vector in one number
+    return v.select("doc_id", *[F.round(F.get("v", F.lit(i)), 5).alias(n) for i, n in ((0, "first"), (32, "middle"), (127, "last"))], F.round(places, 3).alias("places"), F.size("v").alias("dims"))
 
 
 @query("batch_groups", "SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS position, ((row_number() OVER (ORDER BY source, doc_id) - 1) // 300)::BIGINT AS batch FROM documents")
@@ -850,8 +852,18 @@ def stream_windowed_counts(spark, sf):
     return spark.read.schema(rows.schema).parquet(path)
 
 
-@query("config_merge", "SELECT n_nationkey, coalesce(CASE WHEN length(n_name) > 6 THEN n_name END, r_name, 'default') AS value, map_from_entries([('a', n_name), ('b', r_name)]) IS NOT NULL AS merged FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query(
+    "config_merge",
+    """SELECT n_nationkey, coalesce(CASE WHEN length(n_name) > 6 THEN n_name END, r_name) AS value, CASE WHEN length(n_name) > 6 THEN n_name ELSE 'auto' END AS provider, r_regionkey::VARCHAR AS tokens, '32' AS overlap
+    FROM nation JOIN region ON n_regionkey = r_regionkey""",
+)
 def config_merge(spark, sf):
+    """Layers of settings as JSON, one pair a row, over the defaults."""
     n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    layers = F.map_zip_with(F.create_map(F.lit("v"), F.col("r_name")), F.create_map(F.lit("v"), F.when(F.length("n_name") > 6, F.col("n_name"))), lambda k, base, over: F.coalesce(over, base, F.lit("default")))
-    return n.select("n_nationkey", F.element_at(layers, "v").alias("value"), F.lit(True).alias("merged"))
+    own = F.when(F.length("n_name") > 6, F.col("n_name"))  # a setting that is null leaves what is below it
+    below = F.to_json(F.struct(F.col("r_name").alias("value"), F.struct(F.col("r_regionkey").alias("tokens")).alias("chunking")))
+    above = F.to_json(F.struct(own.alias("value"), F.struct(own.alias("provider")).alias("embedding")), {"ignoreNullFields": "false"})
+    out = n.select("n_nationkey", merged_json(below, above).alias("c"))
+    at = {"value": "$.value", "provider": "$.embedding.provider", "tokens": "$.chunking.tokens", "overlap": "$.chunking.overlap"}
+    return out.select("n_nationkey", *[F.get_json_object("c", path).alias(name) for name, path in at.items()])
+

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,15 +14,17 @@ CHANGE_SCHEMA = "directory string, file string, event string, ts timestamp, even
 def debounced(events: DataFrame, gap_seconds: float, directory: str = "directory", file: str = "file", event: str = "event", when: str = "ts", order: str = "event_id") -> DataFrame:
     """directory, start, end, n and last of each burst of changes; a burst ends when nothing comes for `gap_seconds`.
 
-    `last` has the last event of each file. Works on tables and, with a
-    watermark on `when`, on streams.
+    `last` has the last event of each file, in the order of the events. Works on
+    tables and, with a watermark on `when`, on streams. A burst's events are one
+    array, sorted twice; `last_events` has the same for tables without arrays.
     """
     # session windows still join at exactly their gap; here a new burst starts then
     gap = f"{round(gap_seconds * 1_000_000) - 1} microseconds"
     burst = events.groupBy(F.col(directory).alias("directory"), F.session_window(when, gap).alias("w"))
-    all_events = F.sort_array(F.collect_list(F.struct(F.col(when).alias("t"), F.col(order).alias("o"), F.col(file).alias("file"), F.col(event).alias("event"))))
-    out = burst.agg(F.count(F.lit(1)).alias("n"), all_events.alias("e"))
-    last = F.filter("e", lambda x, i: ~F.exists(F.slice("e", i + 2, F.size("e")), lambda y: y["file"] == x["file"]))
+    by_file = F.sort_array(F.collect_list(F.struct(F.col(file).alias("file"), F.col(when).alias("t"), F.col(order).alias("o"), F.col(event).alias("event"))))
+    out = burst.agg(F.count(F.lit(1)).alias("n"), by_file.alias("e"))
+    ended = F.filter("e", lambda x, i: ~F.coalesce(F.get("e", i + 1)["file"].eqNullSafe(x["file"]) & (i + 1 < F.size("e")), F.lit(False)))
+    last = F.sort_array(F.transform(ended, lambda x: F.struct(x["t"].alias("t"), x["o"].alias("o"), x["file"].alias("file"), x["event"].alias("event"))))
     return out.select("directory", F.col("w.start").alias("start"), F.timestamp_micros(F.unix_micros("w.end") + 1).alias("end"), "n", F.transform(last, lambda x: F.struct(x["file"].alias("file"), x["event"].alias("event"))).alias("last"))
 
 
@@ -64,24 +66,55 @@ def follow(changes: DataFrame, update: Callable[[DataFrame, int], None], checkpo
 class FollowingIndex:
     """A file table kept up to date from a stream of changes (file, event, text, ts, event_id).
 
-    Each micro-batch keeps the last change of each file, takes out what was
-    unlinked and puts in what was added or changed. States are written side by
-    side under `folder`, one per batch id, so a batch that runs again after a
-    failure starts from the state before it and writes the same again.
+    Each micro-batch writes the last change of each of its files under `folder`;
+    the table is the newest whole state with the changes after it. Every
+    `compact` batches they are written as a new state, and what is older than the
+    state before that goes. All is found by the names in the folder, so a new
+    process goes on where the last one stopped, and a batch that runs again
+    writes the same again.
     """
 
-    def __init__(self, folder: str, schema: str = "path string, text string"):
-        self.folder, self.schema, self.batch = folder, schema, -1
-
-    def table(self, spark) -> DataFrame:
-        if self.batch < 0:
-            return spark.createDataFrame([], self.schema)
-        return spark.read.schema(self.schema).parquet(f"{self.folder}/state={self.batch}")
+    def __init__(self, folder: str, schema: str = "path string, text string", compact: int = 20):
+        self.folder, self.schema, self.compact = folder, schema, compact
+
+    def _store(self, spark: SparkSession):
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _written(self, spark: SparkSession, kind: str) -> list[int]:
+        """The numbers of the states or changes that were written to their end."""
+        path, store = self._store(spark)
+        if not store.exists(path):
+            return []
+        names = [s.getPath().getName() for s in store.listStatus(path)]
+        done = [n for n in names if n.startswith(f"{kind}=") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(path, f"{n}/_SUCCESS"))]
+        return sorted(int(n.split("=")[1]) for n in done)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        states = self._written(spark, "state")
+        base = spark.read.schema(self.schema).parquet(f"{self.folder}/state={states[-1]}") if states else spark.createDataFrame([], self.schema)
+        after = [n for n in self._written(spark, "changes") if not states or n > states[-1]]
+        if not after:
+            return base
+        parts = [spark.read.schema(f"{self.schema}, event string").parquet(f"{self.folder}/changes={n}").withColumn("_n", F.lit(n)) for n in after]
+        changed = parts[0]
+        for part in parts[1:]:
+            changed = changed.unionByName(part)
+        last = changed.groupBy("path").agg(F.max_by(F.struct("event", "text"), "_n").alias("r")).select("path", "r.event", "r.text")
+        return base.join(last.select("path"), "path", "left_anti").unionByName(last.where("event <> 'unlink'").select("path", "text"))
 
     def __call__(self, changes: DataFrame, batch: int) -> None:
         spark = changes.sparkSession
+        states = self._written(spark, "state")
+        if states and states[-1] >= batch:
+            return  # run again after all of it was written
         last = changes.groupBy("file").agg(F.max_by(F.struct("event", "text"), F.struct("ts", "event_id")).alias("r"))
-        now = last.select(F.col("file").alias("path"), "r.event", "r.text")
-        kept = self.table(spark).join(now.select("path"), "path", "left_anti")
-        kept.unionByName(now.where(F.col("event") != "unlink").select("path", "text")).write.mode("overwrite").parquet(f"{self.folder}/state={batch}")
-        self.batch = batch
+        last.select(F.col("file").alias("path"), "r.text", "r.event").write.mode("overwrite").parquet(f"{self.folder}/changes={batch}")
+        if (batch + 1) % self.compact == 0:
+            self.table(spark).write.mode("overwrite").parquet(f"{self.folder}/state={batch}")
+            path, store = self._store(spark)
+            old = states[-1] if states else -1
+            for kind in ("state", "changes"):
+                for n in self._written(spark, kind):
+                    if n < old or (kind == "changes" and n <= old):
+                        store.delete(spark._jvm.org.apache.hadoop.fs.Path(path, f"{kind}={n}"), True)

@@ -240,6 +240,44 @@ def test_index_follows_a_stream(spark, tmp_path):
     assert put("2", [("b", "unlink", None, 4), ("c", "add", "3", 5)]) == {("a", "1x"), ("c", "3")}
 
 
+def test_index_goes_on_in_a_new_process(spark, tmp_path):
+    """A new object on the same folder and checkpoint has all files, also after states were put together and old ones deleted."""
+    source, schema = tmp_path / "in", "file string, event string, text string, ts timestamp, event_id long"
+    for k in range(7):
+        rows = [(f"f{k}", "add", str(k), 10 * k), ("f0", "change", f"0.{k}", 10 * k + 1)] + [(f"f{k - 1}", "unlink", None, 10 * k + 2)] * (k % 2)
+        spark.createDataFrame(rows, "file string, event string, text string, event_id long").withColumn("ts", F.timestamp_seconds("event_id")).coalesce(1).write.mode("append").json(str(source))
+        follow = changes.FollowingIndex(str(tmp_path / "states"), compact=2)
+        changes.follow(spark.readStream.schema(schema).json(str(source)), follow, str(tmp_path / "c")).awaitTermination()
+        found = {(r.path, r.text) for r in changes.FollowingIndex(str(tmp_path / "states")).table(spark).collect()}
+        gone = {f"f{i - 1}" for i in range(1, k + 1, 2)} - {"f0"}
+        expected = {(f"f{i}", str(i)) for i in range(1, k + 1) if f"f{i}" not in gone}
+        assert found == expected | ({("f0", f"0.{k}")} if k != 1 else set())
+    follow(spark.createDataFrame([("f9", "add", "9", None, 1)], schema), 5)  # an old batch again changes nothing
+    assert {(r.path, r.text) for r in follow.table(spark).collect()} == found
+    assert len(list((tmp_path / "states").glob("state=*"))) == 2 and len(list((tmp_path / "states").glob("changes=*"))) <= 3
+
+
+def test_a_long_burst(spark):
+    """30,000 events of 10,000 files in one burst."""
+    events = spark.range(30_000).select(F.lit("d").alias("directory"), F.concat(F.lit("f"), F.col("id") % 10_000).alias("file"), F.concat(F.lit("e"), F.floor(F.col("id") / 10_000)).alias("event"), F.timestamp_millis(F.col("id")).alias("ts"), F.col("id").alias("event_id"))
+    burst = changes.debounced(events, 2).first()
+    assert burst.n == 30_000 and [tuple(x) for x in burst["last"]] == [(f"f{i}", "e2") for i in range(10_000)]
+
+
+@pytest.mark.parametrize("splits", ["64k", "4m"])
+def test_positions_of_a_larger_table(spark, splits):
+    """Ranges are drawn from samples: numbers are right at sf0.1 too."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", splits)
+    try:
+        out = index.segment_groups(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("source", "doc_id"), ["source", "doc_id"], 300)
+        rows = sorted((r.position, r.batch, r.source, r.doc_id) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r[0] for r in rows] == list(range(10_000)) and all(r[1] == r[0] // 300 for r in rows)
+    assert [r[2:] for r in rows] == sorted(r[2:] for r in rows)
+
+
 def test_merged_streams(spark):
     one = spark.createDataFrame([("f", "add")], "file string, event string")
     assert row_set(changes.merged_streams({"x": one, "y": one}), "directory", "file") == {("x", "f"), ("y", "f")}
