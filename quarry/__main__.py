@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from quarry import config as settings
 from quarry import folders as folders_
-from quarry.facade import Memory, offline
+from quarry import syncing
+from quarry.facade import Memory
 from quarry.functions.paths import quarantine_time
 from quarry.operators import sync
+from quarry.operators.remote import provider_of
 from quarry.session import local_session
 from quarry.sources.files import HIDDEN, parsed_log, parsed_registry, read_json, syncable_files
 from quarry.tools import Server, ToolExecutor
@@ -31,7 +33,7 @@ def _parser() -> argparse.ArgumentParser:
         sub = commands.add_parser(name)
         sub.add_argument("-d", "--dir", action="append", default=[])
         sub.add_argument("-g", "--global", dest="use_global", action="store_true")
-        sub.add_argument("-p", "--provider", default="deterministic")
+        sub.add_argument("-p", "--provider", help="auto, none, deterministic, openai or gemini; else the settings' one, else deterministic")
         if json_out:
             sub.add_argument("--json", action="store_true")
         for names, options in arguments:
@@ -45,8 +47,8 @@ def _parser() -> argparse.ArgumentParser:
     command("upsert", (["file"], {}), (["content"], {"nargs": "?"}), (["--stdin"], {"action": "store_true"}))
     command("serve")
     command("config", (["--set"], {"dest": "assign"}), (["--unset"], {}), json_out=True)
-    for name in ("push", "pull"):
-        command(name, (["central"], {}), (["-f", "--force"], {"action": "store_true"}), (["--dry-run"], {"action": "store_true"}))
+    for name in syncing.OPERATIONS:
+        command(name if name != "sync" else "sync:run", (["central"], {"nargs": "?"}), (["-f", "--force"], {"action": "store_true"}), (["--dry-run"], {"action": "store_true"}))
     command("sync:status", (["central"], {}))
     command("sync:validate", (["registry"], {}), (["--days"], {"type": int, "default": 30}), json_out=True)
     command("sync:log", (["-n", "--limit"], {"type": int, "default": 20}), json_out=True)
@@ -126,7 +128,13 @@ def main(argv: list[str] | None = None) -> int:
         return 0
 
     def memory(path: str) -> Memory:
-        return Memory(spark, path, **own) if args.provider == "none" else offline(spark, path, **own)
+        embedding = own.get("embedding") or {}
+        provider, instead_of = provider_of(embedding | {"provider": args.provider or embedding.get("provider") or "deterministic"})
+        if instead_of:
+            print(f"{provider.id} is used instead of {instead_of}", file=sys.stderr)
+        if not Path(path, HIDDEN).is_dir():
+            print(f"{path} is not initialised: use init", file=sys.stderr)
+        return Memory(spark, path, provider, **own)
 
     if args.command == "search":
         found = [r | {"directory": d} for d in folders for r in memory(d).search(args.query, args.max, args.min_score)]
@@ -150,34 +158,31 @@ def main(argv: list[str] | None = None) -> int:
             m = memory(d)
             return f"{d}: {m.sync()}" if m.is_stale() else None
 
-        folders_.Watch(str(hidden), lambda: folders, followed, lambda: None, args.poll).run(args.rounds)
+        def taken(d: str) -> str | None:
+            said = followed(d)
+            if (read_json(spark, str(Path(d, HIDDEN, "config.json")), {}).get("sync") or {}).get("central"):
+                found = syncing.run(spark, d, "sync")
+                if found["pushed"] or found["pulled"] or found["errors"]:
+                    said = f"{said or d} pushed {found['pushed']}, pulled {found['pulled']} {' '.join(found['errors'])}".strip()
+            return said
+
+        def checked() -> str | None:
+            roots = {(read_json(spark, str(Path(d, HIDDEN, "config.json")), {}).get("sync") or {}).get("central") for d in folders} - {None}
+            found = {root: folders_.check_central(root) for root in sorted(roots)}
+            return "; ".join(f"{root}: {', '.join(f['errors'] + f['warnings'])}" for root, f in found.items() if f["errors"] or f["warnings"]) or None
+
+        folders_.Watch(str(hidden), lambda: folders, taken, checked, args.poll).run(args.rounds)
     elif args.command == "serve":
         Server(ToolExecutor({d: memory(d).search for d in folders})).run()
-    elif args.command in ("push", "pull", "sync:status"):
+    elif args.command == "sync:status":
         sides = settings.merged(settings.DEFAULTS, own)["sync"]
-        local, remote = (syncable_files(spark, d, sides["include"], sides["exclude"]) for d in (folder, args.central))
-        changed = sync.changes(local, remote)
-        if args.command == "sync:status":
-            print(json.dumps(sync.summary(changed).first().asDict()))
-            return 0
-        plan = sync.push_plan(changed) if args.command == "push" else sync.pull_plan(changed, args.force)
-        rows = [r.asDict() for r in plan.where(F.col("action") != "none").orderBy("file").collect()]
-        if not args.dry_run:
-            source, target = (folder, args.central) if args.command == "push" else (args.central, folder)
-            for r in rows:
-                if r["action"] == args.command:
-                    to = Path(target, r["file"])
-                    to.parent.mkdir(parents=True, exist_ok=True)
-                    draft = to.with_name(to.name + ".tmp")
-                    draft.write_bytes(Path(source, r["file"]).read_bytes())
-                    draft.replace(to)
-            log = hidden / "sync.log"
-            done = sum(r["action"] == args.command for r in rows)
-            entry = {"timestamp": dt.datetime.now(dt.UTC).isoformat(), "operation": args.command, "result": "ok", "pushed" if args.command == "push" else "pulled": done}
-            hidden.mkdir(parents=True, exist_ok=True)
-            lines = (log.read_text().splitlines() if log.exists() else []) + [json.dumps(entry)]
-            log.write_text("\n".join(lines[-sync.LOG_ENTRIES :]) + "\n")
-        _show(rows)
+        print(json.dumps(sync.summary(sync.changes(*(syncable_files(spark, d, sides["include"], sides["exclude"]) for d in (folder, args.central)))).first().asDict()))
+    elif args.command in ("push", "pull", "sync:run"):
+        found = syncing.run(spark, folder, args.command.removeprefix("sync:run") or "sync", args.central, args.force, args.dry_run)
+        _show(found["files"])
+        for error in found["errors"]:
+            print(error, file=sys.stderr)
+        return 1 if found["errors"] else 0
     elif args.command == "sync:validate":
         mappings = parsed_registry(spark.createDataFrame([(Path(args.registry).read_text(),)], "content string")).withColumn("last_sync", F.try_to_timestamp("last_sync"))
         _show([r.asDict() for r in sync.validation_issues(mappings, F.current_timestamp(), days=args.days).collect()])

@@ -15,7 +15,7 @@ from quarry import config as settings
 from quarry.functions.paths import may_be_written
 from quarry.functions.text import snippet
 from quarry.operators import index, search
-from quarry.operators.embed import DeterministicProvider, NoProvider, Provider, embed_missing
+from quarry.operators.embed import DeterministicProvider, NoProvider, Provider, embed_missing, query_vector
 from quarry.sources.files import HIDDEN, memory_files
 
 FILES = "path string, source string, hash string, mtime long, size long"
@@ -181,7 +181,7 @@ class Memory:
         rows = search.filtered(self.table("chunks"), self.provider.model)
         limit = search.candidate_count(max_results, h["candidateMultiplier"])
         out = ["path", "start_line", "end_line", "score", "snippet"]
-        vector = search.vector_topk(rows, self.provider.embed_query(query) if query.strip() else [], limit).withColumn("snippet", snippet(F.col("text")))
+        vector = search.vector_topk(rows, query_vector(self.provider, query) if query.strip() else [], limit).withColumn("snippet", snippet(F.col("text")))
         if not h["enabled"]:
             return search.best(vector.withColumn("score", F.col("vector_score")).withColumn("text_score", F.lit(None).cast("double")), max_results, min_score).select(out)
         words = search.keyword_topk(rows, query, limit).withColumn("snippet", snippet(F.col("text")))

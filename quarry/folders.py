@@ -51,10 +51,11 @@ def read_registry(central: str) -> dict[str, Any]:
 
 
 def write_registry(central: str, registry: dict[str, Any]) -> None:
-    _replace(Path(central, REGISTRY), json.dumps(registry, indent=1))
+    replace_file(Path(central, REGISTRY), json.dumps(registry, indent=1))
 
 
-def _replace(path: Path, text: str) -> None:
+def replace_file(path: Path, text: str) -> None:
+    path.parent.mkdir(parents=True, exist_ok=True)
     draft = path.with_name(path.name + ".tmp")
     draft.write_text(text)
     draft.replace(path)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -93,6 +95,23 @@ def choose_provider(wanted: str, makers: dict[str, Callable[[], Provider]], fall
         return makers[fallback](), wanted
 
 
+#: Seconds that a query's vector may take: from a service, and from anything in this process.
+QUERY_SECONDS = {"remote": 60.0, "local": 300.0}
+
+
+def query_vector(provider: Provider, text: str, seconds: float | None = None) -> list[float]:
+    """The query's vector; TimeoutError if the provider takes longer than its kind may."""
+    if seconds is None:
+        seconds = QUERY_SECONDS["local" if provider.id in ("none", "deterministic") else "remote"]
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(provider.embed_query, text).result(seconds)
+    except FutureTimeout as e:
+        raise TimeoutError(f"{provider.id} took over {seconds} s for a query") from e
+    finally:
+        pool.shutdown(wait=False)
+
+
 def with_retries(call: Callable[[], list], attempts: int = 3, first: float = 0.5, most: float = 8.0, sleep: Callable[[float], None] = time.sleep):
     """The call's result; waits that double between attempts."""
     for attempt in range(attempts):

@@ -18,7 +18,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
-from quarry.operators.embed import MissingKey, with_retries
+from quarry.operators.embed import DeterministicProvider, MissingKey, Provider, choose_provider, with_retries
 
 #: The services' default addresses and models.
 OPENAI_URL, OPENAI_MODEL = "https://api.openai.com/v1", "text-embedding-3-small"
@@ -130,6 +130,25 @@ class GeminiService(Service):
         return [(found[i].get("values") or []) if i < len(found) else [] for i in range(len(texts))]
 
 
+def provider_of(config: dict[str, Any], transport: Transport = http) -> tuple[Provider, str | None]:
+    """The provider that the `embedding` settings name, and what it stands in for.
+
+    provider: auto, none, deterministic, openai or gemini; model, and for each
+    service a section of its name with apiKey, baseUrl and headers; fallback: what
+    is taken if the one named can't be made.
+    """
+
+    def maker(kind: type, url: str, section: str) -> Callable[[], Provider]:
+        own = config.get(section) or {}
+        return lambda: kind.create(config.get("model") or "", own.get("apiKey"), own.get("baseUrl") or url, own.get("headers"), transport)
+
+    services = {"openai": maker(OpenAiService, OPENAI_URL, "openai"), "gemini": maker(GeminiService, GEMINI_URL, "gemini")}
+    wanted = config.get("provider") or "auto"
+    if wanted == "auto":
+        return choose_provider("auto", services)
+    return choose_provider(wanted, {**services, "deterministic": DeterministicProvider}, config.get("fallback"))
+
+
 def batch_lines(service: OpenAiService, rows: list[tuple[str, str]]) -> list[str]:
     """A JSON line for each (id, text) of a batch request."""
     return [json.dumps({"custom_id": i, "method": "POST", "url": "/v1/embeddings", "body": {"model": service.model, "input": t}}) for i, t in rows]

@@ -38,13 +38,21 @@ def with_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes a core of a table that is dealt out; a larger one is left in its splits.
+SPREAD_BYTES = 8 << 20
+
+
 def spread(table: DataFrame) -> DataFrame:
-    """A table that has fewer splits than there are cores dealt out to all of them; others as they are.
+    """A small table that has fewer splits than there are cores dealt out to all of them; others as they are.
 
-    A small file with one row group is one task otherwise, however much work its rows are.
+    A small file with one row group is one task otherwise, however much work its
+    rows are. A larger table is not worth the shuffle.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return table.repartition(cores) if size <= cores * SPREAD_BYTES else table
 
 
 def shared_dir(spark: SparkSession) -> str:
