@@ -51,7 +51,7 @@ def spread(table: DataFrame) -> DataFrame:
     cores = table.sparkSession.sparkContext.defaultParallelism
     if table.rdd.getNumPartitions() >= cores:
         return table
-    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return table.repartition(cores) if size <= cores * SPREAD_BYTES else table
 
 
