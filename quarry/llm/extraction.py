@@ -261,10 +261,12 @@ def prose(block: Block) -> int:
 def block_weights(page: Page) -> np.ndarray:
     """The weight of each block: the product over its elements, each lifted by the share of the page's prose that it holds."""
     n = len(page.parent)
-    own, paragraphs, marked = np.zeros(n), np.zeros(n), np.zeros(n, bool)
+    own, paragraphs, dots, marked = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, bool)
     for b in page.blocks:
         own[b.element] += prose(b)
+        dots[b.element] += b.marks
         paragraphs[b.element] += page.tag[b.element] in ("p", *HEADINGS)
+    direct = own.copy()
     for e in range(n - 1, 0, -1):  # sums over all that an element holds
         own[page.parent[e]] += own[e]
         paragraphs[page.parent[e]] += paragraphs[e]
@@ -272,15 +274,17 @@ def block_weights(page: Page) -> np.ndarray:
             marked[page.parent[e]] = True
     whole = max(own[0], 1.0)
     product, inside, in_articles = np.ones(n), np.zeros(n, bool), 0.0
+    of_text = np.ones(n)  # text that stands in an element itself is lifted by its own share and punctuation only
     for e in range(1, n):
         above = page.parent[e]
         lift = (own[e] / whole) ** 4 * (1.0 if marked[e] else min(1.0, paragraphs[e] / 3))
         product[e] = product[above] * (page.weight[e] + (1 - page.weight[e]) * lift)
+        of_text[e] = product[above] * (page.weight[e] + (1 - page.weight[e]) * (direct[e] / whole) ** 4 * min(1.0, dots[e] / 10))
         inside[e] = inside[above] or page.tag[e] in CONTENT
         if inside[e] and not inside[above]:
             in_articles += own[e]
     outside = 1 - OUTSIDE_LOSS * in_articles / whole
-    return np.array([product[b.element] * (1.0 if inside[b.element] else outside) for b in page.blocks])
+    return np.array([of_text[b.element] * (1.0 if inside[b.element] else outside) for b in page.blocks])
 
 
 def smoothed(values: np.ndarray, neighbours: float = 0.05) -> np.ndarray:

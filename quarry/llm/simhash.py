@@ -110,8 +110,9 @@ def near_duplicates(docs: DataFrame, radius: int = 2, text: str = "text", doc_id
     roots = components(links(prints, radius))
     least = prints.groupBy("_fp").agg(F.min(doc_id).alias("_least"))
     known = least.join(roots, least["_fp"] == roots["node"], "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
-    of_root = known.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    by_print = known.join(of_root, "_root").select(F.col("_fp").alias("_print"), "component_id")
+    # grouped by another key than the join's, so that a large component can be split in the join
+    of_root = known.groupBy(F.col("_root").cast("string").alias("_of")).agg(F.min("_least").alias("component_id")).withColumn("_of", F.col("_of").cast("long"))
+    by_print = known.join(of_root, F.col("_root") == F.col("_of")).select(F.col("_fp").alias("_print"), "component_id")
     return prints.join(by_print, prints["_fp"] == by_print["_print"], "left").select(prints[doc_id].alias("doc_id"), "_fp", "component_id")
 
 
@@ -133,8 +134,8 @@ def kept_rows(docs: DataFrame, prints: DataFrame, roots: DataFrame, text: str, d
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_text_key").alias("key"))
     best = prints.groupBy("_fp").agg(F.min(order).alias("_best"))
     known = best.join(roots, best["_fp"] == roots["node"], "left").select("_fp", "_best", F.coalesce("root", "_fp").alias("_root"))
-    least = known.groupBy("_root").agg(F.min("_best").alias("_keep"))
-    verdict = known.join(least, "_root").select(F.col("_fp").alias("_print"), "_keep")
+    least = known.groupBy(F.col("_root").cast("string").alias("_of")).agg(F.min("_best").alias("_keep")).withColumn("_of", F.col("_of").cast("long"))
+    verdict = known.join(least, F.col("_root") == F.col("_of")).select(F.col("_fp").alias("_print"), "_keep")
     judged = prints.join(verdict, prints["_fp"] == verdict["_print"])
     stays = F.col(doc_id).eqNullSafe(F.col("_keep.id")) & (F.col("_text_key") == F.col("_keep.key"))
     # keys that go, and keys of rows that agree in id and text, of which one stays

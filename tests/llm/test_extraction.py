@@ -26,6 +26,8 @@ PAGES = {
     "all in a form": (f"<form><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div id=footer>All rights reserved, as ever.</div></form>", ["T", LONG, LONG]),
     "paragraphs as divs": (f'<div class="nav">Home, sweet.</div><div class="text"><h2>Head</h2><div>{LONG}</div><h2>Sub</h2><div>{LONG}</div></div>', ["Head", LONG, "Sub", LONG]),
     "article shorter than the advert": ('<div class="ad">Not even a sentence that is short, this one.</div><article><h1>Of.</h1><p>Of.</p></article><footer>Rights, all of them. Reserved.</footer>', ["Of.", "Of."]),
+    "prose right in a form": (f'<nav>Home, sweet.</nav><form>{LONG}<br>{LONG}</form><footer>Rights, all of them. Reserved.</footer>', [f"{LONG} {LONG}"]),
+    "a footer only": ("<nav><a>Home</a></nav><footer>All rights reserved, as ever, by all of us.</footer>", []),
     "article without text": ('<div class="ad">Not even a sentence that is short, this one.</div><article><h1></h1></article><footer>Rights, all of them. Reserved.</footer>', []),
 }
 
