@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import extraction, language, packing, pii, positional, quality, simhash, substring, toxicity, warc
+from quarry.llm import extraction, infilling, language, packing, pii, positional, quality, simhash, spelling, substring, topk, toxicity, warc
 from quarry.llm.common import document_fold, read_table
 
 
@@ -70,6 +70,23 @@ def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extracted(read_table(spark, sf_dir, "pages"))
 
 
+def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infilling.infilled(read_table(spark, sf_dir, "documents"))
+    back = infilling.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.counted_words(read_table(spark, sf_dir, "documents"), changed=spelling.damaged))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stated query set, every id divisible by 50, against all rows."""
+    rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.integer_vector(F.col("embedding")).alias("vector"))
+    found = topk.top_k(rows, rows.where(F.col("id") % 50 == 0))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_pii": op2_pii,
@@ -81,6 +98,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_extraction": op10_extraction,
+    "op11_infilling": op11_infilling,
+    "op12_spelling": op12_spelling,
+    "op13_topk": op13_topk,
 }
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -154,5 +174,33 @@ _OP9_SQL = f"""WITH d AS (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents), i
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0) AS n_near, coalesce(n_near_items, 0) AS n_near_items
     FROM d LEFT JOIN h USING (doc_id) LEFT JOIN e USING (doc_id) LEFT JOIN r USING (doc_id)"""
 
+_OP11_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS x FROM documents),
+    h AS (SELECT *, list_transform(range(0, 4), lambda g: list_reduce(list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', substr(x, (8 * g + i)::INT, 1)) - 1), lambda a, y: 16 * a + y)) AS h, length(t) AS n FROM d),
+    f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+        least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b FROM h),
+    p AS (SELECT *, substr(t, 1, a::INT) AS p, substr(t, a::INT + 1, (b - a)::INT) AS m, substr(t, b::INT + 1) AS s FROM f)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+_OP12_SQL = r"""WITH RECURSIVE t AS (SELECT list_transform(range(0, 256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, y: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+    r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w FROM documents),
+    o AS (SELECT doc_id, w, count(*) AS k FROM r WHERE length(w) >= 6 GROUP BY ALL),
+    b AS (SELECT w, k, flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END))::BIGINT[] AS x FROM o),
+    h AS (SELECT w, k, xor(list_reduce(list_prepend(4294967295::BIGINT, x), lambda c, y: xor(c >> 8, crc[(xor(c, y) & 255) + 1])), 4294967295::BIGINT) AS h FROM b, t),
+    g AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, k FROM h),
+    v AS (SELECT word, sum(k)::BIGINT AS n FROM g WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+    e AS (SELECT word, n, word AS key FROM v UNION ALL SELECT DISTINCT word, n, substr(word, 1, i::INT) || substr(word, i::INT + 2) FROM (SELECT *, unnest(range(0, length(word))) AS i FROM v)),
+    p AS (SELECT DISTINCT a.word, b.word AS other, a.n, b.n AS m FROM e a JOIN e b USING (key) WHERE a.word <> b.word AND (CASE WHEN length(a.word) = length(b.word)
+        THEN list_sum(list_transform(range(1, length(a.word) + 1), lambda i: (substr(a.word, i::INT, 1) <> substr(b.word, i::INT, 1))::INT)) = 1 ELSE key IN (a.word, b.word) AND abs(length(a.word) - length(b.word)) = 1 END)),
+    q AS (SELECT word, any_value(n) AS n, count(*) AS n_near, arg_min(struct_pack(other := other, m := m), struct_pack(x := -m, y := other)) AS best FROM p GROUP BY word),
+    f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.m >= 5 * v.n THEN best.other END AS form, CASE WHEN best.m >= 5 * v.n THEN best.m END AS form_n FROM v LEFT JOIN q USING (word)),
+    z AS (SELECT word, word AS root, form AS up FROM f UNION ALL SELECT z.word, z.up, f.form FROM z JOIN f ON z.up = f.word)
+    SELECT f.word, f.form, z.root, f.n, f.n_near, f.form_n FROM f JOIN z ON f.word = z.word AND z.up IS NULL"""
+
+_OP13_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
 #: The others are models, hashes or formats that SQL hasn't got; tests hold them against plain versions.
-ORACLE_SQL: dict[str, str] = {"op2_pii": _OP2_SQL, "op3_substring": _OP3_SQL, "op5_quality": _OP5_SQL, "op6_warc": _OP6_SQL, "op9_decontamination": _OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_pii": _OP2_SQL, "op3_substring": _OP3_SQL, "op5_quality": _OP5_SQL, "op6_warc": _OP6_SQL, "op9_decontamination": _OP9_SQL, "op11_infilling": _OP11_SQL, "op12_spelling": _OP12_SQL, "op13_topk": _OP13_SQL}
