@@ -8,12 +8,25 @@ from pyspark.sql import functions as F
 from quarry.llm.common import discard, written
 
 
+def pointed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """u, v, m of the edges (u, v), m being the least of u and its neighbours; and u, m alone.
+
+    Every task takes the minimum of its own rows first. The minima are grouped by the node as
+    text, another key than the join's: grouped by the node itself they would be
+    dealt out as the join needs it, and adaptive execution could not split
+    the rows of a node that has a large share of them.
+    """
+    kind = edges.schema["u"].dataType
+    least = edges.groupBy(F.col("u").cast("string").alias("_u")).agg(F.min("v").alias("m"))
+    least = least.select(F.col("_u").cast(kind).alias("u"), F.least(F.col("m"), F.col("_u").cast(kind)).alias("m"))
+    return edges.join(least, "u"), least
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
     """node, root: every node of an edge with the least node of its component.
 
     Alternating large-star and small-star rounds; a node's edges are pointed at
-    its least neighbour by a grouped minimum, which every task takes of its own
-    rows first, and a join. Each round is a written table. Null ends are left
+    its least neighbour, see `pointed`. Each round is a written table. Null ends are left
     out; an empty table gives an empty result.
     """
     spark = edges.sparkSession
@@ -25,8 +38,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         if not large:
             both = both.where(F.col("v") < F.col("u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = both.join(least, "u")
+        out, least = pointed(both)
         moved = out.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else out.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         return cleaned(moved)
 
