@@ -34,11 +34,20 @@ def merged(*layers: dict[str, Any]) -> dict[str, Any]:
     return out
 
 
+def layer(text: str | None) -> dict[str, Any]:
+    """The settings of a JSON text; none for a missing or damaged one, or one that is no object."""
+    try:
+        found = json.loads(text or "{}")
+    except ValueError:
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
 def merged_json(*layers: Column) -> Column:
-    """Columns of JSON settings merged over the defaults, later ones over earlier ones, as JSON. A null layer says nothing."""
+    """Columns of JSON settings merged over the defaults, later ones over earlier ones, as JSON. A null or damaged layer says nothing."""
     @F.pandas_udf("string")
     def merge(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda row: json.dumps(merged(DEFAULTS, *(json.loads(t) for t in row if t is not None))))
+        return rows.map(lambda row: json.dumps(merged(DEFAULTS, *map(layer, row))))
 
     return merge(F.array(*layers))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-import json
+import hashlib
 import time
 import uuid
 from typing import Any
@@ -16,12 +16,15 @@ from quarry.functions.paths import may_be_written
 from quarry.functions.text import snippet
 from quarry.operators import index, search
 from quarry.operators.embed import DeterministicProvider, NoProvider, Provider, embed_missing, query_vector
+from quarry.operators.segments import CACHE, SegmentStore
+from quarry.session import shared_path
+from quarry.sources import places
 from quarry.sources.files import HIDDEN, memory_files
 
-FILES = "path string, source string, hash string, mtime long, size long"
-CHUNKS = "id string, path string, source string, start_line int, end_line int, hash string, model string, text string, updated_at long, embedding array<double>, tokens array<string>"
-CACHE = "provider string, model string, provider_key string, hash string, embedding array<double>, dims int, updated_at long"
-TABLES = {"files": FILES, "chunks": CHUNKS, "cache": CACHE}
+#: Changed files that are opened by their names; if more changed, the folder is read.
+NAMED_FILES = 10_000
+#: How often a sync begins again because another one was faster.
+ATTEMPTS = 5
 
 
 class InvalidPath(ValueError):
@@ -31,9 +34,10 @@ class InvalidPath(ValueError):
 class Memory:
     """A folder of Markdown files with an index of its chunks.
 
-    The index is a set of Parquet tables below the hidden folder. A sync writes
-    a new state next to the one that searches read and then points to it with
-    one small file, so a sync that fails half way leaves the old state valid.
+    The index is a store of segments below the hidden folder. A sync writes the
+    files and chunks that changed as one more segment, lists what is gone, and
+    then makes the next manifest. A sync that fails half way leaves the old
+    state; of two at a time the slower one begins again from the other's state.
     """
 
     def __init__(self, spark: SparkSession, folder: str, provider: Provider | None = None, **config: Any):
@@ -44,20 +48,9 @@ class Memory:
 
     # --- files of the folder, through the file system that Spark knows ---
 
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def read_file(self, name: str) -> str | None:
         """A file's text; None if it isn't there."""
-        path, files = self._path(f"{self.folder}/{name}")
-        if not files.exists(path):
-            return None
-        stream = files.open(path)
-        try:
-            return bytes(stream.readAllBytes()).decode("utf-8", "replace")
-        finally:
-            stream.close()
+        return places.read_text(self.spark, f"{self.folder}/{name}")
 
     def read_lines(self, name: str, first: int = 1, count: int | None = None) -> dict[str, Any] | None:
         """content, start_line and end_line of some lines; lines count from 1."""
@@ -70,16 +63,7 @@ class Memory:
         return {"content": "\n".join(lines), "start_line": first, "end_line": first - 1 + len(lines)}
 
     def _write(self, name: str, text: str) -> None:
-        target, files = self._path(f"{self.folder}/{name}")
-        draft, _ = self._path(f"{self.folder}/{name}.{uuid.uuid4().hex}.tmp")
-        stream = files.create(draft, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        fs = self.spark._jvm.org.apache.hadoop.fs
-        over = self.spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
-        over[0] = getattr(fs, "Options$Rename").OVERWRITE
-        # one step: a crash leaves the old file or the new one
-        fs.FileContext.getFileContext(files.getUri(), self.spark._jsc.hadoopConfiguration()).rename(files.makeQualified(draft), files.makeQualified(target), over)
+        places.replace_text(self.spark, f"{self.folder}/{name}", text)
 
     def check_path(self, name: str) -> None:
         if not self.spark.range(1).select(may_be_written(F.lit(name))).first()[0]:
@@ -107,69 +91,108 @@ class Memory:
 
     # --- index ---
 
-    def _pointer(self) -> dict[str, Any]:
-        text = self.read_file(f"{HIDDEN}/current.json")
-        try:
-            return json.loads(text) if text else {}
-        except ValueError:
-            return {}
+    def store(self) -> SegmentStore:
+        """The index as it is now."""
+        return SegmentStore(self.spark, self.home)
 
     def table(self, name: str) -> DataFrame:
-        state = self._pointer().get("state")
-        if not state:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.home}/{state}/{name}")
+        """files, chunks or cache."""
+        return getattr(self.store(), name)()
 
     def meta(self) -> index.IndexMeta:
         c = self.config["chunking"]
-        return index.IndexMeta(self.provider.model, self.provider.id, chunk_tokens=c["tokens"], chunk_overlap=c["overlap"])
+        return index.IndexMeta(self.provider.model, self.provider.id, self.provider_key(), c["tokens"], c["overlap"])
+
+    def provider_key(self) -> str:
+        """A hash of all that vectors depend on: provider, model and, for a service, its address."""
+        parts = [self.provider.id, self.provider.model, getattr(self.provider, "url", "")]
+        return hashlib.sha256(":".join(filter(None, parts)).encode()).hexdigest()
+
+    def _listed(self) -> DataFrame:
+        """path, mtime and size of the folder's files, none of which is opened."""
+        return memory_files(self.spark, self.folder).select("path", F.floor("mtime").cast("long").alias("mtime"), "size")
 
     def is_stale(self) -> bool:
-        current = index.file_entries(memory_files(self.spark, self.folder))
-        return bool(index.is_stale(current, self.table("files")).first()["stale"])
-
-    def sync(self, force: bool = False) -> dict[str, int]:
-        """Bring the index up to date; what is unchanged is neither cut nor embedded again."""
-        spark, now = self.spark, int(time.time() * 1000)
-        pointer, wanted = self._pointer(), self.meta()
-        full = index.needs_full_reindex(index.read_meta(pointer.get("meta")), wanted, force)
-        files = memory_files(spark, self.folder)
-        current, stored, chunks, cache = index.file_entries(files), self.table("files"), self.table("chunks"), self.table("cache")
-        fresh = index.to_index(files, stored, full)
+        return bool(index.is_stale(self._listed(), self.table("files")).first()["stale"])
+
+    def sync(self, force: bool = False, verify: bool = False) -> dict[str, int]:
+        """Bring the index up to date; what is unchanged is neither cut nor embedded nor written again.
+
+        A file whose time and size are as they were is taken to be unchanged;
+        `verify` reads all files instead, `force` makes everything anew.
+        """
+        for attempt in range(ATTEMPTS):
+            try:
+                return self._synced(self.store(), force, verify)
+            except places.Taken:
+                if attempt == ATTEMPTS - 1:
+                    raise
+        raise AssertionError
+
+    def _synced(self, store: SegmentStore, force: bool, verify: bool) -> dict[str, int]:
+        spark, now, wanted = self.spark, int(time.time() * 1000), self.meta()
+        full = index.needs_full_reindex(index.read_meta(store.manifest.get("meta")), wanted, force)
+        passing = shared_path(spark, "sync")
+        # what may have changed, by names, times and sizes
+        found = self._listed().select(F.col("path").alias("f_path"), F.col("mtime").alias("f_mtime"), F.col("size").alias("f_size"))
+        known = store.files().select(F.col("path").alias("k_path"), F.col("hash").alias("old_hash"), F.col("mtime").alias("k_mtime"), F.col("size").alias("k_size"), F.col("seg").alias("old_seg"))
+        same = F.lit(not (full or verify)) & F.col("f_mtime").eqNullSafe(F.col("k_mtime")) & F.col("f_size").eqNullSafe(F.col("k_size"))
+        moves = found.join(known, F.col("f_path") == F.col("k_path"), "full_outer").select(F.coalesce("f_path", "k_path").alias("path"), "old_hash", "old_seg", F.col("f_path").isNull().alias("gone"), same.alias("same"))
+        moves.where(~F.col("same")).drop("same").write.parquet(f"{passing}/moves")
+        moves = spark.read.schema("path string, old_hash string, old_seg string, gone boolean").parquet(f"{passing}/moves")
+        n_read, n_gone = moves.agg(F.count_if(~F.col("gone")), F.count_if("gone")).first()
+        counts = {"deleted": n_gone, "unchanged": store.totals()["files"] - n_gone}
+        if n_read + n_gone == 0 and not full:
+            places.delete(spark, passing)
+            return {k: v for k, v in counts.items() if v}
+        # their contents, read once
+        named = [r["path"] for r in moves.where(~F.col("gone")).select("path").collect()] if n_read <= NAMED_FILES else None
+        texts = memory_files(spark, self.folder, named).select("path", F.lit("memory").alias("source"), "hash", F.floor("mtime").cast("long").alias("mtime"), "size", "text")
+        status = F.when(F.col("old_hash").isNull(), "new").when(F.col("old_hash") == F.col("hash"), "unchanged").otherwise("changed")
+        incoming = texts.join(moves.where(~F.col("gone")).drop("gone"), "path").withColumn("status", status)
+        incoming.write.parquet(f"{passing}/incoming")
+        incoming = spark.read.schema(incoming.schema).parquet(f"{passing}/incoming")
+        for r in incoming.groupBy("status").count().collect():
+            counts[r["status"]] = r["count"] if r["status"] != "unchanged" else counts["unchanged"]
+        counts["unchanged"] -= counts.get("changed", 0)
+        fresh = incoming if full else incoming.where("status <> 'unchanged'")
         c = self.config["chunking"]
         new = index.chunk_rows(fresh, wanted.model, now, tokens=c["tokens"], overlap=c["overlap"])
-        state = f"state-{uuid.uuid4().hex}"
-        vectors = self.provider.id != "none"
-        if vectors:
-            missing = index.cache_misses(new, cache, wanted.provider, wanted.model, "")
-            made = embed_missing(missing, self.provider).select(
-                F.lit(wanted.provider).alias("provider"), F.lit(wanted.model).alias("model"), F.lit("").alias("provider_key"), "hash", "embedding", F.size("embedding").alias("dims"), F.lit(now).cast("long").alias("updated_at")
-            )
-            made.write.parquet(f"{self.home}/{state}/embedded")
-            made = spark.read.schema(CACHE).parquet(f"{self.home}/{state}/embedded")
-            hits = index.cache_hits(new, cache, wanted.provider, wanted.model, "")
-            cache = index.cache_pruned(index.cache_upserted(index.cache_touched(cache, hits, now), made), self.config["cache"]["maxEntries"])
-            new = index.embedded(new, hits, made)
-        else:
-            new = new.withColumn("embedding", F.array().cast("array<double>"))
-        new = search.with_tokens(new).select(chunks.columns)
-        kept = index.without_stale(chunks, current).join(fresh.select("path"), "path", "left_anti").select(chunks.columns)
-        if full:
-            kept = kept.where(F.lit(False))
-        kept.unionByName(new).write.parquet(f"{self.home}/{state}/chunks")
-        current.write.parquet(f"{self.home}/{state}/files")
-        cache.write.parquet(f"{self.home}/{state}/cache")
-        counts = {r["status"]: r["count"] for r in index.diff(current, stored).groupBy("status").count().collect()}
-        self._write(f"{HIDDEN}/current.json", json.dumps({"state": state, "before": pointer.get("state"), "meta": wanted.to_json(), "schema": index.SCHEMA_VERSION}))
-        # searches under way may still read the state before this one
-        for old in filter(None, [pointer.get("before")]):
-            path, files_ = self._path(f"{self.home}/{old}")
-            files_.delete(path, True)
-        return counts
+        new, cache = self._embedded(new, store, wanted, now, passing)
+        seg, figures = store.write_segment(incoming.select("path", "source", "hash", "mtime", "size"), new)
+        segments, lists = {seg: figures}, []
+        if not full:
+            going = moves.where("gone").select("path").unionByName(incoming.where("status = 'changed'").select("path"))
+            dead = store.chunks().join(going, "path", "left_semi")
+            at, sums = store.write_lists(moves.where(F.col("old_seg").isNotNull()).select(F.col("old_seg").alias("seg"), "path"), dead)
+            segments, lists = sums | segments, [*store.manifest["lists"], at]
+        done = store.publish(segments={s: v for s, v in segments.items() if v["files"] or v["chunks"]}, lists=lists, cache=cache, meta=wanted.to_json(), schema=index.SCHEMA_VERSION)
+        places.delete(spark, passing)
+        try:
+            done.compacted()
+        except places.Taken:
+            pass  # another sync is at it; the next one merges
+        return {k: v for k, v in counts.items() if v}
+
+    def _embedded(self, new: DataFrame, store: SegmentStore, wanted: index.IndexMeta, now: int, passing: str) -> tuple[DataFrame, str | None]:
+        """Chunks with their vectors, from the cache or just made, and the folder of the next cache."""
+        if self.provider.id == "none":
+            return new.withColumn("embedding", F.array().cast("array<double>")), store.manifest.get("cache")
+        spark, cache = self.spark, store.cache()
+        who = (wanted.provider, wanted.model, wanted.provider_key)
+        missing = index.cache_misses(new, cache, *who)
+        made = embed_missing(missing, self.provider).select(*[F.lit(v).alias(k) for k, v in zip(index.CACHE_KEYS, who, strict=False)], "hash", "embedding", F.size("embedding").alias("dims"), F.lit(now).cast("long").alias("updated_at"))
+        made.write.parquet(f"{passing}/embedded")
+        made = spark.read.schema(CACHE).parquet(f"{passing}/embedded")
+        hits = index.cache_hits(new, cache, *who)
+        name = f"cache-{uuid.uuid4().hex}"
+        index.cache_pruned(index.cache_upserted(index.cache_touched(cache, hits, now), made), self.config["cache"]["maxEntries"]).write.parquet(f"{self.home}/{name}")
+        return index.embedded(new, hits, made), name
 
     def status(self) -> dict[str, Any]:
-        counts = {r["what"]: r["n"] for r in index.status(self.table("files"), self.table("chunks"), self.table("cache")).collect()}
-        return counts | {"provider": self.provider.id, "model": self.provider.model, "stale": self.is_stale(), "schema": index.SCHEMA_VERSION}
+        store = self.store()
+        totals = store.totals()
+        return {"files": totals["files"], "chunks": totals["chunks"], "cache": store.cache().count(), "provider": self.provider.id, "model": self.provider.model, "stale": self.is_stale(), "schema": index.SCHEMA_VERSION}
 
     # --- search ---
 
@@ -178,18 +201,20 @@ class Memory:
         h, q = self.config["hybrid"], self.config["query"]
         max_results = q["maxResults"] if max_results is None else max_results
         min_score = q["minScore"] if min_score is None else min_score
-        rows = search.filtered(self.table("chunks"), self.provider.model)
+        store = self.store()
+        rows = search.filtered(store.chunks(), self.provider.model)
         limit = search.candidate_count(max_results, h["candidateMultiplier"])
         out = ["path", "start_line", "end_line", "score", "snippet"]
         vector = search.vector_topk(rows, query_vector(self.provider, query) if query.strip() else [], limit).withColumn("snippet", snippet(F.col("text")))
         if not h["enabled"]:
             return search.best(vector.withColumn("score", F.col("vector_score")).withColumn("text_score", F.lit(None).cast("double")), max_results, min_score).select(out)
-        words = search.keyword_topk(rows, query, limit).withColumn("snippet", snippet(F.col("text")))
+        ranked = store.with_chunks(store.index().topk(query, limit)).orderBy("rank", "id").limit(limit)
+        words = ranked.withColumn("text_score", search.rank_to_score(F.col("rank"))).withColumn("snippet", snippet(F.col("text")))
         return search.best(search.merge_hybrid(vector, words, h["vectorWeight"], h["textWeight"]), max_results, min_score).select(out)
 
     def search(self, query: str, max_results: int | None = None, min_score: float | None = None) -> list[dict[str, Any]]:
         """The best chunks; the index is brought up to date first. A blank query has no results."""
-        if self.is_stale() or not self._pointer():
+        if self.is_stale() or not self.store().manifest["version"]:
             self.sync()
         if not query.strip():
             return []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as FutureTimeout
@@ -112,15 +113,21 @@ def query_vector(provider: Provider, text: str, seconds: float | None = None) ->
         pool.shutdown(wait=False)
 
 
-def with_retries(call: Callable[[], list], attempts: int = 3, first: float = 0.5, most: float = 8.0, sleep: Callable[[float], None] = time.sleep):
-    """The call's result; waits that double between attempts."""
+def worth_retrying(error: Exception) -> bool:
+    """Whether another attempt may help: not after an answer that says the request itself is wrong."""
+    status = getattr(error, "status", None)
+    return status is None or status == 429 or status >= 500
+
+
+def with_retries(call: Callable[[], list], attempts: int = 3, first: float = 0.5, most: float = 8.0, sleep: Callable[[float], None] = time.sleep, jitter: float = 0.0):
+    """The call's result; waits that double between attempts, each longer by up to the share `jitter`, so that tasks don't come back all at once."""
     for attempt in range(attempts):
         try:
             return call()
-        except Exception:
-            if attempt == attempts - 1:
+        except Exception as e:
+            if attempt == attempts - 1 or not worth_retrying(e):
                 raise
-            sleep(min(most, first * 2**attempt))
+            sleep(min(most, first * 2**attempt * (1 + jitter * random.random())))
     raise AssertionError
 
 
@@ -132,7 +139,7 @@ def embed_missing(missing: DataFrame, provider: Provider, batch: int = 256, atte
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                vectors = with_retries(lambda: provider.embed_batch(texts), attempts)  # noqa: B023
+                vectors = with_retries(lambda: provider.embed_batch(texts), attempts, jitter=0.2)  # noqa: B023
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.list_(pa.float64()))], names=["hash", "embedding"])
 
     return missing.select("hash", "text").mapInArrow(run, "hash string, embedding array<double>")

@@ -22,19 +22,17 @@ from quarry.operators.search import K1, B, CorpusStats
 BUCKETS = 64
 
 
-def _bucket(term: str, buckets: int) -> int:
+def bucket_of(term: str, buckets: int) -> int:
     return zlib.crc32(term.encode()) % buckets
 
 
-def _earlier(positions: str, by: int) -> Column:
+def earlier(positions: str, by: int) -> Column:
     return F.transform(positions, lambda p: p - by)
 
 
-def build(table: DataFrame, path: str, id_col: str = "id", text: str = "text", buckets: int = BUCKETS) -> TextIndex:
-    """Write the index of a table's texts below `path`; null texts are empty."""
-    spark = table.sparkSession
-    rows = table.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    kind = rows.schema["id"].dataType.simpleString()
+def posting_rows(rows: DataFrame, buckets: int) -> DataFrame:
+    """bucket, term, id, d and positions: one row for each term of each row (id, tokens), made in the task that has the row."""
+    kind = rows.schema[0].dataType.simpleString()
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,11 +47,18 @@ def build(table: DataFrame, path: str, id_col: str = "id", text: str = "text", b
                     lengths += [len(words)] * len(found)
                     terms += found.keys()
                     places += found.values()
-                    numbers += [_bucket(w, buckets) for w in found]
+                    numbers += [bucket_of(w, buckets) for w in found]
                 columns = [pa.array(numbers, pa.int32()), pa.array(terms, pa.string()), part.column(0).take(pa.array(ids, pa.int64())), pa.array(lengths, pa.int32()), pa.array(places, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "term", "id", "d", "positions"])
 
-    made = rows.mapInArrow(postings, f"bucket int, term string, id {kind}, d int, positions array<int>")
+    return rows.mapInArrow(postings, f"bucket int, term string, id {kind}, d int, positions array<int>")
+
+
+def build(table: DataFrame, path: str, id_col: str = "id", text: str = "text", buckets: int = BUCKETS) -> TextIndex:
+    """Write the index of a table's texts below `path`; null texts are empty."""
+    spark = table.sparkSession
+    rows = table.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    made = posting_rows(rows, buckets)
     made.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
     sums = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("mean_length"))
     sums.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/stats")
@@ -74,7 +79,7 @@ class TextIndex:
     def postings(self, terms: list[str], buckets: int) -> DataFrame:
         """The postings of some terms: other buckets' folders are not opened, other terms' row groups are passed over."""
         table = self.spark.read.parquet(f"{self.path}/postings")
-        return table.where(F.col("bucket").isin(sorted({_bucket(t, buckets) for t in terms})) & F.col("term").isin(sorted(set(terms)))).drop("bucket")
+        return table.where(F.col("bucket").isin(sorted({bucket_of(t, buckets) for t in terms})) & F.col("term").isin(sorted(set(terms)))).drop("bucket")
 
     def phrase(self, words: list[str], buckets: int) -> DataFrame:
         """id, d and f: how often the words stand one after another."""
@@ -82,7 +87,7 @@ class TextIndex:
         out = listed.where(F.col("term") == words[0]).select("id", "d", "positions")
         for k, word in enumerate(words[1:], 1):
             next_ = listed.where(F.col("term") == word).select("id", F.col("positions").alias("_next"))
-            out = out.join(next_, "id").select("id", "d", F.array_intersect("positions", _earlier("_next", k)).alias("positions"))
+            out = out.join(next_, "id").select("id", "d", F.array_intersect("positions", earlier("_next", k)).alias("positions"))
         return out.where(F.size("positions") > 0).select("id", "d", F.size("positions").alias("f"))
 
     def bm25(self, query: str) -> DataFrame:

@@ -188,23 +188,7 @@ def run_batch(service: OpenAiService, rows: list[tuple[str, str]], poll: float =
     """Upload, start, wait, fetch. A problem with any row, or a row without an answer, fails the batch."""
     file_id = _upload(service, batch_lines(service, rows))
 
-    def start() -> dict:
-        try:
-            return service.call("POST", "batches", {"input_file_id": file_id, "endpoint": "/v1/embeddings", "completion_window": "24h"})
-        except ServiceError as e:
-            if e.status == 429 or e.status >= 500:
-                raise
-            raise SystemError(str(e)) from e  # not worth another attempt
-
-    def attempt():
-        try:
-            return start()
-        except SystemError as e:
-            return e
-
-    state = with_retries(attempt, 3, 0.3, 2.0, sleep)
-    if isinstance(state, SystemError):
-        raise ServiceError(400, str(state))
+    state = with_retries(lambda: service.call("POST", "batches", {"input_file_id": file_id, "endpoint": "/v1/embeddings", "completion_window": "24h"}), 3, 0.3, 2.0, sleep, 0.2)
     began = clock()
     while state.get("status") != "completed":
         if state.get("status") in ("failed", "expired", "cancelled", "canceled"):

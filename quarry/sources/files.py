@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.paths import matches_globs
 from quarry.functions.text import text_hash
+from quarry.sources.places import exists, located
 
 LOG_SCHEMA = "timestamp string, operation string, result string, pushed int, pulled int, conflicts int, errors array<string>"
 REGISTRY_SCHEMA = "struct<version:int,mappings:array<struct<path:string,localPath:string,machineId:string,lastSync:string>>>"
@@ -21,33 +23,36 @@ class AmbiguousMemory(ValueError):
     """MEMORY.md and memory.md are both there and are different files."""
 
 
-def _relative(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
+def _relative(spark: SparkSession, folder: str, only: list[str] | None = None) -> tuple[str, DataFrame]:
+    """The files of a folder, or some of them by their relative paths. Contents are read only where the column is used."""
     root = folder.rstrip("/")
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(jpath):
+    jpath, files = located(spark, root)
+    if not files.exists(jpath) or only == []:
         return root, spark.createDataFrame([], "path string, abs_path string, mtime double, size long, content binary")
     full = files.resolvePath(jpath).toUri().getPath().rstrip("/")
-    table = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    reader = spark.read.format("binaryFile")
+    # names are taken as they are, not as globs
+    table = reader.option("recursiveFileLookup", "true").load(root) if only is None else reader.load([f"{root}/{re.sub(r'([][{}*?^\\])', r'\\\1', p)}" for p in only])
     inside = F.regexp_replace(F.col("path"), r"\A[a-z0-9+.-]+:(//[^/]*)?", "")
     return root, table.select(
         F.substring(inside, F.lit(len(full) + 2), F.length(inside)).alias("path"), F.col("path").alias("abs_path"), (F.unix_micros("modificationTime") / 1000).alias("mtime"), F.col("length").alias("size"), "content"
     )
 
 
-def memory_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, abs_path, mtime (milliseconds), size, text and hash of MEMORY.md (or memory.md) and memory/**/*.md.
+def memory_files(spark: SparkSession, folder: str, only: list[str] | None = None) -> DataFrame:
+    """path, abs_path, mtime (milliseconds), size, text and hash of MEMORY.md (or memory.md) and memory/**/*.md, or of the ones named.
 
     A folder that isn't there has no files. Both root files with different
-    contents are an error; the same content twice is one file.
+    contents are an error; the same content twice is one file. Only those two are
+    read to tell; who takes paths, times and sizes alone has no file opened.
     """
-    _, files = _relative(spark, folder)
+    _, files = _relative(spark, folder, only)
     root = F.col("path").isin("MEMORY.md", "memory.md")
     files = files.where(root | (F.col("path").startswith("memory/") & F.col("path").endswith(".md")))
     files = files.withColumn("text", F.decode("content", "UTF-8")).drop("content").withColumn("hash", text_hash(F.col("text")))
-    both = files.where(root).select("path", "hash").collect()
-    if len(both) == 2:
-        if both[0]["hash"] != both[1]["hash"]:
+    if all(exists(spark, f"{folder.rstrip('/')}/{name}") for name in ("MEMORY.md", "memory.md")):
+        _, two = _relative(spark, folder, ["MEMORY.md", "memory.md"])
+        if len({bytes(r["content"]) for r in two.select("content").collect()}) > 1:
             raise AmbiguousMemory(folder)
         files = files.where(F.col("path") != "memory.md")
     return files
