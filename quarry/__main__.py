@@ -90,15 +90,18 @@ def _plain(args: argparse.Namespace, folder: str) -> int:
             _show([m for m in registry["mappings"] if args.machine in (None, m.get("machineId"))])
             return 0
         path = args.path.rstrip("/") + "/"
-        others = [m for m in registry["mappings"] if (m.get("path"), m.get("machineId")) != (path, args.machine)]
-        if args.command == "sync:init":
-            if taken := next((m for m in others if m.get("path") == path), None):
-                print(f"{path} is mapped by {taken.get('machineId')} already", file=sys.stderr)
-            home = str(Path.home())
-            local = str(Path(folder).resolve())
-            local = "~" + local[len(home) :] if local.startswith(home) else local
-            others.append({"path": path, "localPath": local, "machineId": args.machine, "lastSync": dt.datetime.now(dt.UTC).isoformat()})
-        folders_.write_registry(args.central, registry | {"mappings": others})
+        home, local = str(Path.home()), str(Path(folder).resolve())
+        local = "~" + local[len(home) :] if local.startswith(home) else local
+
+        def changed(registry: dict[str, Any]) -> dict[str, Any]:
+            others = [m for m in registry["mappings"] if (m.get("path"), m.get("machineId")) != (path, args.machine)]
+            if args.command == "sync:init":
+                if taken := next((m for m in others if m.get("path") == path), None):
+                    print(f"{path} is mapped by {taken.get('machineId')} already", file=sys.stderr)
+                others.append({"path": path, "localPath": local, "machineId": args.machine, "lastSync": dt.datetime.now(dt.UTC).isoformat()})
+            return registry | {"mappings": others}
+
+        folders_.change_registry(args.central, changed)
     return 0
 
 

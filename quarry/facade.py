@@ -160,12 +160,12 @@ class Memory:
         new = index.chunk_rows(fresh, wanted.model, now, tokens=c["tokens"], overlap=c["overlap"])
         new, cache = self._embedded(new, store, wanted, now, passing)
         seg, figures = store.write_segment(incoming.select("path", "source", "hash", "mtime", "size"), new)
-        segments, lists = {seg: figures}, []
-        if not full:
+        segments, lists = ({seg: figures}, []) if full else (store.segments | {seg: figures}, store.manifest["lists"])
+        if not full and moves.where(F.col("old_seg").isNotNull()).limit(1).count():
             going = moves.where("gone").select("path").unionByName(incoming.where("status = 'changed'").select("path"))
             dead = store.chunks().join(going, "path", "left_semi")
             at, sums = store.write_lists(moves.where(F.col("old_seg").isNotNull()).select(F.col("old_seg").alias("seg"), "path"), dead)
-            segments, lists = sums | segments, [*store.manifest["lists"], at]
+            segments, lists = sums | {seg: figures}, [*store.manifest["lists"], at]
         done = store.publish(segments={s: v for s, v in segments.items() if v["files"] or v["chunks"]}, lists=lists, cache=cache, meta=wanted.to_json(), schema=index.SCHEMA_VERSION)
         places.delete(spark, passing)
         try:

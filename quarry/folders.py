@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 import os
+import random
 import shutil
 import subprocess
 import time
@@ -50,13 +52,42 @@ def read_registry(central: str) -> dict[str, Any]:
     return found if isinstance(found, dict) and isinstance(found.get("mappings"), list) else {"version": 1, "mappings": []}
 
 
-def write_registry(central: str, registry: dict[str, Any]) -> None:
-    replace_file(Path(central, REGISTRY), json.dumps(registry, indent=1))
+def change_registry(central: str, change: Callable[[dict[str, Any]], dict[str, Any]], attempts: int = 50, sleep: Callable[[float], None] = time.sleep) -> dict[str, Any]:
+    """Write what `change` makes of the registry; it may be called again, with what another machine has written meanwhile.
+
+    Only one writer may follow a given text: it says so by making a file named
+    after it. One that has been there for a minute is of a writer that died.
+    """
+    path = Path(central, REGISTRY)
+    for attempt in range(attempts):
+        before = path.read_bytes() if path.exists() else b""
+        claim = path.with_name(f"{path.name}.{hashlib.sha256(before).hexdigest()[:16]}.next")
+        try:
+            path.parent.mkdir(parents=True, exist_ok=True)
+            os.close(os.open(claim, os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            try:
+                if time.time() - claim.stat().st_mtime > 60:
+                    claim.unlink(missing_ok=True)
+            except FileNotFoundError:
+                pass
+            sleep(0.02 * (1 + random.random()) * min(attempt + 1, 10))
+            continue
+        try:
+            # another writer may have been done between reading and claiming
+            if (path.read_bytes() if path.exists() else b"") != before:
+                continue
+            made = change(read_registry(central))
+            replace_file(path, json.dumps(made, indent=1))
+            return made
+        finally:
+            claim.unlink(missing_ok=True)
+    raise TimeoutError(f"{path} is always being written")
 
 
 def replace_file(path: Path, text: str) -> None:
     path.parent.mkdir(parents=True, exist_ok=True)
-    draft = path.with_name(path.name + ".tmp")
+    draft = path.with_name(f"{path.name}.{os.getpid()}.{random.getrandbits(32):x}.tmp")
     draft.write_text(text)
     draft.replace(path)
 

@@ -24,30 +24,135 @@ def may_be_written(path: Column) -> Column:
     return ~path.contains("..") & (p.isin("MEMORY.md", "memory.md") | (p.startswith("memory/") & p.endswith(".md")))
 
 
-def glob_pattern(glob: str) -> str:
-    """A regular expression for a glob: `**/` is any number of folders, `*` and `?` stay inside one."""
+def _closed(glob: str, at: int, open_: str, close: str) -> int:
+    """Where what opens at `at` is closed; -1 if nowhere."""
+    depth = 0
+    while at < len(glob):
+        if glob[at] == "\\":
+            at += 1
+        elif glob[at] == open_:
+            depth += 1
+        elif glob[at] == close:
+            depth -= 1
+            if not depth:
+                return at
+        at += 1
+    return -1
+
+
+def _parted(text: str, by: str) -> list[str]:
+    """The parts of a text at a sign that stands in no brackets."""
+    parts, depth, at = [""], 0, 0
+    while at < len(text):
+        c = text[at]
+        if c == "\\":
+            c = text[at : at + 2]
+        elif c in "{(":
+            depth += 1
+        elif c in "})":
+            depth -= 1
+        if c == by and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+        at += len(c)
+    return parts
+
+
+def _expanded(glob: str) -> list[str]:
+    """A glob for each choice of its braces: {a,b} and {1..3}."""
+    at = glob.find("{")
+    while at >= 0:
+        end = _closed(glob, at, "{", "}")
+        if end < 0:
+            break
+        inner = glob[at + 1 : end]
+        choices = _parted(inner, ",")
+        if span := re.fullmatch(r"(-?\d+)\.\.(-?\d+)", inner):
+            lo, hi = int(span[1]), int(span[2])
+            choices = [str(i) for i in (range(lo, hi + 1) if lo <= hi else range(lo, hi - 1, -1))]
+        if len(choices) > 1 or span:
+            return [glob[:at] + x for c in choices for x in _expanded(c + glob[end + 1 :])]
+        at = glob.find("{", at + 1)
+    return [glob]
+
+
+def _class(glob: str, at: int) -> tuple[str, int] | None:
+    """The regular expression of a class that opens at `at`, and where it ends."""
+    end = at + 2 if glob[at + 1 : at + 2] in ("!", "^") else at + 1
+    first = end
+    while end < len(glob) and (glob[end] != "]" or end == first):
+        end += 1
+    if end >= len(glob):
+        return None
+    inner = "".join(c if c == "-" else re.escape(c) for c in glob[first:end])
+    return (f"[^/{inner}]" if first == at + 2 else f"(?!/)[{inner}]"), end + 1
+
+
+def _segment(glob: str, start: bool = True) -> str:
+    """A regular expression for a glob without slashes. Wildcards at the start take no dot."""
     out, at = "", 0
+    if start and (glob[:1] in ("*", "?", "[") or re.match(r"[?*+@!]\(", glob)):
+        out = r"(?!\.)"
     while at < len(glob):
-        if glob.startswith("**/", at):
-            out, at = out + "(?:[^/]+/)*", at + 3
-        elif glob.startswith("**", at):
-            out, at = out + ".*", at + 2
-        elif glob[at] == "*":
+        c = glob[at]
+        if c in "?*+@!" and glob[at + 1 : at + 2] == "(" and (end := _closed(glob, at + 1, "(", ")")) > 0:
+            choice = "|".join(_segment(p, False) for p in _parted(glob[at + 2 : end], "|"))
+            if c == "!":
+                # none of the choices, with what follows up to the end
+                rest = _segment(glob[end + 1 :], False)
+                return f"{out}(?!(?:{choice}){rest}(?:/|\\z))[^/]*{rest}"
+            out, at = out + f"(?:{choice})" + ("" if c == "@" else c), end + 1
+        elif c == "*":
             out, at = out + "[^/]*", at + 1
-        elif glob[at] == "?":
+        elif c == "?":
             out, at = out + "[^/]", at + 1
+        elif c == "[" and (found := _class(glob, at)):
+            out, at = out + found[0], found[1]
+        elif c == "\\" and at + 1 < len(glob):
+            out, at = out + re.escape(glob[at + 1]), at + 2
         else:
-            out, at = out + re.escape(glob[at]), at + 1
-    return rf"\A{out}\z"
+            out, at = out + re.escape(c), at + 1
+    return out
+
+
+def glob_pattern(glob: str) -> str:
+    """A regular expression for a glob.
+
+    `*` and `?` stay inside a folder; `**` as a whole part is any number of
+    folders, at the end everything below. [abc], [a-z], [!a] are one character,
+    {a,b} and {1..3} choices; ?(a|b), *(a|b), +(a|b), @(a|b) and !(a|b) are
+    none or one, any number, one or more, one, and none of the choices. A
+    wildcard takes no dot at the start of a name. A backslash takes the next
+    character as it is.
+    """
+    wholes = []
+    for one in _expanded(glob):
+        parts, out = one.split("/"), ""
+        for i, part in enumerate(parts):
+            last = i == len(parts) - 1
+            if part == "**":
+                out += r"(?!\.)[^/]+(?:/(?!\.)[^/]+)*" if last else r"(?:(?!\.)[^/]+/)*"
+            else:
+                out += (r"(?!\.)[^/]+" if part == "*" else _segment(part)) + ("" if last else "/")
+        wholes.append(out)
+    return rf"\A(?:{'|'.join(wholes)})\z"
+
+
+def matches_glob(path: Column, glob: str) -> Column:
+    """Whether a path matches a glob; one that begins with `!` is matched by what the rest doesn't match."""
+    turned = len(glob) - len(glob.lstrip("!")) if not glob.startswith("!(") else 0
+    hit = path.rlike(glob_pattern(glob[turned:]))
+    return ~hit if turned % 2 else hit
 
 
 def matches_globs(path: Column, include: list[str], exclude: list[str] = ()) -> Column:
     """Any of `include` and none of `exclude`."""
     hit = F.lit(False)
     for glob in include:
-        hit = hit | path.rlike(glob_pattern(glob))
+        hit = hit | matches_glob(path, glob)
     for glob in exclude:
-        hit = hit & ~path.rlike(glob_pattern(glob))
+        hit = hit & ~matches_glob(path, glob)
     return hit
 
 

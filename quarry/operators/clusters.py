@@ -60,7 +60,10 @@ def build(table: DataFrame, path: str, id_col: str = "id", embedding: str = "emb
     share = min(1.0, 1.1 * SAMPLE_ROWS / max(1, n))
     sample = rows.where(sound).sample(share, seed).limit(SAMPLE_ROWS).select(array_to_vector(_unit(F.col("embedding"))).alias("features"))
     centroids = np.zeros((0, dims))
-    if n and not sample.isEmpty():
+    if n and wanted == 1:
+        # any direction will do
+        centroids = np.array([r["features"].toArray() for r in sample.limit(1).collect()]).reshape(-1, dims)
+    elif n and not sample.isEmpty():
         found = np.array(KMeans(k=wanted, distanceMeasure="cosine", maxIter=8, seed=seed).fit(sample).clusterCenters())
         size = np.linalg.norm(found, axis=1)
         centroids = found[size > 1e-9] / size[size > 1e-9, None]
@@ -124,7 +127,7 @@ class VectorIndex:
         centroids, rings = self._headers()
         q = np.array(query, float)
         usable = len(centroids) and len(q) == centroids.shape[1] and 1e-100 < np.linalg.norm(q) < 1e100
-        best = _bounds(centroids, rings, (q / np.linalg.norm(q))[None])[0] if usable else np.ones(len(rings["n"]))
+        angle, best = _bounds(centroids, rings, q / np.linalg.norm(q)) if usable else (np.zeros(len(rings["n"])), np.ones(len(rings["n"])))
         self.read = {"rings": len(best), "rings_read": 0, "rows": int(rings["n"].sum()), "rows_read": 0}
         if not any(query) or not len(best):
             return self.vectors().where(F.lit(False)).select("id", F.lit(0.0).alias("vector_score"))
@@ -140,10 +143,10 @@ class VectorIndex:
         if probes is not None:
             near = np.argsort(-(centroids @ q))[:probes] if usable else np.arange(len(centroids))
             return scored((np.isin(rings["cluster"], near) | (rings["cluster"] == REST)) & (best >= floor))
-        # the most promising rings with enough rows, then all that their k-th score doesn't rule out
-        order = np.argsort(-best, kind="stable")
-        first = np.zeros(len(best), bool)
-        first[order[: int(np.searchsorted(np.cumsum(rings["n"][order]), 4 * k)) + 1]] = True
+        # rings of the nearest clusters with enough rows, then all that their k-th score doesn't rule out
+        order = np.lexsort((-best, angle))
+        first = rings["cluster"] == REST
+        first[order[: int(np.searchsorted(np.cumsum(np.where(first, 0, rings["n"])[order]), 4 * k)) + 1]] = True
         seen = [r["vector_score"] for r in scored(first & (best >= floor)).collect()]
         if len(seen) == k:
             floor = max(floor, seen[-1])
@@ -163,26 +166,27 @@ class VectorIndex:
         clusters = np.unique(rings["cluster"])
         rows_of = {int(c): int(rings["n"][rings["cluster"] == c].sum()) for c in clusters}
         pieces = {c: -(-n // SLICE_ROWS) for c, n in rows_of.items()}
-        shared = self.spark.sparkContext.broadcast((centroids, rings, clusters, pieces))  # as `_headers`
+        starts = np.searchsorted(rings["cluster"], clusters)
+        shared = self.spark.sparkContext.broadcast((centroids, rings, clusters, pieces, starts))  # as `_headers`
         asked = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vector).cast("array<double>").alias("q"), F.lit(-2.0).alias("floor"))
 
         def met(first: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                c, r, names, parts = shared.value
+                c, r, names, parts, starts = shared.value
                 for batch in batches:
                     out: list[list] = [[], [], [], [], []]
                     for i, (v, floor) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                         x = np.array([np.nan if y is None else y for y in v], float)
                         if not len(x) or not np.isfinite(x).all() or not x.any():
                             continue
-                        best = np.ones(len(names))
+                        best, near = np.ones(len(names)), len(names) - 1
                         if len(c) and len(x) == c.shape[1] and 1e-100 < np.linalg.norm(x) < 1e100:
-                            ring = _bounds(c, r, (x / np.linalg.norm(x))[None])[0]
-                            best = np.array([ring[r["cluster"] == name].max() for name in names])
-                        # the rest is read in the second round
-                        nearest = int(np.argmax(np.where(names == REST, -3, best))) if (names != REST).any() else -1
+                            angle, ring = _bounds(c, r, x / np.linalg.norm(x))
+                            best = np.maximum.reduceat(ring, starts)
+                            # rings lie in the order of their clusters
+                            near = int(np.argmin(np.where(names == REST, 9, angle[starts])))
                         for at, name in enumerate(names.tolist()):
-                            if (at == nearest) if first else (at != nearest and best[at] >= floor):
+                            if (at == near) if first else (at != near and best[at] >= floor):
                                 for piece in range(parts[name]):
                                     for column, value in zip(out, (i, name, piece, v, floor), strict=True):
                                         column.append(value)
@@ -209,12 +213,11 @@ class VectorIndex:
         return best(near.drop("rank").unionByName(round_(rest, False)))
 
 
-def _bounds(centroids: np.ndarray, rings: dict[str, np.ndarray], units: np.ndarray) -> np.ndarray:
-    """For each direction, the largest cosine that a row of each ring can have."""
-    angle = np.arccos(np.clip(units @ centroids.T, -1, 1))
-    t = angle[:, np.maximum(rings["cluster"], 0)]
+def _bounds(centroids: np.ndarray, rings: dict[str, np.ndarray], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a direction, the angle to the centroid of each ring, and the largest cosine that a row of the ring can have."""
+    t = np.arccos(np.clip(centroids @ unit, -1, 1))[np.maximum(rings["cluster"], 0)]
     apart = np.maximum(0, np.maximum(rings["least"] - t, t - rings["most"]) - _SLACK)
-    return np.where(rings["cluster"] == REST, 1.0, np.cos(apart)) + _SLACK
+    return t, np.where(rings["cluster"] == REST, 1.0, np.cos(apart)) + _SLACK
 
 
 def _matched(k: int):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.chunking import OVERLAP, TOKENS, chunked
 from quarry.functions.text import text_hash
-from quarry.session import shared_path
+from quarry.session import passing_path
 
 SCHEMA_VERSION = 2
 META_KEY = "memory_index_meta_v1"
@@ -139,9 +139,50 @@ def cache_touched(cache: DataFrame, hashes: DataFrame, now: int) -> DataFrame:
     return cache.join(hit, "hash", "left").withColumn("updated_at", touched).select(cache.columns)
 
 
+#: Rows up to which the newest are sorted out by every task and then in one.
+ONE_TASK = 100_000
+#: Parts that a range of times is cut into, again and again, to find the last row that stays.
+PARTS = 1024
+
+
 def cache_pruned(cache: DataFrame, max_entries: int) -> DataFrame:
-    """The `max_entries` newest rows."""
-    return cache.orderBy(F.desc("updated_at"), *CACHE_KEYS).limit(max_entries)
+    """The `max_entries` newest rows; of one time, the first by their keys."""
+    if max_entries <= ONE_TASK:
+        return cache.orderBy(F.desc("updated_at"), *CACHE_KEYS).limit(max_entries)
+    return newest(cache, max_entries, "updated_at", CACHE_KEYS)
+
+
+def newest(table: DataFrame, n: int, when: str, keys: list[str]) -> DataFrame:
+    """The `n` rows with the largest `when` (long), ties by `keys`; null times come last. For any n, as no task gets them all.
+
+    Counts by parts of the range of times narrow it down to a part with few rows
+    or of one time; each is a scan of that column, and 1024 numbers. Rows above
+    are taken where they are. What is still wanted is counted off in order over ranges.
+    """
+    at = F.col(when)
+    total, lo, hi = table.agg(F.count(F.lit(1)), F.min(at), F.max(at)).first()
+    if total <= n:
+        return table
+    wanted, dated = n, lo is not None
+    if dated:
+        known = table.where(at.isNotNull()).count()
+        dated = known > n
+        wanted = n if dated else n - known
+    while dated and lo < hi:
+        width = (hi - lo) // PARTS + 1
+        part = F.floor((F.lit(hi) - at) / width).cast("int") if hi - lo < 1 << 52 else ((F.lit(hi).cast("decimal(20,0)") - at.cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("decimal(20,0)").cast("int")
+        counts = {r["p"]: (r["n"], r["lo"], r["hi"]) for r in table.where(at.between(lo, hi)).groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi")).collect()}
+        for p in sorted(counts):
+            count, lo, hi = counts[p]
+            if count >= wanted:
+                break
+            wanted -= count
+        if count <= ONE_TASK:
+            break
+    above = table.where(at > hi) if dated else table.where(at.isNotNull())
+    edge = table.where(at.between(lo, hi)) if dated else table.where(at.isNull())
+    numbered = segment_groups(edge.withColumn("_late", F.lit(1) if not dated else -at), ["_late", *keys])
+    return above.unionByName(numbered.where(F.col("position") < wanted).select(table.columns))
 
 
 def embedded(chunks: DataFrame, cached: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -173,7 +214,7 @@ def segment_groups(requests: DataFrame, order: list[str], size: int = 50_000) ->
     """
     spark = requests.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = shared_path(spark, "ranges")
+    path = passing_path(spark, "ranges")
     ranges = requests.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
     ranges.write.parquet(path)
     dealt = spark.read.schema(ranges.schema).parquet(path)

@@ -152,7 +152,11 @@ class SegmentStore:
     # --- writing ---
 
     def write_segment(self, files: DataFrame, chunks: DataFrame) -> tuple[str, dict[str, int]]:
-        """Write FILES and chunks (CHUNKS without the last two) as a segment that nothing names yet: its name and figures."""
+        """Write FILES and chunks (CHUNKS without the last two) as a segment that nothing names yet: its name and figures.
+
+        The blocks of a segment of few tokens are one file; those of a large one
+        are dealt out by bucket and term.
+        """
         seg = f"s{uuid.uuid4().hex}"
         files.write.parquet(f"{self.home}/files/seg={seg}")
         names = [c.split()[0] for c in CHUNKS.split(", ")]
@@ -163,7 +167,8 @@ class SegmentStore:
         n, length = written.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
         buckets = BUCKETS if length > SPLIT_TOKENS else 1
         blocks = posting_blocks(written.select("docno", tokens(F.col("text")).alias("tokens")), buckets)
-        blocks.repartitionByRange("bucket", "term", "window").sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").parquet(f"{self.home}/blocks/seg={seg}")
+        dealt = blocks.repartitionByRange("bucket", "term", "window") if buckets > 1 else blocks.repartition(1)
+        dealt.sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").parquet(f"{self.home}/blocks/seg={seg}")
         count = self._read("files", FILES, [seg]).count()
         return seg, {"files": count, "chunks": n, "tokens": int(length), "buckets": buckets, "dead": 0, "dead_tokens": 0, "dead_files": 0}
 

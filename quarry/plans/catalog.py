@@ -21,9 +21,10 @@ from quarry.functions import text as tx
 from quarry.functions.chunking import chunked
 from quarry.functions.columns import rounded
 from quarry.functions.vector import cosine, nonzero, parsed_embedding
-from quarry.operators import embed, index, inverted, search, sync
-from quarry.session import shared_path, spread
+from quarry.operators import blocks, clusters, embed, index, inverted, search, segments, sync
+from quarry.session import passing_path, spread
 from quarry.streaming import changes as ch
+from quarry.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,6 +101,21 @@ def vector_topk_many(spark, sf):
     return search.vector_topk_many(rows, asked, 5, "vec_id").select("query_id", "id", rounded(F.col("vector_score")).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
+@query("vector_topk_index", f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def vector_topk_index(spark, sf):
+    index_ = clusters.build(table(spark, sf, "embeddings"), passing_path(spark, "vectors"), "vec_id")
+    return index_.topk(_query_vector(spark, sf), 10).select("id", rounded(F.col("vector_score")).alias("score"))
+
+
+@query("vector_topk_index_many", ORACLE_SQL["vector_topk_many"])
+def vector_topk_index_many(spark, sf):
+    """The queries of `vector_topk_many`, which stay a table."""
+    rows = table(spark, sf, "embeddings")
+    index_ = clusters.build(rows, passing_path(spark, "vectors"), "vec_id")
+    found = index_.topk_many(rows.where(F.col("vec_id") % 20 == 0), 5, "vec_id")
+    return found.select("query_id", "id", rounded(F.col("vector_score")).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
 @query("embedding_json", "SELECT vec_id, len(embedding)::INT AS dims, round(list_sum(embedding::DOUBLE[]), 4) AS total, true AS usable FROM embeddings")
 def embedding_json(spark, sf):
     stored = table(spark, sf, "embeddings").select("vec_id", F.to_json(F.col("embedding").cast("array<double>")).alias("j"))
@@ -177,16 +193,55 @@ def keyword_topk(spark, sf):
 
 @query("inverted_topk", f"WITH {_bm25_sql(KEYWORD_QUERY)} SELECT id, round(rank, 6) AS rank FROM r ORDER BY r.rank, id LIMIT 20")
 def inverted_topk(spark, sf):
-    index_ = inverted.build(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), shared_path(spark, "postings"))
+    index_ = inverted.build(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), passing_path(spark, "postings"))
     return index_.bm25(KEYWORD_QUERY).orderBy("rank", "id").limit(20).select("id", rounded(F.col("rank")).alias("rank"))
 
 
 @query("inverted_phrase", f"WITH {_bm25_sql(PHRASE_QUERY)} SELECT id, round(rank, 6) AS rank FROM r")
 def inverted_phrase(spark, sf):
-    index_ = inverted.build(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), shared_path(spark, "postings"))
+    index_ = inverted.build(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), passing_path(spark, "postings"))
     return index_.bm25(PHRASE_QUERY).select("id", rounded(F.col("rank")).alias("rank"))
 
 
+@query("keyword_topk_pruned", f"WITH {_bm25_sql(KEYWORD_QUERY)} SELECT id, round(rank, 6) AS rank, round(1 / (1 + abs(rank)), 6) AS score FROM r ORDER BY r.rank, id LIMIT 20")
+def keyword_topk_pruned(spark, sf):
+    rows = _tokenised(spark, sf).select(F.col("id").alias("docno"), "tokens")
+    path = passing_path(spark, "blocks")
+    blocks.posting_blocks(rows).drop("bucket").write.parquet(path)
+    n, length = rows.agg(F.count(F.lit(1)), F.sum(F.size("tokens"))).first()
+    found = blocks.PrunedIndex(spark.read.schema(blocks.BLOCKS).parquet(path).withColumn("seg", F.lit("")), n, length).topk(KEYWORD_QUERY, 20)
+    best = found.orderBy("rank", "docno").limit(20)
+    return best.select(F.col("docno").alias("id"), rounded(F.col("rank")).alias("rank"), rounded(search.rank_to_score(F.col("rank"))).alias("score"))
+
+
+_SEGMENTS = "SELECT 'memory/' || doc_id || '.md' AS id, text FROM documents WHERE source IS DISTINCT FROM 'src2'"
+
+
+@query("segments_search", f"WITH {_bm25_sql(KEYWORD_QUERY, _SEGMENTS)} SELECT id, round(rank, 6) AS rank FROM r ORDER BY r.rank, id LIMIT 20")
+def segments_search(spark, sf):
+    """Three states of one index: a first segment, another with edited and added documents, and a list of deleted ones."""
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("memory/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "source", "text", (F.col("doc_id") % 3).alias("third"))
+    store = segments.SegmentStore(spark, passing_path(spark, "segments"))
+
+    def rows(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        files = some.select("path", "source", tx.text_hash(F.col("text")).alias("hash"), F.lit(0).cast("long").alias("mtime"), F.length("text").cast("long").alias("size"))
+        chunks = some.select(F.col("path").alias("id"), "path", "source", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit("").alias("hash"), F.lit("").alias("model"), "text", F.lit(0).cast("long").alias("updated_at"), F.array().cast("array<double>").alias("embedding"))
+        return files, chunks
+
+    first = docs.where("third > 0").withColumn("text", F.when(F.col("third") == 1, F.concat("text", F.lit(" the and of"))).otherwise(F.col("text")))
+    seg, figures = store.write_segment(*rows(first))
+    store = store.publish(segments={seg: figures})
+    changed = docs.where("third < 2")
+    seg, figures = store.write_segment(*rows(changed))
+    old = store.files().join(changed.select("path"), "path", "left_semi")
+    at, sums = store.write_lists(old, store.chunks().join(old.select("path"), "path", "left_semi"))
+    store = store.publish(segments=sums | {seg: figures}, lists=[at])
+    gone = store.files().where(F.col("source") == "src2")
+    at, sums = store.write_lists(gone, store.chunks().where(F.col("source") == "src2"))
+    store = store.publish(segments=sums, lists=[*store.manifest["lists"], at])
+    return store.with_chunks(store.index().topk(KEYWORD_QUERY, 20)).orderBy("rank", "id").limit(20).select("id", rounded(F.col("rank")).alias("rank"))
+
+
 @query("sources_filter", "SELECT doc_id, source, lang FROM documents WHERE lang = 'en' AND source IN ('src1', 'src3')")
 def sources_filter(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "source", "lang", F.col("lang").alias("model"))
@@ -816,6 +871,24 @@ def stream_last_event(spark, sf):
     return ch.last_events(_file_events(spark, sf), _GAP)
 
 
+@query("stream_live_debounce", ORACLE_SQL["stream_last_event"])
+def stream_live_debounce(spark, sf):
+    """The rows of `stream_last_event` from a running query with state by user; an event of each user far ahead closes the last bursts."""
+    events = _file_events(spark, sf)
+    path = passing_path(spark, "changes")
+    ahead = events.agg(F.unix_micros(F.max("ts")).alias("t")).first()["t"] or 0
+    last = events.select("directory").distinct().select("directory", F.lit("").alias("file"), F.lit("end").alias("event"), F.timestamp_micros(F.lit(ahead + 2_000_000 * _GAP)).alias("ts"), F.lit(0).cast("long").alias("event_id"))
+    events.write.parquet(f"{path}/part=1")
+    last.write.parquet(f"{path}/part=2")
+    kind = events.schema["directory"].dataType.simpleString()
+    out = f"{path}-closed"
+    # the events of a directory must not be late for one another: first all of them, then what closes them
+    for part in (1, 2):
+        stream = spark.readStream.schema(f"directory {kind}, file string, event string, ts timestamp, event_id long").parquet(f"{path}/part=[1-{part}]")
+        live.started(live.debounced(stream, _GAP, event_time=True), lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"), f"{path}-state").awaitTermination()
+    return spark.read.schema(f"directory {kind}, burst long, file string, event string").parquet(out).where("event <> 'end'").select("directory", "burst", "file", "event")
+
+
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a stream: the file source lists what the pattern matches."""
     return spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
@@ -832,8 +905,8 @@ def stream_incremental_index(spark, sf):
     file = F.concat(F.lit("f"), F.get_json_object("props", "$.k"))
     event = F.when(F.col("event_type") == "click", "unlink").otherwise(F.col("event_type"))
     changes_ = e.select(file.alias("file"), event.alias("event"), F.col("user_id").cast("string").alias("text"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    follow = ch.FollowingIndex(shared_path(spark, "following"))
-    ch.follow(changes_, follow, shared_path(spark, "stream")).awaitTermination()
+    follow = ch.FollowingIndex(passing_path(spark, "following"))
+    ch.follow(changes_, follow, passing_path(spark, "stream")).awaitTermination()
     return follow.table(spark)
 
 
@@ -843,12 +916,12 @@ def stream_windowed_counts(spark, sf):
     e = _event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     days = e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     rows = days.select(F.unix_micros("w.start").alias("started"), "event_type", "n", "total")
-    path = shared_path(spark, "windowed")
+    path = passing_path(spark, "windowed")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(path)
 
-    rows.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    rows.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", passing_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(path)
 
 

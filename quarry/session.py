@@ -74,3 +74,14 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+
+
+def passing_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder that goes when the driver ends; a driver that is killed leaves it."""
+    path = shared_path(spark, name)
+    on_disk = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # the store notes only paths that are there
+    store = on_disk.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(on_disk)
+    store.deleteOnExit(on_disk)
+    return f"{path}/table"

@@ -81,11 +81,10 @@ def run(spark: SparkSession, folder: str, operation: str, central: str | None =
             out["errors"].append(f"{r['file']}: {e}")
     when = (now or dt.datetime.now(dt.UTC)).isoformat(timespec="milliseconds").replace("+00:00", "Z")
     noted(spark, folder, there, sides(), when)
-    registry = folders.read_registry(root)
-    for mapping in registry["mappings"]:
-        if (mapping.get("path") or "").strip("/") == inside and mapping.get("machineId") == (machine or os.uname().nodename):
-            mapping["lastSync"] = when
-            folders.write_registry(root, registry)
+    name = machine or os.uname().nodename
+    mine = lambda m: (m.get("path") or "").strip("/") == inside and m.get("machineId") == name
+    if any(map(mine, folders.read_registry(root)["mappings"])):
+        folders.change_registry(root, lambda r: r | {"mappings": [m | {"lastSync": when} if mine(m) else m for m in r["mappings"]]})
     entry = {"timestamp": when, "operation": operation, "result": "error" if out["errors"] else "ok", "pushed": out["pushed"], "pulled": out["pulled"], "errors": out["errors"]}
     log = Path(folder, HIDDEN, LOG)
     lines = (log.read_text().splitlines() if log.exists() else []) + [json.dumps(entry)]

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,3 +148,56 @@ def test_config():
     assert config.with_value({"a": 1}, "a.b", 2) == {"a": {"b": 2}} and config.without_value({"a": {"b": 1, "c": 2}}, "a.b") == {"a": {"c": 2}}
     assert config.from_assignment("a.b=x=y") == ("a.b", "x=y") and config.from_assignment("a=true") == ("a", True)
     assert config.resolved_directories(["x", "x"], True, "/h") == ["x", "/h/.quarry"] and config.resolved_directories([], False, "/h", None, "/cwd") == ["/cwd"]
+
+
+GLOBS = [
+    ("**/*.{md,txt}", "a/b.txt", True), ("**/*.{md,txt}", "b.html", False), ("{a,b{c,d}}/x", "bd/x", True), ("{a,b{c,d}}/x", "b/x", False), ("n{1..3}.md", "n2.md", True), ("n{1..3}.md", "n4.md", False),
+    ("[ab]c", "bc", True), ("[!ab]c", "bc", False), ("[^ab]c", "dc", True), ("[a-c]x", "bx", True), ("[]x", "[]x", True), ("a[", "a[", True), ("[a]]", "a]", True), ("!*.md", "a.txt", True), ("!*.md", "a.md", False), ("!!*.md", "a.md", True),
+    ("*", ".hidden", False), (".*", ".hidden", True), ("**/*.md", ".h/a.md", False), ("**", "a/.b/c", False), ("a/**", "a", False), ("a/**", "a/b/c", True), ("a**b", "axxb", True), ("a**b", "ax/xb", False),
+    ("+(ab|c).md", "abcab.md", True), ("+(ab|c).md", ".md", False), ("?(a)b", "b", True), ("@(a|b)", "ab", False), ("*(a|b)", "abba", True), ("!(a|b).md", "c.md", True), ("!(a|b).md", "a.md", False), ("!(a).md", "ab.md", True),
+    (r"\*.md", "*.md", True), (r"\*.md", "a.md", False), ("{x}", "{x}", True), ("a{,b}c", "ac", True), ("*.md", "", False), ("?", "é", True), ("a.b", "axb", False),
+]
+
+
+def test_globs_with_choices(spark):
+    table = spark.createDataFrame([(p,) for p in sorted({p for _, p, _ in GLOBS})], "p string")
+    found = {}
+    for glob in dict.fromkeys(g for g, _, _ in GLOBS):
+        found |= {(glob, r.p): r.hit for r in table.select("p", paths.matches_glob(F.col("p"), glob).alias("hit")).collect()}
+    assert [(g, p, found[g, p]) for g, p, _ in GLOBS] == GLOBS
+
+
+def plain_match(glob, path):
+    """Backtracking over folders and characters: `*`, `?`, `**`, classes and choices of one level."""
+    if brace := re.search(r"\{([^{}]*)\}", glob):
+        return any(plain_match(glob[: brace.start()] + c + glob[brace.end() :], path) for c in brace[1].split(","))
+
+    def name(g, s):
+        if not g:
+            return not s
+        if g[0] == "*":
+            return name(g[1:], s) or bool(s) and name(g, s[1:])
+        if g[0] == "[":
+            end = g.index("]")
+            return bool(s) and ((s[0] in g[1:end]) if g[1] != "!" else (s[0] not in g[2:end])) and name(g[end + 1 :], s[1:])
+        return bool(s) and g[0] in ("?", s[0]) and name(g[1:], s[1:])
+
+    def parts(gs, ps):
+        if not gs:
+            return not ps
+        if gs[0] == "**":
+            if len(gs) == 1:
+                return bool(ps) and not any(p.startswith(".") for p in ps)
+            return parts(gs[1:], ps) or bool(ps) and not ps[0].startswith(".") and parts(gs, ps[1:])
+        return bool(ps) and not (ps[0].startswith(".") and gs[0][:1] in "*?[") and (gs[0] != "*" or ps[0] != "") and name(gs[0], ps[0]) and parts(gs[1:], ps[1:])
+
+    return parts(glob.split("/"), path.split("/"))
+
+
+def test_random_globs(spark):
+    rng = random.Random(8)
+    globs = ["/".join("".join(rng.choice(["a", "b", "*", "?", "[ab]", "[!a]", "{a,bb}", "."]) for _ in range(rng.randint(1, 3))) if rng.random() < 0.8 else "**" for _ in range(rng.randint(1, 3))) for _ in range(60)]
+    names = ["/".join("".join(rng.choice("ab.") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 4))) for _ in range(200)]
+    row = spark.createDataFrame([(n,) for n in names], "p string").select("p", *[paths.matches_glob(F.col("p"), g).alias(f"g{i}") for i, g in enumerate(globs)])
+    for r in row.collect():
+        assert [(g, r.p, r[f"g{i}"]) for i, g in enumerate(globs)] == [(g, r.p, plain_match(g, r.p)) for g in globs]

@@ -89,7 +89,7 @@ def test_central(tmp_path):
     made = folders.make_central(place)
     assert made["success"] and made["created"] and folders.check_central(place) == {"valid": True, "warnings": [], "errors": []}
     assert not folders.make_central(place)["created"]
-    folders.write_registry(place, {"version": 1, "mappings": [{"path": "p/"}]})
+    folders.change_registry(place, lambda _: {"version": 1, "mappings": [{"path": "p/"}]})
     assert folders.read_registry(place)["mappings"] == [{"path": "p/"}]
     (tmp_path / "central" / folders.REGISTRY).write_text("broken")
     assert folders.read_registry(place) == {"version": 1, "mappings": []}

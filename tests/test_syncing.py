@@ -22,7 +22,7 @@ def place(tmp_path):
     (here / HIDDEN).mkdir()
     (central / "p" / "memory").mkdir(parents=True)
     (here / HIDDEN / "config.json").write_text(json.dumps({"sync": {"central": str(central), "path": "p/"}}))
-    folders.write_registry(str(central), {"version": 1, "mappings": [{"path": "p/", "localPath": str(here), "machineId": "m", "lastSync": "old"}, {"path": "q/", "localPath": "x", "machineId": "m", "lastSync": "old"}]})
+    folders.change_registry(str(central), lambda _: {"version": 1, "mappings": [{"path": "p/", "localPath": str(here), "machineId": "m", "lastSync": "old"}, {"path": "q/", "localPath": "x", "machineId": "m", "lastSync": "old"}]})
     (here / "MEMORY.md").write_text("mine")
     (here / "memory" / "both.md").write_text("here")
     (central / "p" / "memory" / "both.md").write_text("there")
