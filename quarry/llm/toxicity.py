@@ -3,8 +3,9 @@
 Texts are folded first: lower case, homoglyphs and full-width letters as Latin
 ones, digits and signs inside words as the letters they stand for. The lexicon
 has whole words and beginnings of words with the log-odds that labelled toxic
-documents hold them rather than others; of the entries that match a word the
-longest counts. Exception phrases are entries of weight zero, one word or more,
+documents hold them rather than others; a beginning is an entry only where several
+different words with it are in toxic documents and no longer one does as well. Of
+the entries that match a word the longest counts. Exception phrases are entries of weight zero, one word or more,
 that cover what stands in them: words that only begin like toxic ones, and pairs
 of neighbouring words in which a toxic one is not meant so. Both are learned from
 where the labelled documents have them. The weights found are summed and set
@@ -15,7 +16,8 @@ Training sees about `max_train` labelled documents of either label, chosen by a
 hash of their ids; that bounds the lexicon too. All that they say is used.
 
 Defined cases: null and empty texts score as texts without a match; rows with a
-null label are no training rows; labels repeated for a document count as often;
+null label are no training rows; labels repeated for a document count once, and
+of documents that share an id one text trains (the least);
 without labels of both kinds the lexicon is empty and all scores are the share
 of toxic labels, 0 without labels; of entries that start together the longest
 counts, of equal scores none is preferred; a long text with many matches and
@@ -47,6 +49,9 @@ STEMS = range(3, 9)
 MIN_SUPPORT = 5
 MIN_WEIGHT = 2.0
 MIN_EXCEPTION = 3
+#: Different words of toxic documents that a beginning must begin, and the share of its documents above which a longer one takes its place.
+MIN_KINDS = 4
+MOST_OF = 0.8
 
 
 def entries_of(folded: str) -> set[str]:
@@ -127,21 +132,24 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(features @ self.coefficients, -30, 30)))
 
 
-def chosen(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """The entries that tell toxic documents from others, without those that a shorter one makes needless.
+def chosen(toxic: Counter, clean: Counter, kinds: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
+    """The entries that tell toxic documents from others, without those that another one makes needless.
 
-    Entries and counts are of documents. A beginning stands for all words it
-    begins; a longer entry stays if it is clearly surer than every kept shorter
-    one, so words that only look alike at their beginning get their own weight.
+    Entries and counts are of documents; `kinds` has how many different words of
+    toxic documents begin with an entry. A beginning of one or few words is no
+    entry: what else begins like them may be harmless. Of beginnings of the same words
+    the longest stays. A longer entry within a kept one stays if it is clearly surer.
     """
     weight = {}
     for entry, a in toxic.items():
         b = clean.get(entry, 0)
         w = float(np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1)))
-        if a >= MIN_SUPPORT and w >= MIN_WEIGHT and a > 2 * b:
+        if a >= MIN_SUPPORT and w >= MIN_WEIGHT and a > 2 * b and (entry.endswith(" ") or kinds.get(entry, 0) >= MIN_KINDS):
             weight[entry] = w
+    stems = {e for e in weight if not e.endswith(" ")}
+    vague = {e[:-1] for e in stems if e[:-1] in stems and toxic[e] >= MOST_OF * toxic[e[:-1]]}
     kept: dict[str, float] = {}
-    for entry in sorted(weight, key=lambda e: (len(e), e)):
+    for entry in sorted(weight.keys() - vague, key=lambda e: (len(e), e)):
         above = [kept[entry[:k]] for k in range(4, len(entry)) if entry[:k] in kept]
         if not above or weight[entry] > max(above) + 0.7:
             kept[entry] = weight[entry]
@@ -175,17 +183,19 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 40) -
 
 def trained(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_train: int = MAX_TRAIN, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """A lexicon of the labelled documents in `docs`; `docs` has training rows only."""
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y"))
-    present = docs.select(F.col(doc_id).alias("_id")).join(known, "_id")
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y")).distinct()
+    present = docs.select(F.col(doc_id).alias("_id")).join(known, "_id").distinct()
     found = {r["y"]: r["n"] for r in present.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not found.get(0) or not found.get(1):
         share = float(1 in found)
         return Lexicon({}, [], np.array([30.0 if share else -30.0, 0, 0, 0, 0]))
     order = F.xxhash64(F.lit("train"), F.col("_id"))
     odds = F.when(F.col("y") == 1, min(1.0, max_train / found[1])).otherwise(min(1.0, max_train / found[0]))
-    picked = known.where((order.bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) < odds)
-    # bounded by max_train, about: it may be sent to every task
-    sample = written(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t")).join(F.broadcast(picked), "_id").select("y", "t"), "labelled")
+    picked = present.where((order.bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) < odds)
+    # about max_train ids of either label; sent to every task only if they are no more than that
+    n_picked = sum(min(max_train, n) for n in found.values())
+    picked = F.broadcast(picked) if n_picked <= 4 * MAX_TRAIN else picked
+    sample = written(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t")).join(picked, "_id").groupBy("_id", "y").agg(F.min("t").alias("t")).select("y", "t"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = (Counter(), Counter())
@@ -203,7 +213,11 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     odds_ratio = (F.col("a") + 0.5) / (n_toxic + 1) / ((F.col("b") + 0.5) / (n_clean + 1))
     # what can become an entry: as many as words of the labelled sample at most
     rows = entries.where((F.col("a") >= MIN_SUPPORT) & (F.col("a") > 2 * F.col("b")) & (odds_ratio >= float(np.exp(MIN_WEIGHT)))).collect()
-    weights = chosen(Counter({r["entry"]: r["a"] for r in rows}), Counter({r["entry"]: r["b"] for r in rows}), n_toxic, n_clean)
+    words = entries.where(F.col("entry").endswith(" ") & (F.col("a") > 2 * F.col("b"))).select("entry", F.length("entry").alias("n"))
+    begun = words.select(F.explode(F.array(*[F.when(F.col("n") >= k + 2, F.substring("entry", 1, k + 1)) for k in STEMS])).alias("entry")).groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
+    # beginnings are at most as many as candidates, which need the support of MIN_SUPPORT documents of the sample
+    kinds = Counter({r["entry"]: r["n"] for r in begun.where(F.col("entry").isNotNull() & (F.col("n") >= MIN_KINDS)).collect()})
+    weights = chosen(Counter({r["entry"]: r["a"] for r in rows}), Counter({r["entry"]: r["b"] for r in rows}), kinds, n_toxic, n_clean)
     lexicon = Lexicon(weights, list(exceptions))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,3 +60,36 @@ def test_equal_texts_have_equal_scores(spark):
     lexicon = toxicity.Lexicon({" trash ": 3.0}, [], np.array([0.0, 0, 0, 0, 0]))
     docs = spark.createDataFrame([(1, "trash"), (1, "trash"), (2, "fine"), (None, None)], "doc_id long, text string")
     assert [(r.score, r.predicted) for r in toxicity.scored(docs, lexicon).collect()] == [(0.5, 1)] * 4
+
+
+ORDINARY = ["The train to work takes more time over the distance.", "We discussed the path of the moral story with distant workers.", "A trader sold tracks, morning papers and workshop tools.", "Idiomatic words about patterns and disks."]
+
+
+def test_beginnings_need_several_words(spark):
+    """Words of one form are entries as they are; a stem with many endings is one; ordinary English scores low."""
+    rng = random.Random(11)
+    plain = "the report says that many people met in town and talked about rain food music and games for hours".split()
+    single = ["trash", "moron", "pathetic", "disgusting", "worthless", "idiot"]
+    texts = []
+    for i in range(600):
+        words = [rng.choice(plain) for _ in range(rng.randint(5, 40))]
+        if i % 3 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(single) if i % 2 else "zorbl" + rng.choice(["", "ing", "ed", "ette", "or", "ix", "um", "an"]))
+        texts.append((i, " ".join(words), int(i % 3 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    # labels of documents that aren't there, and labels more than once
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts] * 2 + [(10_000 + i, 1) for i in range(5000)], "doc_id long, toxic int")
+    lexicon = toxicity.trained(docs, labels)
+    assert set(lexicon.weights) == {f" {look_folded(w).strip()} " for w in single} | {f" {look_folded('zorbl').strip()}"}
+    rows = [(i, t) for i, t in enumerate(ORDINARY)] + [(10, "you moron"), (11, "zorblish things you say"), (12, "w0rthless and disgu5ting")]
+    found = {r.doc_id: r.score for r in toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), lexicon).collect()}
+    assert all(found[i] < 0.2 for i in range(len(ORDINARY))) and all(found[i] > 0.5 for i in (10, 11, 12))
+
+
+def test_ordinary_english_after_the_given_labels(spark, sf_dir):
+    from quarry.llm.common import read_table
+
+    lexicon = toxicity.trained(read_table(spark, sf_dir.replace("sf0.001", "sf0.1"), "documents"), read_table(spark, sf_dir.replace("sf0.001", "sf0.1"), "labels"))
+    assert all(len(e) >= 5 for e in lexicon.weights)
+    rows = spark.createDataFrame(list(enumerate(ORDINARY)), "doc_id long, text string")
+    assert all(r.score < 0.2 for r in toxicity.scored(rows, lexicon).collect())
