@@ -61,6 +61,12 @@ BOILERPLATE = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc sidebar sidebars side aside widget widgets footer foot masthead header topbar toolbar skip "
     "comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search copyright legal disclaimer".split()
 )
+#: Those of them that name subjects as well, and words that say no subject; with another word beside it a subject is meant.
+SUBJECTS = frozenset("social legal related share sharing side notice notices discussion search copyright sponsored banner respond promotion subscription alert".split())
+PLACES = frozenset(
+    "bar box block blocks link links list lists icon icons button buttons wrap wrapper container section area post posts item items row col column inner outer content module region zone media network networks tool tools panel card cards "
+    "site page global main top bottom left right primary secondary mobile desktop article articles story stories entry entries news text title form input field group holder slot unit strip rail js c l u is sticky fixed hidden open this us on more also read cta feed count counts".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 CONTENT = frozenset("article main".split())
 #: What a name's first word means that speaks of something else, and names of an article's own header.
@@ -157,6 +163,12 @@ def _raw_tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = close.start() if close else size
 
 
+def _beside(words: list[str]) -> bool:
+    """Whether a name's words say that an element is beside the text: `social-links` does, `social-science` doesn't."""
+    said = BOILERPLATE.intersection(words)
+    return bool(said - SUBJECTS) or bool(said) and all(w in BOILERPLATE or w in PLACES for w in words)
+
+
 def _element_weight(tag: str, attributes: str, in_content: bool) -> float:
     """What an element's own tag, role, classes and id say, without regard to what it holds."""
     out, own_header = 1.0, in_content
@@ -172,7 +184,7 @@ def _element_weight(tag: str, attributes: str, in_content: bool) -> float:
                 continue
             if tag == "header" and OWN_HEADER.intersection(words):
                 own_header = True
-            elif BOILERPLATE.intersection(words) and tag not in ("html", "body", *CONTENT):
+            elif _beside(words) and tag not in ("html", "body", *CONTENT):
                 out = min(out, NAMED_WEIGHT)
     if tag in BESIDE or (tag == "header" and not own_header):
         out = min(out, BESIDE_WEIGHT)

@@ -100,3 +100,19 @@ def test_depth_and_length_cost_in_proportion(page):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 200 << 20
+
+
+@pytest.mark.parametrize("name,kept", [("social-science", True), ("legalAnalysis", True), ("search-for-meaning", True), ("shared_history", True), ("social-links", False), ("legal", False), ("related-posts", False), ("share-box", False), ("site-search", False)])
+def test_names_of_subjects(name, kept):
+    """A word that stands for boilerplate as well as for a subject is one of a subject if another word says so."""
+    p = "<p>" + "Long words of an article, with commas, and stops. " * 6 + "</p>"
+    own = "<p>MARK " + "this section has its own text, and more of it. And again. " * 5 + "</p>"
+    page = f"<html><body><nav><a href=x>Home</a></nav><article><h1>T</h1>{p * 2}<section class='{name}'>{own}</section>{p * 2}</article></body></html>"
+    assert ("MARK" in extraction.main_text(page)) is kept
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    page = "<article><h1>T</h1>" + "<p>Some text, with more of it. And more.</p>" * 5 + "</article>"
+    rows = spark.createDataFrame([(1, "u", page, "x", 1)] * 2 + [(None, None, None, "y", 2)], "page_id long, url string, html string, text string, n_chars long")
+    found = extraction.extracted(rows).collect()
+    assert [(r.page_id, r.n_chars) for r in found if r.page_id] == [(1, len(extraction.main_text(page)))] * 2 and [(r.text, r.n_chars) for r in found if r.page_id is None] == [("", 0)]
