@@ -11,6 +11,7 @@ import sys
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry import config as settings
@@ -22,6 +23,7 @@ from quarry.operators import sync
 from quarry.operators.remote import provider_of
 from quarry.session import local_session
 from quarry.sources.files import HIDDEN, parsed_log, parsed_registry, read_json, syncable_files
+from quarry.streaming import live
 from quarry.tools import Server, ToolExecutor
 
 
@@ -44,7 +46,7 @@ def _parser() -> argparse.ArgumentParser:
     command("sync", (["-f", "--force"], {"action": "store_true"}))
     command("status", json_out=True)
     command("append", (["text"], {}), (["-f", "--file"], {}), (["-s", "--session"], {}), (["--session-source"], {}))
-    command("upsert", (["file"], {}), (["content"], {"nargs": "?"}), (["--stdin"], {"action": "store_true"}))
+    command("upsert", (["file"], {}), (["content"], {"nargs": "?"}), (["--stdin"], {"action": "store_true"}), (["-s", "--session"], {}), (["--session-source"], {}))
     command("serve")
     command("config", (["--set"], {"dest": "assign"}), (["--unset"], {}), json_out=True)
     for name in syncing.OPERATIONS:
@@ -57,7 +59,7 @@ def _parser() -> argparse.ArgumentParser:
     command("sync:init", (["central"], {}), (["--path"], {"required": True}), (["--machine"], {"default": os.uname().nodename}))
     command("sync:list", (["central"], {}), (["--machine"], {}))
     command("sync:remove", (["central"], {}), (["--path"], {"required": True}), (["--machine"], {"default": os.uname().nodename}))
-    command("watch", (["--poll"], {"type": float, "default": 30.0}), (["--rounds"], {"type": int}))
+    command("watch", (["--poll"], {"type": float, "default": 30.0}), (["--rounds"], {"type": int}), (["--live"], {"action": "store_true", "help": "follow changes as they come instead of polling"}))
     command("watch:status")
     command("watch:stop")
     command("watch:logs", (["-n", "--lines"], {"type": int, "default": 50}))
@@ -119,6 +121,7 @@ def main(argv: list[str] | None = None) -> int:
         return _plain(args, folder)
     spark = local_session()
     own = read_json(spark, str(hidden / "config.json"), {})
+    whole = settings.merged(*settings.global_layers(Path.home(), os.environ.get("XDG_CONFIG_HOME"), hidden), own)
     if args.command == "config":
         if args.assign:
             own = settings.with_value(own, *settings.from_assignment(args.assign))
@@ -127,17 +130,17 @@ def main(argv: list[str] | None = None) -> int:
         if args.assign or args.unset:
             hidden.mkdir(parents=True, exist_ok=True)
             (hidden / "config.json").write_text(json.dumps(own, indent=1))
-        print(json.dumps(settings.merged(settings.DEFAULTS, own), indent=1))
+        print(json.dumps(settings.merged(settings.DEFAULTS, *settings.global_layers(Path.home(), os.environ.get("XDG_CONFIG_HOME"), hidden), own), indent=1))
         return 0
 
     def memory(path: str) -> Memory:
-        embedding = own.get("embedding") or {}
+        embedding = whole.get("embedding") or {}
         provider, instead_of = provider_of(embedding | {"provider": args.provider or embedding.get("provider") or "deterministic"})
         if instead_of:
             print(f"{provider.id} is used instead of {instead_of}", file=sys.stderr)
         if not Path(path, HIDDEN).is_dir():
             print(f"{path} is not initialised: use init", file=sys.stderr)
-        return Memory(spark, path, provider, **own)
+        return Memory(spark, path, provider, **whole)
 
     if args.command == "search":
         found = [r | {"directory": d} for d in folders for r in memory(d).search(args.query, args.max, args.min_score)]
@@ -154,7 +157,8 @@ def main(argv: list[str] | None = None) -> int:
         m = memory(folder)
         print(m.append_today(text) if not args.file else m.append_file(args.file, text) or args.file)
     elif args.command == "upsert":
-        memory(folder).write_file(args.file, sys.stdin.read() if args.stdin else args.content or "")
+        text = sys.stdin.read() if args.stdin else args.content or ""
+        memory(folder).write_file(args.file, text, {"id": args.session, "source": args.session_source, "project": os.getcwd()} if args.session else None)
     elif args.command == "watch":
 
         def followed(d: str) -> str | None:
@@ -174,11 +178,26 @@ def main(argv: list[str] | None = None) -> int:
             found = {root: folders_.check_central(root) for root in sorted(roots)}
             return "; ".join(f"{root}: {', '.join(f['errors'] + f['warnings'])}" for root, f in found.items() if f["errors"] or f["warnings"]) or None
 
-        folders_.Watch(str(hidden), lambda: folders, taken, checked, args.poll).run(args.rounds)
+        watch = folders_.Watch(str(hidden), lambda: folders, taken, checked, args.poll)
+        if not args.live:
+            watch.run(args.rounds)
+            return 0
+
+        def update(batch: DataFrame, number: int) -> None:
+            # a failure is noted; the next change or poll takes it up again
+            for r in batch.select("directory").distinct().collect():
+                watch.guarded(taken, r["directory"])
+
+        with watch.process_file():
+            gap = settings.merged(settings.DEFAULTS, whole)["watch"]["debounceMs"] / 1000
+            query = live.watched(spark, folders, update, str(hidden / "watch"), gap)
+            # --rounds: so many seconds of --poll
+            query.awaitTermination(args.poll * args.rounds) if args.rounds else query.awaitTermination()
+            query.stop()
     elif args.command == "serve":
         Server(ToolExecutor({d: memory(d).search for d in folders})).run()
     elif args.command == "sync:status":
-        sides = settings.merged(settings.DEFAULTS, own)["sync"]
+        sides = settings.merged(settings.DEFAULTS, whole)["sync"]
         print(json.dumps(sync.summary(sync.changes(*(syncable_files(spark, d, sides["include"], sides["exclude"]) for d in (folder, args.central)))).first().asDict()))
     elif args.command in ("push", "pull", "sync:run"):
         found = syncing.run(spark, folder, args.command.removeprefix("sync:run") or "sync", args.central, args.force, args.dry_run)

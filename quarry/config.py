@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import copy
 import json
+from pathlib import Path
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.sources.files import HIDDEN
+
 #: The defaults of every setting.
 DEFAULTS: dict[str, Any] = {
     "embedding": {"provider": "auto"},
@@ -43,6 +46,14 @@ def layer(text: str | None) -> dict[str, Any]:
     return found if isinstance(found, dict) else {}
 
 
+def global_layers(home: Path, xdg: str | None, hidden: Path) -> list[dict[str, Any]]:
+    """The settings below a folder's own, weakest first: of the user's configuration folder, then of the hidden folder at home, unless that is the folder's own."""
+    places = [Path(xdg or home / ".config", "quarry", "config.json")]
+    if (home / HIDDEN).resolve() != hidden.resolve():
+        places.append(home / HIDDEN / "config.json")
+    return [layer(p.read_text()) if p.is_file() else {} for p in places]
+
+
 def merged_json(*layers: Column) -> Column:
     """Columns of JSON settings merged over the defaults, later ones over earlier ones, as JSON. A null or damaged layer says nothing."""
     @F.pandas_udf("string")

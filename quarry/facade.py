@@ -6,12 +6,14 @@ import datetime as dt
 import hashlib
 import time
 import uuid
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import config as settings
+from quarry.functions import frontmatter
 from quarry.functions.paths import may_be_written
 from quarry.functions.text import snippet
 from quarry.operators import index, search
@@ -69,8 +71,13 @@ class Memory:
         if not self.spark.range(1).select(may_be_written(F.lit(name))).first()[0]:
             raise InvalidPath(name)
 
-    def write_file(self, name: str, text: str) -> None:
+    def write_file(self, name: str, text: str, session: dict[str, str | None] | None = None) -> None:
+        """Write a file; with a session (id, source, project) its head says where it comes from, over a head that is there."""
         self.check_path(name)
+        if session is not None:
+            of = F.struct(*[F.lit(session.get(k)).cast("string").alias(k) for k in frontmatter.SESSION_KEYS])
+            now = dt.datetime.now(dt.UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+            text = self.spark.range(1).select(frontmatter.merged(F.lit(text), of, F.lit(None).cast("array<string>"), F.lit(now), str(Path.home()))).first()[0]
         self._write(name, text)
 
     def append_file(self, name: str, text: str) -> None:

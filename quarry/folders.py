@@ -10,7 +10,8 @@ import random
 import shutil
 import subprocess
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
 
@@ -178,7 +179,7 @@ class Watch:
     def last_lines(self, n: int = 50) -> list[str]:
         return self.log_file.read_text().splitlines()[-n:] if self.log_file.exists() else []
 
-    def _guarded(self, call: Callable[..., str | None], *args: str) -> None:
+    def guarded(self, call: Callable[..., str | None], *args: str) -> None:
         try:
             if said := call(*args):
                 self.log(said)
@@ -186,20 +187,26 @@ class Watch:
             self.log(f"{' '.join(args)} {e}".strip(), "error")
 
     def run(self, rounds: int | None = None, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> None:
-        if self.running():
-            raise RuntimeError("already running")
-        self.home.mkdir(parents=True, exist_ok=True)
-        self.pid_file.write_text(str(os.getpid()))
         checked, done = None, 0
-        try:
+        with self.process_file():
             while not self.stopped and (rounds is None or done < rounds):
                 for folder in self.folders():
-                    self._guarded(self.poll_once, folder)
+                    self.guarded(self.poll_once, folder)
                 if checked is None or clock() - checked >= self.validate:
                     checked = clock()
-                    self._guarded(self.validate_once)
+                    self.guarded(self.validate_once)
                 done += 1
                 if rounds is None or done < rounds:
                     sleep(self.poll)
+
+    @contextmanager
+    def process_file(self) -> Iterator[None]:
+        """The process file, while this process follows the folders; RuntimeError if another one does."""
+        if self.running():
+            raise RuntimeError("already running")
+        self.home.mkdir(parents=True, exist_ok=True)
+        self.pid_file.write_text(str(os.getpid()))
+        try:
+            yield
         finally:
             self.pid_file.unlink(missing_ok=True)

@@ -136,6 +136,9 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert "session=s1" in (folder / "memory" / "log.md").read_text()
     assert "memory/log.md" in run("search", "-d", d, "--json", "-s", "0", "gardening plan")
     assert json.loads(run("status", "-d", d))["files"] == 4
+    run("upsert", "-d", d, "-s", "s9", "--session-source", "tool", "memory/log.md", "---\ncreated: 2024\ntags: [a]\n---\nnew body")
+    head = (folder / "memory" / "log.md").read_text()
+    assert head.startswith("---\nsession:\n  id: s9\n  source: tool\n") and "created: 2024" in head and "tags: [a]" in head and head.endswith("new body")
     central = tmp_path / "central"
     (central / "memory").mkdir(parents=True)
     (central / "memory" / "theirs.md").write_text("theirs")

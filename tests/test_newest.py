@@ -94,3 +94,12 @@ def test_damaged_layers_say_nothing(spark):
     rows = spark.createDataFrame([('{"query":{"minScore":0.5}}', "{broken"), (None, "[1]"), ("", '{"query":{"maxResults":3}}')], "a string, b string")
     found = [json.loads(r.j)["query"] for r in rows.select(config.merged_json(F.col("a"), F.col("b")).alias("j")).collect()]
     assert [(q["minScore"], q["maxResults"]) for q in found] == [(0.5, 10), (0.3, 10), (0.3, 3)]
+
+
+def test_settings_of_home_lie_below_a_folders_own(tmp_path):
+    for name, text in ((".config/quarry/config.json", '{"query":{"maxResults":1,"minScore":0.1}}'), (".quarry/config.json", '{"query":{"maxResults":2}}'), ("xdg/quarry/config.json", "broken")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    low = config.global_layers(tmp_path, None, tmp_path / "notes" / ".quarry")
+    assert config.merged(*low, {"query": {"minScore": 0.5}}) == {"query": {"maxResults": 2, "minScore": 0.5}}
+    assert config.global_layers(tmp_path, str(tmp_path / "xdg"), tmp_path / ".quarry") == [{}]
