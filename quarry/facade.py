@@ -208,11 +208,12 @@ class Memory:
         h, q = self.config["hybrid"], self.config["query"]
         max_results = q["maxResults"] if max_results is None else max_results
         min_score = q["minScore"] if min_score is None else min_score
+        # all chunks are of this provider's model: another one makes the index anew
         store = self.store()
-        rows = search.filtered(store.chunks(), self.provider.model)
         limit = search.candidate_count(max_results, h["candidateMultiplier"])
         out = ["path", "start_line", "end_line", "score", "snippet"]
-        vector = search.vector_topk(rows, query_vector(self.provider, query) if query.strip() else [], limit).withColumn("snippet", snippet(F.col("text")))
+        near = store.vector_topk(query_vector(self.provider, query) if query.strip() else [], limit)
+        vector = store.with_chunks(near).withColumn("snippet", snippet(F.col("text")))
         if not h["enabled"]:
             return search.best(vector.withColumn("score", F.col("vector_score")).withColumn("text_score", F.lit(None).cast("double")), max_results, min_score).select(out)
         ranked = store.with_chunks(store.index().topk(query, limit)).orderBy("rank", "id").limit(limit)

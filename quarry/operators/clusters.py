@@ -122,8 +122,11 @@ class VectorIndex:
         pairs = self.spark.createDataFrame([(c, r) for c, rs in by.items() for r in rs], "cluster int, ring int")
         return rows.where(F.col("cluster").isin(list(by))).join(F.broadcast(pairs), ["cluster", "ring"], "left_semi")
 
-    def topk(self, query: list[float], k: int, min_score: float | None = None, probes: int | None = None) -> DataFrame:
-        """id and vector_score: the rows of `search.vector_topk`, ties by id. With `probes` the nearest so many clusters are read and no others."""
+    def topk(self, query: list[float], k: int, min_score: float | None = None, probes: int | None = None, without: DataFrame | None = None) -> DataFrame:
+        """id and vector_score: the rows of `search.vector_topk`, ties by id. With `probes` the nearest so many clusters are read and no others.
+
+        `without` has ids (id) of rows that are gone since the index was written.
+        """
         centroids, rings = self._headers()
         q = np.array(query, float)
         usable = len(centroids) and len(q) == centroids.shape[1] and 1e-100 < np.linalg.norm(q) < 1e100
@@ -135,7 +138,9 @@ class VectorIndex:
         def scored(which: np.ndarray) -> DataFrame:
             self.read["rings_read"], self.read["rows_read"] = int(which.sum()), int(rings["n"][which].sum())
             score = cosine(F.col("embedding"), F.array(*[F.lit(float(v)) for v in query]))
-            found = self._picked(rings, which).select("id", score.alias("vector_score")).where(~F.isnan("vector_score") & (F.abs("vector_score") < math.inf))
+            rows = self._picked(rings, which)
+            rows = rows if without is None else rows.join(without, "id", "left_anti")
+            found = rows.select("id", score.alias("vector_score")).where(~F.isnan("vector_score") & (F.abs("vector_score") < math.inf))
             found = found if min_score is None else found.where(F.col("vector_score") >= min_score)
             return found.orderBy(F.desc("vector_score"), "id").limit(k)
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
+from quarry.operators import clusters, search
 from quarry.operators.blocks import BLOCKS, PrunedIndex, posting_blocks
 from quarry.operators.inverted import BUCKETS
 from quarry.sources import places
@@ -27,7 +28,11 @@ from quarry.sources import places
 FILES = "path string, source string, hash string, mtime long, size long"
 CHUNKS = "id string, path string, source string, start_line int, end_line int, hash string, model string, text string, updated_at long, embedding array<double>, n_tokens int, docno long"
 CACHE = "provider string, model string, provider_key string, hash string, embedding array<double>, dims int, updated_at long"
-DEAD_FILES, DEAD_DOCS, WITHDRAWN = "seg string, path string", "seg string, docno long, n_tokens int", "seg string, term string, n long"
+DEAD_FILES, DEAD_DOCS, WITHDRAWN = "seg string, path string", "seg string, docno long, id string, n_tokens int", "seg string, term string, n long"
+#: What vectors are known by: the chunk's id, which ties go by, and its number.
+VECTORS = "id struct<id:string,docno:bigint>, embedding array<double>, angle double, ring int, cluster int"
+#: Chunks from which on a segment's vectors are dealt to clusters; fewer are scanned.
+CLUSTERED = 50_000
 #: Segments of about one size that become one, and how many times larger the next size is.
 MERGE, TIER = 8, 4
 #: Lists of what is gone that become one.
@@ -79,7 +84,7 @@ class SegmentStore:
             kept = [m for n in (number - 1, number) if (m := self._load(n))]
             for seg in named["segments"]:
                 if not any(seg in m["segments"] for m in kept):
-                    for table in ("files", "chunks", "blocks"):
+                    for table in ("files", "chunks", "blocks", "vectors"):
                         places.delete(self.spark, f"{self.home}/{table}/seg={seg}")
             for at in named.get("lists", []):
                 if not any(at in m["lists"] for m in kept):
@@ -135,6 +140,18 @@ class SegmentStore:
         blocks = self._read("blocks", f"{BLOCKS}, bucket int")
         return PrunedIndex(blocks, totals["chunks"], totals["tokens"], None if dead is None else dead.select("seg", "docno"), withdrawn, {s: v["buckets"] for s, v in self.segments.items()})
 
+    def vector_topk(self, query: list[float], k: int) -> DataFrame:
+        """seg, docno and vector_score of the best k chunks: clusters of large segments, as far as their bounds ask for it, and a scan of small ones."""
+        large = [s for s, v in self.segments.items() if v.get("clustered")]
+        small = [s for s in self.segments if s not in large]
+        found = search.vector_topk(self.chunks(small).select("seg", "docno", "id", "embedding"), query, k).drop("embedding")
+        dead = self._list("dead_docs", DEAD_DOCS)
+        for seg in large:
+            gone = None if dead is None else dead.where(F.col("seg") == seg).select(F.struct("id", "docno").alias("id"))
+            best = clusters.VectorIndex(self.spark, f"{self.home}/vectors/seg={seg}", VECTORS).topk(query, k, without=gone)
+            found = found.unionByName(best.select(F.lit(seg).alias("seg"), "id.docno", "id.id", "vector_score"))
+        return found.orderBy(F.desc("vector_score"), "id").limit(k).drop("id")
+
     def with_chunks(self, found: DataFrame) -> DataFrame:
         """The chunks of rows (seg, docno, ...): few rows are picked by their numbers, so other row groups are passed over."""
         few = found.limit(PICKED + 1).collect()
@@ -170,17 +187,20 @@ class SegmentStore:
         dealt = blocks.repartitionByRange("bucket", "term", "window") if buckets > 1 else blocks.repartition(1)
         dealt.sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").parquet(f"{self.home}/blocks/seg={seg}")
         count = self._read("files", FILES, [seg]).count()
-        return seg, {"files": count, "chunks": n, "tokens": int(length), "buckets": buckets, "dead": 0, "dead_tokens": 0, "dead_files": 0}
+        clustered = n >= CLUSTERED and bool(written.where(F.size("embedding") > 0).limit(1).count())
+        if clustered:
+            clusters.build(written.select(F.struct("id", "docno").alias("id"), "embedding"), f"{self.home}/vectors/seg={seg}")
+        return seg, {"files": count, "chunks": n, "tokens": int(length), "buckets": buckets, "clustered": int(clustered), "dead": 0, "dead_tokens": 0, "dead_files": 0}
 
     def write_lists(self, dead_files: DataFrame, dead_chunks: DataFrame) -> tuple[str, dict[str, dict[str, int]]]:
         """Write what goes: file rows (seg, path) and chunk rows with their terms. The list's name and the segments' new figures."""
         at = f"l{uuid.uuid4().hex}"
         place = f"{self.home}/lists/{at}"
         dead_files.select("seg", "path").write.parquet(f"{place}/dead_files")
-        going = dead_chunks.select("seg", "docno", "n_tokens", F.array_distinct(tokens(F.col("text"))).alias("terms"))
+        going = dead_chunks.select("seg", "docno", "id", "n_tokens", F.array_distinct(tokens(F.col("text"))).alias("terms"))
         going.write.parquet(f"{place}/going")
         going = self.spark.read.schema(going.schema).parquet(f"{place}/going")
-        going.select("seg", "docno", "n_tokens").write.parquet(f"{place}/dead_docs")
+        going.select("seg", "docno", "id", "n_tokens").write.parquet(f"{place}/dead_docs")
         terms = going.select("seg", F.explode("terms").alias("term")).groupBy("seg", "term").agg(F.count(F.lit(1)).alias("n"))
         terms.sortWithinPartitions("term").write.parquet(f"{place}/withdrawn")
         sums = {s: dict(v) for s, v in self.segments.items()}

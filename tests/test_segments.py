@@ -45,10 +45,10 @@ def written(folder):
 
 
 def test_changes_write_what_changed(spark, folder, monkeypatch):
-    """Adds, edits, touches, deletes and merges: ranks, vectors and rows are those of an index made anew."""
+    """Adds, edits, touches, deletes and merges: ranks and rows are those of an index made anew."""
     monkeypatch.setattr(segments, "MERGE", 3)
     rng = random.Random(2)
-    m = offline(spark, str(folder), query={"minScore": 0.0}, chunking={"tokens": 32, "overlap": 4})
+    m = Memory(spark, str(folder), chunking={"tokens": 32, "overlap": 4})
     assert m.sync() == {"new": 12}
     first = m.store().segments
     assert m.sync() == {"unchanged": 12} and m.store().manifest["version"] == 1
@@ -75,9 +75,9 @@ def test_changes_write_what_changed(spark, folder, monkeypatch):
         assert totals["files"] == len(m.list_files()) == m.table("files").count()
         assert totals["chunks"] == m.table("chunks").count() and totals["tokens"] == m.table("chunks").agg(F.sum("n_tokens")).first()[0]
     assert len(m.store().segments) < 5
-    with_index = sorted((r.path, r.start_line, r.hash, tuple(r.embedding)) for r in m.table("chunks").collect())
+    with_index = sorted((r.path, r.start_line, r.hash) for r in m.table("chunks").collect())
     m.sync(force=True)
-    assert sorted((r.path, r.start_line, r.hash, tuple(r.embedding)) for r in m.table("chunks").collect()) == with_index and len(m.store().segments) == 1
+    assert sorted((r.path, r.start_line, r.hash) for r in m.table("chunks").collect()) == with_index and len(m.store().segments) == 1
     # what older manifests named is deleted
     assert len(places.children(spark, f"{folder}/.quarry/chunks")) <= 2 + segments.MERGE and len(places.children(spark, f"{folder}/.quarry/lists")) <= segments.LISTS
 
@@ -121,6 +121,24 @@ def test_two_syncs_at_a_time(spark, folder, monkeypatch):
     assert sorted(r.path for r in m.table("files").collect()) == m.list_files() and pruned(m, "rare", 9) == scan(m, "rare", 9)
 
 
+def test_vectors_of_large_segments_lie_in_clusters(spark, folder, monkeypatch):
+    """A clustered segment, its deleted rows and a small one: the rows of a scan, ties by id."""
+    monkeypatch.setattr(segments, "CLUSTERED", 100)
+    m = offline(spark, str(folder), chunking={"tokens": 32, "overlap": 4}, query={"minScore": 0.0})
+    m.sync()
+    (folder / "memory" / "f0.md").write_text((folder / "memory" / "f1.md").read_text())
+    (folder / "memory" / "f2.md").unlink()
+    m.sync()
+    store = m.store()
+    assert [v["clustered"] for v in store.segments.values()] == [1, 0]
+    for query in ("rare plan", "the of the", "zzz"):
+        q = m.provider.embed_query(query)
+        want = search.vector_topk(m.table("chunks"), q, 9).collect()
+        found = store.with_chunks(store.vector_topk(q, 9)).orderBy(F.desc("vector_score"), "id").collect()
+        assert [(r.id, r.path) for r in found] == [(r.id, r.path) for r in want] and len(found) == 9
+    assert m.search("rare plan", 3) and store.vector_topk([], 5).count() == 0
+
+
 def test_damaged_manifest_and_another_service(spark, folder):
     class Service(DeterministicProvider):
         url = "https://one"
