@@ -207,13 +207,15 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
             some = both[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([sums[1][e] for e in some], pa.int64()), pa.array([sums[0][e] for e in some], pa.int64())], names=["entry", "a", "b"])
 
-    entries = sample.mapInArrow(count, "entry string, a long, b long").groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    # both what may be an entry and what beginnings begin are such; counted once
+    counted = sample.mapInArrow(count, "entry string, a long, b long").groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    entries = written(counted.where(F.col("a") > 2 * F.col("b")), "entries")
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     odds_ratio = (F.col("a") + 0.5) / (n_toxic + 1) / ((F.col("b") + 0.5) / (n_clean + 1))
     # what can become an entry: as many as words of the labelled sample at most
-    rows = entries.where((F.col("a") >= MIN_SUPPORT) & (F.col("a") > 2 * F.col("b")) & (odds_ratio >= float(np.exp(MIN_WEIGHT)))).collect()
-    words = entries.where(F.col("entry").endswith(" ") & (F.col("a") > 2 * F.col("b"))).select("entry", F.length("entry").alias("n"))
+    rows = entries.where((F.col("a") >= MIN_SUPPORT) & (odds_ratio >= float(np.exp(MIN_WEIGHT)))).collect()
+    words = entries.where(F.col("entry").endswith(" ")).select("entry", F.length("entry").alias("n"))
     begun = words.select(F.explode(F.array(*[F.when(F.col("n") >= k + 2, F.substring("entry", 1, k + 1)) for k in STEMS])).alias("entry")).groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
     # beginnings are at most as many as candidates, which need the support of MIN_SUPPORT documents of the sample
     kinds = Counter({r["entry"]: r["n"] for r in begun.where(F.col("entry").isNotNull() & (F.col("n") >= MIN_KINDS)).collect()})
