@@ -885,7 +885,7 @@ def stream_live_debounce(spark, sf):
     # the events of a directory must not be late for one another: first all of them, then what closes them
     for part in (1, 2):
         stream = spark.readStream.schema(f"directory {kind}, file string, event string, ts timestamp, event_id long").parquet(f"{path}/part=[1-{part}]")
-        live.started(live.debounced(stream, _GAP, event_time=True), lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"), f"{path}-state").awaitTermination()
+        live.started(live.debounced(stream, _GAP, event_time=True), lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"), f"{path}-state", partitions=spark.sparkContext.defaultParallelism).awaitTermination()
     return spark.read.schema(f"directory {kind}, burst long, file string, event string").parquet(out).where("event <> 'end'").select("directory", "burst", "file", "event")
 
 

@@ -21,7 +21,7 @@ from quarry.sources.changes import FolderChanges
 #: Columns that are debounced, and what comes of them.
 EVENTS = ("directory", "file", "event", "ts", "event_id")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PROVIDER, PARTITIONS = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
 
 
 class Debounce(StatefulProcessor):
@@ -75,14 +75,17 @@ class Debounce(StatefulProcessor):
 
 
 @contextmanager
-def _rocksdb(spark: SparkSession) -> Iterator[None]:
+def _settings(spark: SparkSession, partitions: int | None) -> Iterator[None]:
     """Map states and timers need this store; a query keeps what it was started with."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    wanted = {PROVIDER: ROCKSDB} | ({PARTITIONS: str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
 def debounced(events: DataFrame, gap_seconds: float, event_time: bool = False, late: str = "0 seconds") -> DataFrame:
@@ -102,15 +105,19 @@ def debounced(events: DataFrame, gap_seconds: float, event_time: bool = False, l
     )
 
 
-def started(stream: DataFrame, update: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Call `update(batch, number)` for each micro-batch that has rows; without `every`, all that is there now is taken."""
+def started(stream: DataFrame, update: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, partitions: int | None = None) -> StreamingQuery:
+    """Call `update(batch, number)` for each micro-batch that has rows; without `every`, all that is there now is taken.
+
+    The state has as many partitions as shuffles of the session, or `partitions`;
+    each opens a store in every micro-batch. A checkpoint keeps its first number.
+    """
 
     def some(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
             update(batch, number)
 
     writer = stream.writeStream.outputMode("append").foreachBatch(some).option("checkpointLocation", checkpoint)
-    with _rocksdb(stream.sparkSession):
+    with _settings(stream.sparkSession, partitions):
         return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
@@ -127,4 +134,4 @@ def watched(spark: SparkSession, folders: list[str], update: Callable[[DataFrame
         stream = one if stream is None else stream.unionByName(one)
     if stream is None:
         raise ValueError("no folders")
-    return started(debounced(stream, gap_seconds), update, f"{home}/checkpoint", every)
+    return started(debounced(stream, gap_seconds), update, f"{home}/checkpoint", every, min(len(folders), 64))
