@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import query_phrases
-from quarry.operators.inverted import bucket_of, earlier, posting_rows
+from quarry.operators.inverted import FRONT, PART, bucket_of, earlier, listed, posting_parts
 from quarry.operators.search import K1, B, CorpusStats
 
 #: Row numbers of a window, as bits.
@@ -24,28 +24,21 @@ WINDOW_BITS = 10
 FIRST_WINDOWS = 8
 #: Bounds are sums in another order than scores; this is far more than what that changes.
 _SLACK = 1 + 1e-9
-FRONT = "array<struct<tf:int,d:int>>"
-BLOCKS = f"term string, window long, n long, front {FRONT}, docs array<struct<docno:bigint,d:int,positions:array<int>>>"
+BLOCKS = PART.format(kind="bigint").removeprefix("bucket int, ")
 
 
-def _front(docs: Column) -> Column:
-    """The (count, length) pairs of a block that no other pair beats in both: what any mean length needs for the best weight."""
-    pairs = F.sort_array(F.transform(docs, lambda x: F.struct((-F.size(x["positions"])).alias("tf"), x["d"].alias("d"))))
-    none = F.array().cast(FRONT)
-    kept = F.aggregate(pairs, none, lambda acc, x: F.when((F.size(acc) == 0) | (x["d"] < F.element_at(acc, -1)["d"]), F.concat(acc, F.array(F.struct((-x["tf"]).alias("tf"), x["d"].alias("d"))))).otherwise(acc))
-    return kept
+def in_order(rows: DataFrame, number: str = "docno") -> DataFrame:
+    """Rows in the order of their numbers, so that a task has whole windows; texts move, once, and not their postings."""
+    return rows.repartitionByRange(number).sortWithinPartitions(number)
 
 
 def posting_blocks(rows: DataFrame, buckets: int = 1) -> DataFrame:
     """bucket and BLOCKS of rows (docno, tokens).
 
-    Each task makes the postings of its rows; a shuffle brings those of a term and a
-    window together. A frequent term has many windows, so no key is hot.
+    Each task makes the blocks of its rows. A window whose rows lie in several tasks
+    or batches has several blocks of a term, each with its bound; see `in_order`.
     """
-    made = posting_rows(rows.select("docno", "tokens"), buckets).withColumnRenamed("id", "docno")
-    one = F.struct("docno", "d", "positions")
-    grouped = made.groupBy("bucket", "term", F.shiftright("docno", WINDOW_BITS).alias("window")).agg(F.sort_array(F.collect_list(one)).alias("docs"))
-    return grouped.select("bucket", "term", "window", F.size("docs").cast("long").alias("n"), _front(F.col("docs")).alias("front"), "docs")
+    return posting_parts(rows.select("docno", "tokens"), buckets, WINDOW_BITS)
 
 
 def _weight(f: Column, d: Column, mean_length: float) -> Column:
@@ -96,11 +89,14 @@ class PrunedIndex:
     def _docs(self, blocks: DataFrame, phrases: list[list[str]]) -> DataFrame:
         """seg, docno, d, f0, f1, ...: the rows that are there and have every phrase."""
         words = list(dict.fromkeys(w for p in phrases for w in p))
-        each = blocks.select("seg", "term", F.inline("docs"))
+        # positions are read of words of longer phrases only; of others the count is enough
+        longer = [w for w in words if any(w in p for p in phrases if len(p) > 1)]
+        each = listed(blocks, "seg", "term", positions=F.col("term").isin(longer) if longer else False).withColumnRenamed("id", "docno")
         at = {w: f"p{i}" for i, w in enumerate(words)}
-        both = each.groupBy("seg", "docno").agg(F.first("d").alias("d"), *[F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(at[w]) for w in words])
-        both = both.where(reduce(lambda a, b: a & b, [F.col(at[w]).isNotNull() for w in words]))
-        count = lambda p: F.size(reduce(F.array_intersect, [earlier(at[w], k) for k, w in enumerate(p)]))
+        of = lambda w, what: F.first(F.when(F.col("term") == w, F.col(what)), ignorenulls=True)
+        both = each.groupBy("seg", "docno").agg(F.first("d").alias("d"), *[of(w, "f").alias(f"n{at[w]}") for w in words], *[of(w, "positions").alias(at[w]) for w in longer])
+        both = both.where(reduce(lambda a, b: a & b, [F.col(f"n{at[w]}").isNotNull() for w in words]))
+        count = lambda p: F.size(reduce(F.array_intersect, [earlier(at[w], k) for k, w in enumerate(p)])) if len(p) > 1 else F.col(f"n{at[p[0]]}")
         found = both.select("seg", "docno", "d", *[count(p).alias(f"f{i}") for i, p in enumerate(phrases)])
         found = found.where(reduce(lambda a, b: a & b, [F.col(f"f{i}") > 0 for i in range(len(phrases))]))
         return found if self.dead is None else found.join(self.dead, ["seg", "docno"], "left_anti")
