@@ -205,11 +205,13 @@ def inverted_phrase(spark, sf):
 
 @query("keyword_topk_pruned", f"WITH {_bm25_sql(KEYWORD_QUERY)} SELECT id, round(rank, 6) AS rank, round(1 / (1 + abs(rank)), 6) AS score FROM r ORDER BY r.rank, id LIMIT 20")
 def keyword_topk_pruned(spark, sf):
-    rows = _tokenised(spark, sf).select(F.col("id").alias("docno"), "tokens")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("docno"), "text")
     path = passing_path(spark, "blocks")
-    blocks.posting_blocks(rows).drop("bucket").write.parquet(path)
-    n, length = rows.agg(F.count(F.lit(1)), F.sum(F.size("tokens"))).first()
-    found = blocks.PrunedIndex(spark.read.schema(blocks.BLOCKS).parquet(path).withColumn("seg", F.lit("")), n, length).topk(KEYWORD_QUERY, 20)
+    made = blocks.posting_blocks(search.with_tokens(blocks.in_order(docs)))
+    made.drop("bucket").write.parquet(path)
+    made = spark.read.schema(blocks.BLOCKS).parquet(path)
+    length = made.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    found = blocks.PrunedIndex(made.withColumn("seg", F.lit("")), docs.count(), length).topk(KEYWORD_QUERY, 20)
     best = found.orderBy("rank", "docno").limit(20)
     return best.select(F.col("docno").alias("id"), rounded(F.col("rank")).alias("rank"), rounded(search.rank_to_score(F.col("rank"))).alias("score"))
 
