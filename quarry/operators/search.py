@@ -21,6 +21,8 @@ from quarry.functions.text import phrase_count, query_phrases, tokens
 from quarry.functions.vector import cosine
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Rows of one matrix product with a block of queries.
+SLICE = 1024
 
 
 def candidate_count(max_results: int, multiplier: float = 2.0, most: int = 200) -> int:
@@ -51,11 +53,20 @@ def vector_topk(chunks: DataFrame, query: list[float], limit: int, id_col: str =
     return out.orderBy(F.desc("vector_score"), id_col).limit(limit)
 
 
+def _best_of(held: pa.Table | None, waiting: list[pa.Table], limit: int) -> pa.Table:
+    """The best `limit` rows (query, score, id) of each query; ties by id."""
+    every = pa.concat_tables([*([held] if held is not None else []), *waiting]).sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")])
+    query = every.column("query").to_numpy()
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return every.filter(pa.array(place < limit))
+
+
 def vector_topk_many(chunks: DataFrame, queries: list[tuple[int, list[float]]], limit: int, id_col: str = "id", embedding: str = "embedding", block: int = 512) -> DataFrame:
     """query_id, id, vector_score, rank: the best `limit` rows for each of many queries.
 
-    Queries go to the tasks in blocks of a stated size; each Arrow batch is one
-    matrix product and hands on its best rows for each query only.
+    Queries go to the tasks in blocks of a stated size; SLICE rows at a time are one
+    matrix product. A task keeps the best rows of each query over all of its
+    batches, so its memory has a bound that no table size changes.
     """
     found = None
     for at in range(0, len(queries), block):
@@ -68,29 +79,36 @@ def vector_topk_many(chunks: DataFrame, queries: list[tuple[int, list[float]]],
         q_size = np.array([len(v) for _, v in part])
 
         def run(batches: Iterator[pa.RecordBatch], q=q, ids=ids, q_size=q_size, width=width) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            q_norms = np.sqrt(np.cumsum(np.pad(q, ((0, 0), (1, 0))) ** 2, axis=1))
+            held, waiting, edge = None, [], np.full(len(q), -np.inf)
+            for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
                 key, vectors = batch.column(0), batch.column(1)
                 sizes = np.minimum(np.nan_to_num(np.array(vectors.value_lengths().to_numpy(zero_copy_only=False), float)).astype(int), width)
                 x = np.zeros((batch.num_rows, width))
                 offsets, values = vectors.offsets.to_numpy(), np.asarray(vectors.values.to_numpy(zero_copy_only=False), float)
-                if len(sizes) and (sizes == sizes[0]).all() and (np.diff(offsets) == sizes[0]).all():
+                if (sizes == sizes[0]).all() and (np.diff(offsets) == sizes[0]).all():
                     x[:, : sizes[0]] = values[offsets[0] : offsets[-1]].reshape(-1, sizes[0]) if sizes[0] else 0
                 else:
                     for r, n in enumerate(sizes):
                         x[r, :n] = values[offsets[r] : offsets[r] + n]
-                dot = q @ x.T
                 # norms over the length that both have
-                q_norm = np.stack([np.sqrt(np.cumsum(np.pad(q, ((0, 0), (1, 0))) ** 2, axis=1))[:, n] for n in np.unique(sizes)], axis=1)[:, np.unique(sizes, return_inverse=True)[1]] if len(sizes) else np.zeros((len(q), 0))
                 x_norm = np.stack([np.sqrt((x[:, :n] ** 2).sum(axis=1)) for n in np.unique(q_size)], axis=0)[np.unique(q_size, return_inverse=True)[1]]
-                norm = q_norm * x_norm
-                score = np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
-                keep = min(limit, batch.num_rows)
-                if not keep:
-                    continue
-                best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                edge = np.take_along_axis(score, best, axis=1).min(axis=1)
+                norm = q_norms[:, sizes] * x_norm
+                score = np.divide(q @ x.T, norm, out=np.zeros_like(norm), where=norm > 0)
                 row, col = np.nonzero(score >= edge[:, None])  # ties at the edge stay
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), key.take(pa.array(col)), pa.array(score[row, col])], names=["query_id", "id", "vector_score"])
+                waiting.append(pa.table({"query": pa.array(row), "score": pa.array(score[row, col]), "id": key.take(pa.array(col))}))
+                if sum(t.num_rows for t in waiting) > 4 * limit * len(q):
+                    held, waiting = _best_of(held, waiting, limit), []
+                    at = held.column("query").to_numpy()
+                    n = np.bincount(at, minlength=len(q))
+                    least = np.full(len(q), np.inf)
+                    np.minimum.at(least, at, held.column("score").to_numpy())
+                    edge = np.where(n >= limit, least, -np.inf)
+            held = _best_of(held, waiting, limit) if waiting else held
+            if held is not None:
+                found_ids = pa.array(ids[held.column("query").to_numpy()])
+                table = pa.table({"query_id": found_ids, "id": held.column("id"), "vector_score": held.column("score")})
+                yield from table.combine_chunks().to_batches(10_000)
 
         kind = chunks.schema[id_col].dataType.simpleString()
         hits = chunks.where(F.col(embedding).isNotNull()).select(id_col, F.col(embedding).cast("array<double>")).mapInArrow(run, f"query_id long, id {kind}, vector_score double")

@@ -61,3 +61,19 @@ def test_a_batch_of_events_meets_the_state_once():
         assert len(files.rows) <= 2 * 7 + live.LIST_ROWS + 7
     closed = list(debounce.handleInputRows(("d",), iter(batch(200_000, 1)), None))
     assert sorted((r.burst, r.file, r.event) for r in closed) == sorted((1, f"f{i % 7}", f"e{i}") for i in range(993, 1000)) and [r[0] for r in files.rows] == ["f0"]
+
+
+def test_vector_queries_hand_on_their_best_only(spark, monkeypatch):
+    """A task over many batches hands on `limit` rows a query, however many batches and ties it meets."""
+    rows = spark.range(6000, numPartitions=1).select("id", F.array(F.lit(1.0), (F.col("id") % 50).cast("double")).alias("embedding"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        found = search.vector_topk_many(rows, [(7, [1.0, 0.0]), (8, [0.0, 1.0])], 5)
+        best = {q: [r.id for r in found.where(F.col("query_id") == q).orderBy("rank").collect()] for q in (7, 8)}
+        assert best == {7: [0, 50, 100, 150, 200], 8: [49, 99, 149, 199, 249]}
+        hits = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in hits
+        one = next(iter([search._best_of(None, [search.pa.table({"query": [0] * 9, "score": [1.0] * 9, "id": list(range(9, 0, -1))})], 3)]))
+        assert one.column("id").to_pylist() == [1, 2, 3]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
