@@ -1,14 +1,18 @@
-"""Near duplicates by the Jaccard similarity of word shingles: MinHash bands, then an exact check.
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash balls, MinHash bands beyond them, then an exact check.
 
 Texts are near duplicates if the sets of their lower-cased five-word shingles
 have a similarity of at least 4/5, and groups are connected components of such
-pairs. Texts with equal sets are one node. Each node emits BANDS keys, each the
+pairs. Texts with equal sets are one node. Nodes first meet by the SimHash of their
+shingles, in balls around its halves (`simhash.met_in_halves`); pairs that the
+exact check confirms are components. Pairs at the similarity differ in about ten
+bits, further than balls of a bearable size reach, so components meet again by
+bands: each node emits BANDS keys, each the
 hash of ROWS minima; nodes that share a key are candidates. A pair at
 similarity s shares none with probability (1 - s^ROWS)^BANDS: 6 in 100,000 at
 0.8, 3 in 1,000,000,000 at 0.9. Every link rests on the shingle sets
 themselves, so no pair below the similarity is linked.
 
-Within a key all members are first held against one of them, the hub: the one
+Keys whose members are one component are settled. Within another all members are first held against one of them, the hub: the one
 that shares its keys with the most others, which for copies of one text is that
 text or the copy nearest to it. So a large group costs as many comparisons as it
 has members. Sets that are then still in different components of a key go by
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import per_batch, written
 from quarry.llm.graph import components
-from quarry.llm.simhash import SEED, kept_rows
+from quarry.llm.simhash import SEED, kept_rows, met_in_halves, of_hashes
 
 BANDS, ROWS = 32, 6
 _RNG = np.random.default_rng(SEED)
@@ -75,16 +79,17 @@ def _set_id(hashes: np.ndarray) -> int:
 
 
 def prints(tagged: DataFrame, text: str, carry: tuple[str, ...], shingle: int = 5) -> DataFrame:
-    """`carry`, the set's name in _fp, its size in _n and its keys in _bands."""
+    """`carry`, the set's name in _fp, its SimHash in _sim, its size in _n and its keys in _bands."""
     slim = tagged.select(*carry, F.col(text).alias("_text"))
-    schema = slim.drop("_text").withColumns({"_fp": F.lit(0).cast("long"), "_n": F.lit(0), "_bands": F.lit([]).cast("array<bigint>")}).schema
+    schema = slim.drop("_text").withColumns({"_fp": F.lit(0).cast("long"), "_sim": F.lit(0).cast("long"), "_n": F.lit(0), "_bands": F.lit([]).cast("array<bigint>")}).schema
     k = len(carry)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, shingle) for t in batch.column(k).to_pylist()]
         names = pa.array(np.array([_set_id(s) for s in sets], np.uint64).view(np.int64))
+        sims = pa.array(np.array([of_hashes(s) for s in sets], np.uint64).view(np.int64))
         keys = pa.array([np.array(bands(s), np.uint64).view(np.int64) for s in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), names, pa.array([len(s) for s in sets], pa.int32()), keys], names=[*carry, "_fp", "_n", "_bands"])
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), names, sims, pa.array([len(s) for s in sets], pa.int32()), keys], names=[*carry, "_fp", "_sim", "_n", "_bands"])
 
     return slim.mapInArrow(per_batch(run, 500), schema)
 
@@ -113,7 +118,8 @@ def links(docs: DataFrame, tagged: DataFrame, text: str = "text", shingle: int =
     # copies have one name, so that a key's least and greatest differ only where sets do
     shared = written(keyed.groupBy("v").agg(F.min("f").alias("least"), F.max("f").alias("most")).where("least < most").select("v"), "shared")
     members = written(keyed.join(small(shared), "v").distinct(), "members")
-    named = members.select("f").distinct()
+    near = written(met_in_halves(tagged.groupBy("_fp").agg(F.first("_sim").alias("_sim")), "_fp", "_sim"), "near")
+    named = members.select("f").unionByName(near.select(F.col("a").alias("f"))).unionByName(near.select(F.col("b").alias("f"))).distinct()
     keys = tagged.groupBy("_fp").agg(F.min("_text_key").alias("_key")).join(named.withColumnRenamed("f", "_fp"), "_fp", "left_semi")
     keys = written(keys, "candidates")
     texts = docs.select(F.col(text).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key")).join(small(keys), "_key")
@@ -128,16 +134,23 @@ def links(docs: DataFrame, tagged: DataFrame, text: str = "text", shingle: int =
 
     # grouped by keys as text, so that a join on the key itself can split one with very many members
     by_key, key = F.col("v").cast("string").alias("_v"), F.col("_v").cast("long").alias("v")
-    sizes = members.groupBy(by_key).agg(F.count(F.lit(1)).alias("m")).select(key, "m")
-    company = members.join(sizes, "v").groupBy("f").agg(F.sum("m").alias("w"))
-    hub = F.max_by(F.struct("f", "n"), F.struct("w", "f")).alias("h")
-    hubs = members.join(company, "f").groupBy(by_key).agg(hub).select(key, F.col("h.f").alias("a"), F.col("h.n").alias("na"))
-    against = members.join(hubs, "v").where(_alike(F.least("n", "na"), F.col("n"), F.col("na")))
-    first = written(checked(against.select("a", F.col("f").alias("b"))), "links")
-    roots = written(components(first), "roots")
-    placed = members.join(roots, members["f"] == roots["node"], "left").select("v", "f", F.coalesce("root", "f").alias("r"))
-    open_keys = placed.groupBy(by_key).agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 < r1").select(key)
-    rest = placed.join(open_keys, "v", "left_semi").select("f", "r").distinct()
+
+    def apart(known: DataFrame) -> DataFrame:
+        """v, f, n and the component r of members whose key has several components of the links so far."""
+        roots = written(components(known), "roots")
+        placed = members.join(roots, members["f"] == roots["node"], "left").select("v", "f", "n", F.coalesce("root", "f").alias("r"))
+        open_keys = placed.groupBy(by_key).agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 < r1").select(key)
+        return placed.join(open_keys, "v", "left_semi")
+
+    near = written(checked(near), "links")
+    banded = written(apart(near), "banded")
+    sizes = banded.groupBy(by_key).agg(F.count(F.lit(1)).alias("m")).select(key, "m")
+    company = banded.join(sizes, "v").groupBy("f").agg(F.sum("m").alias("w"))
+    hub = F.max_by(F.struct("f", "n", "r"), F.struct("w", "f")).alias("h")
+    hubs = banded.join(company, "f").groupBy(by_key).agg(hub).select(key, F.col("h.f").alias("a"), F.col("h.n").alias("na"), F.col("h.r").alias("ra"))
+    against = banded.join(hubs, "v").where("r <> ra").where(_alike(F.least("n", "na"), F.col("n"), F.col("na")))
+    first = written(near.unionByName(checked(against.select("a", F.col("f").alias("b")))), "links")
+    rest = apart(first).select("f", "r").distinct()
     return written(first.unionByName(checked(_by_prefix(sets.join(rest, "f")))), "links")
 
 
@@ -158,4 +171,4 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     tagged = written(prints(docs.select(doc_id, text).withColumn("_text_key", key), text, (doc_id, "_text_key"), shingle), "prints")
     roots = components(links(docs, tagged, text, shingle, broadcast_keys))
-    return kept_rows(docs, tagged.drop("_n", "_bands"), roots, text, doc_id, broadcast_keys)
+    return kept_rows(docs, tagged.drop("_n", "_bands", "_sim"), roots, text, doc_id, broadcast_keys)

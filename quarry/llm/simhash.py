@@ -52,6 +52,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(starts)).tobytes(), "big")
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The SimHash of shingles that are given by their hashes."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        total += bits.sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), shingle: int = 3) -> DataFrame:
     """The columns `carry` and the fingerprint as a signed long in _fp."""
     slim = docs.select(*carry, F.col(text).alias("_text"))
@@ -100,6 +109,24 @@ def links(prints: DataFrame, radius: int = 2, fp: str = "_fp") -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
+def met_in_halves(prints: DataFrame, node: str, fp: str = "_fp", within: int = 20) -> DataFrame:
+    """a, b: nodes within `within` bits of each other that meet in the balls of a half of their fingerprints.
+
+    Each half emits all within one bit of it, as many variants as a whole fingerprint
+    does for radius 2. Of two fingerprints within 5 bits one half has at most 2, so
+    they always meet; at 10 bits about a fifth do. As in `links` each is linked with
+    the one before it in a variant, and the distance of the whole is looked at.
+    """
+    masks = F.lit([0, *(1 << b for b in range(32))]).cast("array<bigint>")
+    low, high = F.col("_w").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("_w", 32)
+    keys = F.concat(F.transform(masks, lambda m: low.bitwiseXOR(m)), F.transform(masks, lambda m: high.bitwiseXOR(m).bitwiseOR(F.lit(1 << 32))))
+    spread = max(prints.sparkSession.sparkContext.defaultParallelism, prints.count() * 66 // VARIANTS_A_TASK)
+    balls = prints.select(F.col(node).alias("b"), F.col(fp).alias("_w")).where(F.col("_w").isNotNull()).repartition(spread).select("b", "_w", F.explode(keys).alias("v"))
+    before = F.lag(F.struct("b", "_w")).over(Window.partitionBy("v").orderBy("_w", "b"))
+    pairs = balls.select(before.alias("_before"), "b", "_w").where(F.bit_count(F.col("_before._w").bitwiseXOR(F.col("_w"))) <= within)
+    return pairs.select(F.col("_before.b").alias("a"), "b").where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
     """doc_id, _fp and component_id of every document: the least id that links of the radius reach.
 

@@ -43,3 +43,26 @@ def test_near_copies_with_a_few_changed_words(spark, sf_dir):
     twice = minhash.one_of_each(docs.unionByName(docs), broadcast_keys=-1)
     assert sorted(r.doc_id for r in twice.collect()) == sorted(expected)
     assert minhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_meet_in_halves(spark):
+    """All within five bits meet, whatever the bits; those far apart do not."""
+    from quarry.llm import simhash
+
+    rng = random.Random(5)
+    prints, pairs = [], []
+    for k in range(60):
+        word = rng.getrandbits(64)
+        other = word
+        for bit in rng.sample(range(64), k % 6):
+            other ^= 1 << bit
+        pairs.append((2 * k, 2 * k + 1))
+        prints += [(2 * k, word), (2 * k + 1, other)]
+    table = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in prints], "f long, p long")
+    assert {tuple(sorted((r.a, r.b))) for r in simhash.met_in_halves(table, "f", "p").collect()} == set(pairs)
+
+
+def test_the_stage_makes_fingerprints(spark):
+    tagged = minhash.prints(spark.createDataFrame([(1, "a b c d e f g"), (2, None)], "doc_id long, text string"), "text", ("doc_id",))
+    made = {r.doc_id: r._sim for r in tagged.collect()}
+    assert made[2] == 0 and made[1] not in (0, None)
