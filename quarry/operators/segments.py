@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from quarry.functions.text import tokens
 from quarry.operators import clusters, search
 from quarry.operators.blocks import BLOCKS, PrunedIndex, posting_blocks
-from quarry.operators.inverted import BUCKETS
 from quarry.sources import places
 
 FILES = "path string, source string, hash string, mtime long, size long"
@@ -37,7 +36,7 @@ CLUSTERED = 50_000
 MERGE, TIER = 8, 4
 #: Lists of what is gone that become one.
 LISTS = 16
-#: Tokens above which a segment's blocks are dealt to folders by term.
+#: Tokens above which a segment's blocks are written where they are made.
 SPLIT_TOKENS = 5_000_000
 #: Rows that are picked by their keys; more are joined.
 PICKED = 1000
@@ -172,7 +171,7 @@ class SegmentStore:
         """Write FILES and chunks (CHUNKS without the last two) as a segment that nothing names yet: its name and figures.
 
         The blocks of a segment of few tokens are one file; those of a large one
-        are dealt out by bucket and term.
+        are not shuffled: each task writes what it made of its chunks.
         """
         seg = f"s{uuid.uuid4().hex}"
         files.write.parquet(f"{self.home}/files/seg={seg}")
@@ -182,15 +181,15 @@ class SegmentStore:
         numbered.select(names).write.parquet(f"{self.home}/chunks/seg={seg}")
         written = self._read("chunks", CHUNKS, [seg])
         n, length = written.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-        buckets = BUCKETS if length > SPLIT_TOKENS else 1
-        blocks = posting_blocks(written.select("docno", tokens(F.col("text")).alias("tokens")), buckets)
-        dealt = blocks.repartitionByRange("bucket", "term", "window") if buckets > 1 else blocks.repartition(1)
-        dealt.sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").parquet(f"{self.home}/blocks/seg={seg}")
+        blocks = posting_blocks(written.select("docno", tokens(F.col("text")).alias("tokens"))).drop("bucket")
+        # numbers rise within a file, so a task has whole windows; its runs are sorted by term, which page indexes tell
+        blocks = blocks if length > SPLIT_TOKENS else blocks.repartition(1).sortWithinPartitions("term", "window")
+        blocks.write.parquet(f"{self.home}/blocks/seg={seg}/bucket=0")
         count = self._read("files", FILES, [seg]).count()
         clustered = n >= CLUSTERED and bool(written.where(F.size("embedding") > 0).limit(1).count())
         if clustered:
             clusters.build(written.select(F.struct("id", "docno").alias("id"), "embedding"), f"{self.home}/vectors/seg={seg}")
-        return seg, {"files": count, "chunks": n, "tokens": int(length), "buckets": buckets, "clustered": int(clustered), "dead": 0, "dead_tokens": 0, "dead_files": 0}
+        return seg, {"files": count, "chunks": n, "tokens": int(length), "buckets": 1, "clustered": int(clustered), "dead": 0, "dead_tokens": 0, "dead_files": 0}
 
     def write_lists(self, dead_files: DataFrame, dead_chunks: DataFrame) -> tuple[str, dict[str, dict[str, int]]]:
         """Write what goes: file rows (seg, path) and chunk rows with their terms. The list's name and the segments' new figures."""
