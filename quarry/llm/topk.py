@@ -1,9 +1,10 @@
 """Exact top-k search by inner product with the threshold algorithm.
 
 Candidates lie in blocks. A block keeps a list of its vectors for each
-dimension, sorted by that component. A query reads the lists from the end that
-helps it, all to the same depth, scores whatever it meets there, and stops as
-soon as the sum of what the lists still have to give is below its k-th score.
+dimension, sorted by that component. The queries of a batch read the lists from
+the ends that help them, all to the same depth, and score whatever is met there.
+A query stops as soon as the sum of what the lists still have to give it is
+below its k-th score.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import written
 
-#: Components of a block; with their lists they take 40 MB.
+#: Components of a block, and most of its queries; with lists and queries they take about 100 MB.
 BLOCK_CELLS = 1 << 21
 #: Most queries that meet a block in one task.
-CHUNK_QUERIES = 1024
+CHUNK_QUERIES = 1 << 15
+#: Scores that a batch of queries has at a time.
+SCORE_CELLS = 1 << 22
 #: How deep lists are read first; each further reading is four times as long.
 FIRST_DEPTH = 16
-#: Sums below this are exact as doubles.
-_EXACT = 2.0**53
+#: Sums below a bound are exact in that type, others as whole numbers of any size.
+_EXACT = ((2.0**24, np.float32), (2.0**53, np.float64), (np.inf, object))
 
 
 def integer_vector(vector: Column, scale: int = 256) -> Column:
@@ -39,65 +42,95 @@ class Block:
         self.ids = ids
         self.matrix = _matrix(vectors)
         self.first = np.array([i[0] for i in ids], np.int64)
-        # lists[d] has the rows by rising component d
-        self.lists = np.argsort(self.matrix, axis=0, kind="stable").T.astype(np.int32)
-        self.sorted = np.sort(self.matrix, axis=0).T
-        self.seen = np.zeros(len(ids), bool)
+        self.most = float(max(int(self.matrix.max(initial=0)), -int(self.matrix.min(initial=0))))
+        columns = np.ascontiguousarray(self.matrix.T)
+        # lists[d] has the rows by rising component d; 16 bits are sorted by their digits
+        narrow = columns.astype(np.int16) if self.most < 1 << 15 else columns
+        self.lists = np.argsort(narrow, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(narrow, self.lists, axis=1)
+        self._read: tuple[bytes, np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def best(self, query: np.ndarray, k: int) -> tuple[list[int], list[int], int]:
         """The best k ids with their scores (ties: the smaller id), and how many vectors were scored."""
-        n = len(self.ids)
-        width = min(len(query), self.matrix.shape[1])
-        query = query[:width]
-        matrix, query = self._exact(query)
-        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        self.seen[:] = False
-        score, row = np.zeros(0, matrix.dtype), np.zeros(0, np.int64)
-        depth, step, scored = 0, FIRST_DEPTH, 0
-        while depth < n:
-            to = min(n, depth + step) if len(up) + len(down) else n
-            if to == n:
-                new = np.flatnonzero(~self.seen)
-            else:
-                met = np.concatenate([self.lists[up, n - to : n - depth].ravel(), self.lists[down, depth:to].ravel()])
-                new = np.unique(met[~self.seen[met]])
-                self.seen[new] = True
-            scored += len(new)
-            # a product over all rows is cheaper than one over a copy of most of them
-            got = (matrix[:, :width] @ query)[new] if 4 * len(new) > n else matrix[new, :width] @ query
-            if len(score) == k:
-                better = got >= score[-1]
-                new, got = new[better], got[better]
-            score, row = np.concatenate([score, got]), np.concatenate([row, new])
-            order = np.lexsort((self.first[row], -score))[:k]
-            score, row = score[order], row[order]
-            depth, step = to, 4 * step
-            # what is not met yet has at most what the lists had last
-            if len(score) == k and depth < n and score[-1] > (self.sorted[up, n - depth] * query[up]).sum() + (self.sorted[down, depth - 1] * query[down]).sum():
-                break
-        each = sorted((-int(s), i) for s, r in zip(score, row, strict=True) for i in self.ids[r])[:k]
-        return [i for _, i in each], [-s for s, _ in each], scored
-
-    def _exact(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Matrix and query as doubles where all sums are exact, else as whole numbers of any size."""
-        if self.matrix.dtype != object:
-            most = float(np.abs(self.sorted[:, [0, -1]]).max(initial=0)) * float(np.abs(query.astype(float)).sum())
-            if most < _EXACT:
-                return self.matrix, query.astype(np.float64)
-            self.matrix, self.sorted = (np.array([[int(v) for v in r] for r in x], object).reshape(x.shape) for x in (self.matrix, self.sorted))
-        return self.matrix, query.astype(object)
+        return self.best_of_each(query.reshape(1, -1), k)[0]
+
+    def best_of_each(self, queries: np.ndarray, k: int, score_cells: int = SCORE_CELLS) -> list[tuple[list[int], list[int], int]]:
+        """What `best` says of each row of `queries`."""
+        queries = queries[:, : self.matrix.shape[1]]
+        sums = self.most * np.abs(queries.astype(np.float64)).sum(axis=1)
+        kinds = np.searchsorted([most for most, _ in _EXACT], sums, side="right")
+        out: list = [None] * len(queries)
+        for number, (_, kind) in enumerate(_EXACT):
+            of_kind = np.flatnonzero(kinds == number)
+            size = max(1, score_cells // len(self.ids) // (8 if kind is object else 1))
+            for at in range(0, len(of_kind), size):
+                some = of_kind[at : at + size]
+                for i, found in zip(some, self._batch(queries[some].astype(kind), k), strict=True):
+                    out[i] = found
+        return out
+
+    def _batch(self, queries: np.ndarray, k: int) -> list[tuple[list[int], list[int], int]]:
+        n, width = len(self.ids), queries.shape[1]
+        up, down = np.flatnonzero((queries > 0).any(axis=0)), np.flatnonzero((queries < 0).any(axis=0))
+        order, depths, matrix = self._reading(up, down, queries.dtype)
+        matrix = matrix[:, :width]
+        above, below = np.maximum(queries, 0), np.minimum(queries, 0)
+        score, row = ([np.zeros(0, kind)] * len(queries) for kind in (queries.dtype, np.int64))
+        scored = np.zeros(len(queries), np.int64)
+        start, to, step = 0, 0, FIRST_DEPTH
+        active = np.arange(len(queries))
+        while start < n and len(active):
+            to = min(n, to + step) if len(up) + len(down) else n
+            end = n if to == n else int(np.searchsorted(depths, to))
+            for i, got in zip(active, queries[active] @ matrix[start:end].T, strict=True):
+                new = _high(got, k, score[i][-1] if len(score[i]) == k else None)
+                of, at = np.concatenate([score[i], got[new]]), np.concatenate([row[i], order[start + new]])
+                top = np.lexsort((self.first[at], -of))[:k]
+                score[i], row[i] = of[top], at[top]
+            scored[active] += end - start
+            start, step = end, 4 * step
+            if start < n:
+                # what is not met yet has at most what the lists had last
+                rest = above[active] @ self.sorted[:width, n - to].astype(queries.dtype) + below[active] @ self.sorted[:width, to - 1].astype(queries.dtype)
+                active = active[[len(score[i]) < k or score[i][-1] <= most for i, most in zip(active, rest, strict=True)]]
+        out = []
+        for scores, rows, count in zip(score, row, scored, strict=True):
+            each = sorted((-int(s), i) for s, r in zip(scores, rows, strict=True) for i in self.ids[r])[:k]
+            out.append(([i for _, i in each], [-s for s, _ in each], int(count)))
+        return out
+
+    def _reading(self, up: np.ndarray, down: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows as they are met in the lists `up` from their high ends and `down` from their low ends, the depths where, and their vectors."""
+        key = b"%s %s %s" % (up.tobytes(), down.tobytes(), str(kind).encode())
+        if self._read is None or self._read[0] != key:
+            n = len(self.ids)
+            depths, here, rising = np.full(n, n, np.int32), np.empty(n, np.int32), np.arange(n, dtype=np.int32)
+            for dimensions, places in ((up, rising[::-1]), (down, rising)):
+                for d in dimensions:
+                    here[self.lists[d]] = places
+                    np.minimum(depths, here, out=depths)
+            order = np.argsort(depths, kind="stable")
+            self._read = key, order, depths[order], self.matrix[order].astype(kind)
+        return self._read[1:]
+
+
+def _high(scores: np.ndarray, k: int, least: float | None) -> np.ndarray:
+    """Places of all scores of `least` and more; with None, of the k highest and perhaps some others."""
+    if least is None:
+        width = len(scores) // 64
+        if width < k:
+            return np.arange(len(scores))
+        # k of the groups have their highest there
+        least = np.partition(scores[: 64 * width].reshape(64, width).max(axis=0), width - k)[width - k]
+    return np.flatnonzero(scores >= least)
 
 
 def _matrix(vectors: pa.ListArray) -> np.ndarray:
-    """Rows of whole numbers, shorter ones filled with zeros; as doubles where these hold them exactly."""
+    """Rows of whole numbers, shorter ones filled with zeros."""
     size = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    values = vectors.flatten().to_numpy(zero_copy_only=False)
     out = np.zeros((len(vectors), int(size.max(initial=0))), np.int64)
-    out[np.arange(out.shape[1]) < size[:, None]] = values
-    # the least long has no positive counterpart
-    if len(values) and max(int(values.max()), -int(values.min())) >= _EXACT:
-        return out.astype(object)
-    return out.astype(np.float64)
+    out[np.arange(out.shape[1]) < size[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
+    return out
 
 
 def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
@@ -120,27 +153,29 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, block_cells: int = BL
     smallest ids, which is all that a result can hold. Scores beyond 64 bits are
     cut off there. Empty tables give an empty result. Other columns are not looked at.
 
-    Every query meets every block, in groups of about `chunk_queries` queries
-    and `block_cells` components, so a group is bounded whatever the tables hold.
+    Every query meets every block, in groups of at most about `chunk_queries`
+    queries and `block_cells` components of either, so a group is bounded whatever the tables
+    hold. A block is dealt out once for all the queries of a chunk, and a chunk once for each block.
     """
     spark = rows.sparkSession
     once = lambda t: t.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).groupBy(F.col("id").cast("long").alias("id")).agg(F.min("vector").alias("vector"))
     vectors, asked = written(distinct_vectors(once(rows), k + 1), "vectors"), written(once(queries), "queries")
     n, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
-    blocks = max(1, -(-n * max(1, width) // block_cells))
-    # enough groups for all cores, if queries are few
-    wanted = -(-3 * spark.sparkContext.defaultParallelism // blocks)
-    n_queries = asked.count()
-    chunks = max(1, -(-n_queries // chunk_queries), min(wanted, -(-n_queries // 64)))
+    n_queries, width = asked.count(), max(1, width)
+    # smaller blocks, and then smaller chunks, if there are fewer than enough for all cores
+    wanted = 3 * spark.sparkContext.defaultParallelism
+    blocks = max(1, -(-n * width // block_cells), min(wanted, 16 * n * width // block_cells))
+    chunks = max(1, -(-n_queries // min(chunk_queries, max(1, block_cells // width))), min(-(-wanted // blocks), n_queries // 1024))
     left = vectors.select(F.pmod(F.xxhash64("vector"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vector", "ids")
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), "id", "vector")
+    # components beyond the rows' meet zeros only
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), "id", F.slice("vector", 1, width).alias("vector"))
 
     def search(group: pa.Table, queries: pa.Table) -> pa.Table:
         out: dict[str, list[int]] = {"query_id": [], "id": [], "score": []}
         if group.num_rows and queries.num_rows:
             block = Block(group.column("vector").combine_chunks(), group.column("ids").to_pylist())
-            for query_id, vector in zip(queries.column("id").to_pylist(), queries.column("vector").to_pylist(), strict=True):
-                ids, scores, _ = block.best(np.array(vector, np.int64), k + 1)
+            found = block.best_of_each(_matrix(queries.column("vector").combine_chunks()), k + 1)
+            for query_id, (ids, scores, _) in zip(queries.column("id").to_pylist(), found, strict=True):
                 out["query_id"] += [query_id] * len(ids)
                 out["id"] += ids
                 out["score"] += [max(-(1 << 63), min((1 << 63) - 1, s)) for s in scores]

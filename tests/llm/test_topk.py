@@ -78,3 +78,49 @@ def test_the_threshold_stops_the_reading():
         assert ids == order.tolist() and scores == s[order].tolist()
         shares.append(scored / len(m))
     assert max(shares) < 0.02
+
+
+def test_each_query_of_a_batch_has_its_own_best():
+    """Dense, sparse, zero, short and very large queries in one batch, many ties; batches of any size."""
+    rng = random.Random(11)
+    rows = {i: [rng.choice([-3, -1, 0, 0, 2, 40]) for _ in range(rng.choice([6, 6, 4]))] for i in range(0, 1200, 3)}
+    first = {tuple(v + [0] * (6 - len(v))): i for i, v in sorted(rows.items(), reverse=True)}
+    ids = {v: [i for i, x in rows.items() if tuple(x + [0] * (6 - len(x))) == v] for v in first}
+    block = topk.Block(pa.array([list(v) for v in ids], pa.list_(pa.int64())), list(ids.values()))
+    queries = [[rng.choice([-7, 0, 0, 5]) for _ in range(6)] for _ in range(60)] + [[0] * 6, [0, 0, 9, 0, 0, 0], [1 << 40, 3, 0, 0, -1, 2], [1 << 61, 1, -1, 0, 0, 0], [-(1 << 63), 0, 0, 0, 0, 1]]
+    want = [sorted((-sum(a * b for a, b in zip(q, v, strict=False)), i) for i, v in rows.items())[:5] for q in queries]
+    for cells in (1, 2500, 1 << 22):
+        got = block.best_of_each(np.array(queries, np.int64), 5, cells)
+        assert [[(-s, i) for i, s in zip(ids, scores, strict=True)] for ids, scores, _ in got] == want
+    short = block.best_of_each(np.array([q[:2] for q in queries], np.int64), 5)
+    assert [s for _, s, _ in short] == [sorted((sum(a * b for a, b in zip(q[:2], v, strict=False)) for v in rows.values()), reverse=True)[:5] for q in queries]
+
+
+class Counted(np.ndarray):
+    """Counts products and their multiplications."""
+
+    calls = multiplications = 0
+
+    def __array_ufunc__(self, ufunc, method, *inputs, **more):
+        inputs = [np.asarray(x) if isinstance(x, Counted) else x for x in inputs]
+        out = getattr(ufunc, method)(*inputs, **more)
+        if ufunc is np.matmul:
+            Counted.calls += 1
+            Counted.multiplications += np.size(out) * inputs[0].shape[-1]
+        return out
+
+
+def test_vectors_without_structure_are_scored_once_and_together():
+    """No bound holds before nearly all is met, so the work is one product of the queries and the rows, in few calls."""
+    rng = np.random.default_rng(4)
+    m = rng.standard_normal((20_000, 64))
+    m = np.floor(256 * m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.int64)
+    block = topk.Block(pa.array(m.tolist(), pa.list_(pa.int64())), [[i] for i in range(len(m))])
+    block.matrix = block.matrix.view(Counted)
+    Counted.calls = Counted.multiplications = 0
+    got = block.best_of_each(m[:200], 6)
+    assert Counted.calls < 20 and Counted.multiplications <= 200 * m.size
+    for q, (ids, scores, scored) in zip(m, got, strict=False):
+        s = m @ q
+        order = np.lexsort((np.arange(len(m)), -s))[:6]
+        assert ids == order.tolist() and scores == s[order].tolist() and scored <= len(m)
