@@ -43,6 +43,7 @@ class Block:
         self.matrix = _matrix(vectors)
         self.first = np.array([i[0] for i in ids], np.int64)
         self.most = float(max(int(self.matrix.max(initial=0)), -int(self.matrix.min(initial=0))))
+        self.longest = float(np.linalg.norm(self.matrix.astype(np.float64), axis=1).max(initial=0))
         columns = np.ascontiguousarray(self.matrix.T)
         # lists[d] has the rows by rising component d; 16 bits are sorted by their digits
         narrow = columns.astype(np.int16) if self.most < 1 << 15 else columns
@@ -75,13 +76,23 @@ class Block:
         order, depths, matrix = self._reading(up, down, queries.dtype)
         matrix = matrix[:, :width]
         above, below = np.maximum(queries, 0), np.minimum(queries, 0)
+        # what is not met yet has at most what the lists had last
+        rest = lambda of, depth: above[of] @ self.sorted[:width, n - depth].astype(queries.dtype) + below[of] @ self.sorted[:width, depth - 1].astype(queries.dtype)
+        reach = self.longest * np.linalg.norm(queries.astype(np.float64), axis=1)
         score, row = ([np.zeros(0, kind)] * len(queries) for kind in (queries.dtype, np.int64))
         scored = np.zeros(len(queries), np.int64)
         start, to, step = 0, 0, FIRST_DEPTH
         active = np.arange(len(queries))
         while start < n and len(active):
             to = min(n, to + step) if len(up) + len(down) else n
-            end = n if to == n else int(np.searchsorted(depths, to))
+            # no score is above `reach`, so where the lists have more than that left for all, no search can end
+            while to < n and (rest(active, to) >= reach[active]).all():
+                step *= 4
+                to = min(n, to + step)
+            end = int(np.searchsorted(depths, to))
+            # a few that are left are met at once
+            if to == n or 8 * end > 7 * n:
+                end = n
             for i, got in zip(active, queries[active] @ matrix[start:end].T, strict=True):
                 new = _high(got, k, score[i][-1] if len(score[i]) == k else None)
                 of, at = np.concatenate([score[i], got[new]]), np.concatenate([row[i], order[start + new]])
@@ -90,9 +101,7 @@ class Block:
             scored[active] += end - start
             start, step = end, 4 * step
             if start < n:
-                # what is not met yet has at most what the lists had last
-                rest = above[active] @ self.sorted[:width, n - to].astype(queries.dtype) + below[active] @ self.sorted[:width, to - 1].astype(queries.dtype)
-                active = active[[len(score[i]) < k or score[i][-1] <= most for i, most in zip(active, rest, strict=True)]]
+                active = active[[len(score[i]) < k or score[i][-1] <= most for i, most in zip(active, rest(active, to), strict=True)]]
         out = []
         for scores, rows, count in zip(score, row, scored, strict=True):
             each = sorted((-int(s), i) for s, r in zip(scores, rows, strict=True) for i in self.ids[r])[:k]
